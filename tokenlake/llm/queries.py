@@ -5,18 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score
+
+    return score(_read(spark, sf_dir, "documents"), held_out="crc32(cast(doc_id AS STRING)) % 10 = 0")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
     return near_groups(_read(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .superkmer import dedup
+
+    out = dedup(_read(spark, sf_dir, "documents"), columns=["doc_id"], window=20)
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .posindex import contamination
+
+    out = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

@@ -14,7 +14,7 @@ import uuid
 
 import numpy as np
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +37,23 @@ def workspace(spark: SparkSession, name: str) -> str:
     return made
 
 
+def input_bytes(df: DataFrame) -> float:
+    """About how many bytes a table holds, from its files' sizes where the plan knows them."""
+    known = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 2.0**60 else 200.0 * df.count()
+
+
+def pack(array: np.ndarray) -> bytes:
+    """Bytes of an integer array, place by place (all lowest bytes first), so that a block codec finds the runs of zeros."""
+    array = np.ascontiguousarray(array)
+    return array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes() if len(array) else b""
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
+
 def remove(folder: str) -> None:
     filesystem, path = resolve(folder)
     if filesystem.get_file_info(path).type != pafs.FileType.NotFound:
@@ -116,26 +133,32 @@ class HashStore:
             self._held[shard] = {c: map_array(self._uri(shard, c)) for c in ("key", *self.columns)} if there else None
         return self._held[shard]
 
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """keys: sorted uint64.  Which are there, and each column at those keys (0 elsewhere)."""
+    def lookup(self, keys: np.ndarray, shards: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """keys: uint64, sorted (inside each of the ascending `shards`, if they don't follow from the keys).
+
+        Which keys are there; each column at those keys (0 elsewhere), and as "at" their place in their shard.
+        """
         found = np.zeros(len(keys), bool)
-        out: dict[str, np.ndarray] = {}
-        edges = np.searchsorted(keys, (np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else np.zeros(1, np.uint64))
-        edges = np.append(edges, len(keys))
-        for shard in np.flatnonzero(np.diff(edges)):
-            held = self._shard(int(shard))
+        out: dict[str, np.ndarray] = {"at": np.zeros(len(keys), np.int64)}
+        shards = shard_of(keys, self.bits) if shards is None else shards
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(shards)) + 1, [len(keys)])) if len(keys) else np.zeros(1, int)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            held = self._shard(int(shards[lo]))
             if held is None or not len(held["key"]):
                 continue
-            lo, hi = edges[shard], edges[shard + 1]
             at = np.searchsorted(held["key"], keys[lo:hi])
             at[at == len(held["key"])] = 0
             hit = held["key"][at] == keys[lo:hi]
             found[lo:hi] = hit
+            out["at"][lo:hi] = at
             for c in self.columns:
+                got = held[c][at[hit]]
                 if c not in out:
-                    out[c] = np.zeros(len(keys), held[c].dtype)
-                out[c][lo:hi][hit] = held[c][at[hit]]
-        return found, {c: out.get(c, np.zeros(len(keys), np.uint64)) for c in self.columns}
+                    out[c] = np.zeros(len(keys), got.dtype)
+                elif got.dtype.itemsize > out[c].dtype.itemsize:
+                    out[c] = out[c].astype(got.dtype)
+                out[c][lo:hi][hit] = got
+        return found, out | {c: np.zeros(len(keys), np.int64) for c in self.columns if c not in out}
 
 
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
