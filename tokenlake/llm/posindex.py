@@ -12,7 +12,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,31 +22,28 @@ from .shared import map_array, remove, workspace, write_array
 SEGMENT = 8 << 20
 #: Test windows that a task holds at once.
 WINDOWS = 1 << 16
-_ARRAYS = ("terms", "ends", "places", "docs", "ids", "null")
+_ARRAYS = ("terms", "ends", "places", "docs", "ids", "null", "hash")
 
 
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Indexes all texts below folder; (segment, n_docs).  Null texts have no words."""
 
     def index(batches):
-        task = TaskContext.get()
-        made = 0
         for batch in batches:
-            ids = batch.column(0)
+            ids, hashes = batch.column(0), batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
             known, null = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
             for lo, hi, w in tv.words_of(batch.column(1), tv.ALNUM, SEGMENT):
                 h = w.hashes()
                 order = np.argsort(h, kind="stable")
                 ordered = h[order]
                 first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if w.n else np.zeros(0, int)
-                arrays = (ordered[first], np.append(first[1:], w.n) if w.n else first, order.astype(np.int32 if w.n < 2**31 else np.int64), w.doc, known[lo:hi], null[lo:hi])
-                name = f"{folder}/{task.partitionId():06d}-{made:06d}"
+                arrays = (ordered[first], np.append(first[1:], w.n) if w.n else first, order.astype(np.int32 if w.n < 2**31 else np.int64), w.doc, known[lo:hi], null[lo:hi], hashes[lo:hi])
+                name = f"{folder}/{uuid.uuid4().hex}"  # one for each attempt of a task
                 for k, v in zip(_ARRAYS, arrays):
                     write_array(f"{name}-{k}.npy", v)
-                made += 1
                 yield pa.record_batch([pa.array([name]), pa.array([hi - lo], pa.int64())], names=["segment", "n_docs"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
     return texts.mapInArrow(index, "segment string, n_docs long")
 
 
@@ -55,7 +51,6 @@ def test_windows(items: DataFrame, folder: str, id_col: str, text_col: str, wind
     """Stores the items' windows as blocks of arrays and names the blocks.  An item of fewer words, but not none, is one window."""
 
     def cut(batches):
-        task, made = TaskContext.get(), 0
         for batch in batches:
             ids = np.array(batch.column(0).fill_null("null").to_pylist(), dtype=np.str_)
             for lo, hi, w in tv.words_of(batch.column(1), tv.ALNUM, 1 << 20):
@@ -69,10 +64,9 @@ def test_windows(items: DataFrame, folder: str, id_col: str, text_col: str, wind
                     some = size > j
                     terms[some, j] = h[at[some] + j]
                 for a in range(0, len(of), WINDOWS):
-                    name = f"{folder}/windows-{task.partitionId():06d}-{made:06d}"
+                    name = f"{folder}/windows-{uuid.uuid4().hex}"
                     for k, v in (("terms", terms), ("size", size), ("item", ids[lo + of])):
                         write_array(f"{name}-{k}.npy", v[a : a + WINDOWS])
-                    made += 1
                     yield pa.record_batch([pa.array([name])], names=["block"])
 
     rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(cut, "block string").collect()
@@ -83,7 +77,7 @@ class Segment:
     """One mapped segment."""
 
     def __init__(self, name: str):
-        self.terms, self.ends, self.places, self.docs, self.ids, self.null = (map_array(f"{name}-{k}.npy") for k in _ARRAYS)
+        self.terms, self.ends, self.places, self.docs, self.ids, self.null, self.hash = (map_array(f"{name}-{k}.npy") for k in _ARRAYS)
 
     def _list(self, term: int) -> np.ndarray:
         return self.places[self.ends[term - 1] if term else 0 : self.ends[term]]
@@ -137,7 +131,7 @@ class Segment:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int = 0, share: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items array<string>, contaminated), one row per row of docs.
+    """(doc_id, text_hash, n_words, n_hit, n_items, items array<string>, contaminated), one row per row of docs; text_hash: xxhash64(text).
 
     A word is hit if it stands in any occurrence of an item's window of `window` words (of all the item's words, if fewer); contaminated: some
     word is hit, and at least one in `share`.  Items are sorted as strings; rows with one item_id are one item, a null item_id is the
@@ -173,12 +167,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
                 own = [sorted(names.get(o, ())) for o in range(len(n_words))]
                 ids = pa.array(s.ids, pa.int64(), mask=np.asarray(s.null))
                 yield pa.record_batch(
-                    [ids, pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= n_words))],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"],
+                    [ids, pa.array(np.asarray(s.hash)), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= n_words))],
+                    names=["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items", "contaminated"],
                 )
 
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
-    result = workspace(spark, f"contamination-{uuid.uuid4().hex[:6]}")
+    schema = "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
+    result = workspace(spark, "contamination")
     segments.repartition(max(1, min(segments.count(), 100_000))).mapInArrow(search, schema).write.mode("overwrite").parquet(f"{result}/rows")
     remove(folder)
     return spark.read.schema(schema).parquet(f"{result}/rows")

@@ -165,6 +165,6 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
 
 
-def shard_bits(units: float, per_shard: float, most: int = 16) -> int:
+def shard_bits(units: float, per_shard: float, most: int = 18) -> int:
     """Bits for so many shards that each gets about per_shard units, whatever the input's size."""
     return int(min(most, max(0, np.ceil(np.log2(max(units, 1) / per_shard)))))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .graph import connected_components
-from .shared import workspace
+from .shared import remove, workspace
 
 #: Reference fingerprints.
 PIVOTS = np.random.Generator(np.random.PCG64(64)).integers(0, 2**64, size=24, dtype=np.uint64)
@@ -27,8 +27,8 @@ PIVOTS = np.random.Generator(np.random.PCG64(64)).integers(0, 2**64, size=24, dt
 BLOCK = 8192
 
 
-def fingerprint_words(w: tv.Words, shingle: int, seed: int = 42) -> np.ndarray:
-    """One fingerprint per text: bit set where over half of the shingles' XXH64 have it."""
+def fingerprint_words(w: tv.Words, shingle: int, seed: int = 42, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """One fingerprint per text: bit set where over half of the shingles' XXH64 (with a salt, mixed with it) have it."""
     at, each = w.runs(shingle)
     count = np.diff(w.doc)
     first, last = w.start[at], w.start[np.minimum(at + shingle, w.n)] - 1
@@ -36,6 +36,7 @@ def fingerprint_words(w: tv.Words, shingle: int, seed: int = 42) -> np.ndarray:
     out = np.zeros(len(count), np.uint64)
     if len(at):
         h = tv.xxh64(w.text, first, last - first, seed)
+        h = tv.mix(h ^ salt) if salt else h
         full = np.flatnonzero(each)
         edges = np.concatenate(([0], np.cumsum(each[full])))
         weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -45,7 +46,8 @@ def fingerprint_words(w: tv.Words, shingle: int, seed: int = 42) -> np.ndarray:
             out[full[lo:hi]] = ((ones * 2 > each[full[lo:hi], None]) * weight).sum(1, dtype=np.uint64)
     if len(short):
         a = w.start[w.doc[short]]
-        out[short] = tv.xxh64(w.text, a, w.start[w.doc[short + 1]] - 1 - a, seed)
+        h = tv.xxh64(w.text, a, w.start[w.doc[short + 1]] - 1 - a, seed)
+        out[short] = tv.mix(h ^ salt) if salt else h
     return out
 
 
@@ -75,11 +77,14 @@ def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             label = jumped
 
 
-def near_sets(points: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray = PIVOTS, most: int = 1 << 21) -> np.ndarray:
-    """For points in buckets (equal group, ascending), the smallest index each is linked to through links inside its bucket."""
-    table = np.bitwise_count(points[:, None] ^ pivots[None, :])
-    order = np.argsort(group.astype(np.int64) * 128 + table[:, 0], kind="stable")
-    key, coords, point = (group.astype(np.int64) * 128 + table[:, 0])[order], table[order], points[order]
+def near_sets(points: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray = PIVOTS[:, None], most: int = 1 << 20) -> np.ndarray:
+    """For points (rows of 64-bit words) in buckets (equal group, ascending), the smallest index each is linked to through links inside its bucket."""
+    lanes = points.shape[1]
+    count = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
+    table = np.stack([count(points, p) for p in pivots], 1)
+    key = group.astype(np.int64) * (64 * lanes + radius + 1) + table[:, 0]
+    order = np.argsort(key, kind="stable")
+    key, coords, point = key[order], table[order], points[order]
     upto = np.searchsorted(key, key + radius, side="right")
     ahead = upto - np.arange(len(key)) - 1
     label = np.arange(len(key))
@@ -92,9 +97,9 @@ def near_sets(points: np.ndarray, group: np.ndarray, radius: int, pivots: np.nda
         for p in range(1, len(pivots)):
             if not len(left):
                 break
-            keep = np.abs(coords[left, p].astype(np.int8) - coords[right, p].astype(np.int8)) <= radius
+            keep = np.abs(coords[left, p] - coords[right, p]) <= radius
             left, right = left[keep], right[keep]
-        keep = np.bitwise_count(point[left] ^ point[right]) <= radius
+        keep = count(point[left], point[right]) <= radius
         label = merge(label, left[keep], right[keep])
     out = np.empty(len(key), np.int64)
     out[order] = order[label]
@@ -114,43 +119,39 @@ def _scheme(points: int, radius: int) -> list[int]:
     return [sum(ranges[i] for i in range(parts) if i not in left_out) for left_out in combinations(range(parts), radius)]
 
 
-def links(points: DataFrame, radius: int = 4) -> DataFrame:
-    """points: (fp long), distinct.  (a, b) such that their components are those of all pairs within the radius.
+def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray) -> DataFrame:
+    """keyed: key long, and a point's lanes (long), each key and point once.  (a, b): the first lanes of linked points of a bucket.
 
     A bucket of over BLOCK points is dealt out as pairs of blocks, so no task holds more than two blocks of one bucket.  Each task
-    returns at most one row a point: the link to the smallest of its set.
+    returns at most one row a point: the link to one of its set.
     """
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    masks = [signed(m) for m in _scheme(max(points.count(), 1), radius)]
-    keyed = points.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.k", "x.v")
-    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(sizes, ["k", "v"]).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = dealt.withColumn("own", own).select("k", "v", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"), "own")
-    dealt = dealt.select("k", "v", "fp", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64(*lanes), F.col("parts")).cast("int")
+    dealt = dealt.withColumn("own", own).select("key", *lanes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"), "own")
+    dealt = dealt.select("key", *lanes, F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    groups = ("key", "i", "j")
 
     def run(batches):
         held: pa.Table | None = None
 
         def solve(t: pa.Table):
-            cols = [t.column(c).to_numpy() for c in ("k", "v", "i", "j")]
             new = np.zeros(t.num_rows, bool)
-            for c in cols:
+            for c in (t.column(c).to_numpy() for c in groups):
                 new[1:] |= c[1:] != c[:-1]
-            fps = t.column("fp").to_numpy()
-            root = near_sets(fps.view(np.uint64), np.cumsum(new), radius)
+            points = np.stack([t.column(c).to_numpy() for c in lanes], 1)
+            root = near_sets(points.view(np.uint64), np.cumsum(new), radius, pivots)
             far = np.flatnonzero(root != np.arange(len(root)))
-            return pa.record_batch([pa.array(fps[far]), pa.array(fps[root[far]])], names=["a", "b"])
+            return pa.record_batch([pa.array(points[far, 0]), pa.array(points[root[far], 0])], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
             if held.num_rows < 4 * BLOCK:
                 continue
-            last = [held.column(c)[-1].as_py() for c in ("k", "v", "i", "j")]
             same = np.ones(held.num_rows, bool)
-            for c, x in zip(("k", "v", "i", "j"), last):
-                same &= held.column(c).to_numpy() == x
+            for c in groups:
+                same &= held.column(c).to_numpy() == held.column(c)[-1].as_py()
             cut = int(np.argmax(same))
             if cut:
                 yield solve(held.slice(0, cut))
@@ -158,7 +159,16 @@ def links(points: DataFrame, radius: int = 4) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held)
 
-    return dealt.repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, "a long, b long")
+
+
+def links(points: DataFrame, radius: int = 4) -> DataFrame:
+    """points: (fp long), distinct.  (a, b) such that their components are those of all pairs within the radius."""
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    masks = [signed(m) for m in _scheme(max(points.count(), 1), radius)]
+    # The choice of ranges is mixed into the key: ranges of different choices never meet, as a key of theirs differs in the mask's own bits.
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    return _compare(points.select(F.explode(keys).alias("key"), "fp"), ["fp"], radius, PIVOTS[:, None])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -178,3 +188,71 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = named.join(tops, "root").select("fp", "component_id")
     return rows.join(final, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: 64-bit words of a wide fingerprint, with what each mixes into a shingle's hash; reference fingerprints for it.
+LANES = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+WIDE_PIVOTS = np.random.Generator(np.random.PCG64(256)).integers(0, 2**64, size=(4, len(LANES)), dtype=np.uint64)
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, text_hash, f0 .. f3): fingerprints of 256 bits over word shingles."""
+
+    def run(batches):
+        for batch in batches:
+            fps = np.zeros((len(LANES), batch.num_rows), np.uint64)
+            for lo, hi, w in tv.words_of(batch.column(1), tv.LOWER):
+                for k, salt in enumerate(LANES):
+                    fps[k, lo:hi] = fingerprint_words(w, shingle, salt=salt)
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(f.view(np.int64)) for f in fps)], names=["id", "text_hash", *(f"f{k}" for k in range(len(LANES)))])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    return texts.mapInArrow(run, "id long, text_hash long, " + ", ".join(f"f{k} long" for k in range(len(LANES))))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, group, least), one row per row of docs: its group of texts whose shingle sets are that similar or more, and the group's smallest id.
+
+    A Jaccard similarity s of two sets is a cosine of 2 s / (1 + s), and so an expected share of differing fingerprint bits, arccos of it over pi; the radius is this
+    share of 256 bits and a standard deviation more.  At such a radius bit ranges can't meet surely, so points meet under samples of their bits,
+    as many samples as find a pair of just that similarity in 99 of 100 cases; inside a bucket pivot tables and the full distance decide.
+    Texts without words are left alone: each id is a group.  Repeated rows are one group; null ids count last.
+    """
+    spark = docs.sparkSession
+    folder = workspace(spark, "similar")
+    lanes = [f"f{k}" for k in range(len(LANES))]
+    wide_fingerprints(docs, id_col, text_col, shingle).write.parquet(f"{folder}/points")
+    rows = spark.read.schema("id long, text_hash long, " + ", ".join(f"{c} long" for c in lanes)).parquet(f"{folder}/points")
+    named = rows.groupBy(*lanes).agg(F.min("id").alias("least"))
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    width = 64 * len(LANES)
+    radius = int(width * share + (width * share * (1 - share)) ** 0.5)
+    number = named.count()
+    bits = max(16, int(np.ceil(np.log2(max(number, 1) / 512))))
+    tables = int(np.ceil(np.log(0.01) / np.log(1 - (1 - share) ** bits)))
+    rng = np.random.Generator(np.random.PCG64(99))
+    chosen = [np.sort(rng.choice(width, bits, replace=False)) for _ in range(tables)]
+
+    def spread(batches):
+        for batch in batches:
+            points = np.stack([batch.column(k).to_numpy() for k in range(len(lanes))], 1)
+            for lo in range(0, len(points), 2048):
+                own = points[lo : lo + 2048]
+                unpacked = np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").astype(np.int64)
+                for k, at in enumerate(chosen):
+                    key = (unpacked[:, at] << np.arange(bits)).sum(1) + (k << bits)
+                    yield pa.record_batch([pa.array(key), *(pa.array(np.ascontiguousarray(own[:, j])) for j in range(len(lanes)))], names=["key", *lanes])
+
+    filled = named.where(" OR ".join(f"{c} <> 0" for c in lanes)).select(*lanes)
+    keyed = filled.mapInArrow(spread, "key long, " + ", ".join(f"{c} long" for c in lanes))
+    keyed.write.parquet(f"{folder}/keyed")
+    keyed = spark.read.schema("key long, " + ", ".join(f"{c} long" for c in lanes)).parquet(f"{folder}/keyed")
+    roots = connected_components(_compare(keyed, lanes, radius, WIDE_PIVOTS)).where("node <> root")
+    joined = named.join(roots, named["f0"] == roots["node"], "left").select(*lanes, "least", F.coalesce("root", "f0").alias("root"))
+    joined = joined.withColumn("root", F.when(F.expr(" AND ".join(f"{c} = 0" for c in lanes)), F.lit(None)).otherwise(F.col("root"))).checkpoint()
+    tops = joined.groupBy("root").agg(F.min("least").alias("top"))
+    final = joined.join(tops, "root").select(*lanes, "top", "root")
+    remove(f"{folder}/keyed")
+    wordless = F.expr(" AND ".join(f"{c} = 0" for c in lanes))
+    named_rows = rows.join(final, lanes, "left").withColumn("group", F.when(wordless, F.xxhash64("id", "text_hash")).otherwise(F.col("root")))
+    return named_rows.select(F.col("id").alias("doc_id"), "text_hash", "group", F.when(wordless, F.col("id")).otherwise(F.col("top")).alias("least"))
