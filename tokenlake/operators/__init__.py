@@ -1 +1 @@
-
+"""Automata, token sets, scans, certificates, plans, recovery and modes."""
