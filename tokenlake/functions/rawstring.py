@@ -24,7 +24,7 @@ def scan_raw_string(text: Column, offset: Column | int = 0) -> Column:
     delimiter = F.when(open_at > 0, F.substring(body, F.lit(1), open_at - 1)).otherwise(body)
     closing = F.concat(F.lit(")"), delimiter, F.lit('"'))
     proper = delimiter.rlike(f"\\A[{_CLASS}]{{0,{MOST}}}\\z")
-    close_at = F.locate(closing, F.substring(body, open_at + 1, F.length(body)))
+    close_at = F.position(closing, F.substring(body, open_at + 1, F.length(body)))
     length = (2 + open_at + close_at - 1 + F.length(closing)).cast("long")
     error = (
         F.when(text.isNull() | ~F.startswith(rest, F.lit('R"')), NOT_RAW)

@@ -447,22 +447,22 @@ def certified_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVIDENCE = [("words", "abc@@@def ghi", 3, 9, 6, 10, True), ("mixed", "x@ abc;", 1, 3, 2, 4, True), ("pair", "a?;b", 1, 2, 2, 3, False)]
 
 
-@query(f"SELECT set_name, data, at::BIGINT AS at, start::BIGINT AS start, evidence_begin::BIGINT AS evidence_begin, evidence_end::BIGINT AS evidence_end, by_window FROM (VALUES {values(_EVIDENCE)}) t(set_name, data, at, start, evidence_begin, evidence_end, by_window)")
+@query(f"SELECT set_name, data, searched_from::BIGINT AS searched_from, start::BIGINT AS start, evidence_begin::BIGINT AS evidence_begin, evidence_end::BIGINT AS evidence_end, by_window FROM (VALUES {values(_EVIDENCE)}) t(set_name, data, searched_from, start, evidence_begin, evidence_end, by_window)")
 def certified_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for name, data, at, *_ in _EVIDENCE:
         f = fixture(name).next_certified_evidence(data.encode(), at)
         rows.append((name, data, at, f.start, f.evidence_begin, f.evidence_end, f.window))
-    return spark.createDataFrame(rows, "set_name string, data string, at long, start long, evidence_begin long, evidence_end long, by_window boolean")
+    return spark.createDataFrame(rows, "set_name string, data string, searched_from long, start long, evidence_begin long, evidence_end long, by_window boolean")
 
 
 _ANCHORED = [("ab ba", "ab", 0, 0), ("ab ba", "ab", 1, None), ("ab ba", "abab", 0, 0), ("ab ba", "abab", 1, 2), ("ab ba", "abab", 3, None), ("ab ba", "z", 0, None), ("four", "baaabbbb", 0, 1), ("four", "baaabbbb", 2, 4), ("four", "baaabbbb", 5, 6)]
 
 
-@query(f"SELECT set_name, data, at::BIGINT AS at, start::BIGINT AS start FROM (VALUES {values(_ANCHORED)}) t(set_name, data, at, start)")
+@query(f"SELECT set_name, data, searched_from::BIGINT AS searched_from, start::BIGINT AS start FROM (VALUES {values(_ANCHORED)}) t(set_name, data, searched_from, start)")
 def anchored_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(s, d, at, fixture(s).next_anchored_start(d.encode(), at)) for s, d, at, _ in _ANCHORED]
-    return spark.createDataFrame(rows, "set_name string, data string, at long, start long")
+    return spark.createDataFrame(rows, "set_name string, data string, searched_from long, start long")
 
 
 _REPAIRS = [("ab ba", "ab", 0), ("ab ba", "b", 1), ("ab ba", "z", None), ("four", "b", 1), ("four", "ab", 1)]

@@ -24,13 +24,13 @@ def order_checksum(tokens: DataFrame, key: str) -> DataFrame:
     return part.groupBy(key).agg(F.pmod(F.sum("part"), F.lit(MODULUS)).alias("checksum"))
 
 
-def _power(n: Column, bits: int = 40) -> Column:
-    """31 ** n modulo the prime, by the bits of n."""
-    out, square = F.lit(1).cast("long"), 31
-    for b in range(bits):
-        bit = F.shiftright(n, b).bitwiseAND(F.lit(1)) == 1
-        out = F.when(bit, F.pmod(out * F.lit(square), F.lit(MODULUS))).otherwise(out) if b < 24 else out
-        square = square * square % MODULUS
+def _power(n: Column) -> Column:
+    """31 ** n modulo the prime, for n up to 2 ** 30, from three tables of powers."""
+    out = F.lit(1).cast("long")
+    for shift in (0, 10, 20):
+        table = [pow(31, i << shift, MODULUS) for i in range(1024)]
+        digit = F.shiftright(n, shift).bitwiseAND(F.lit(1023)).cast("int")
+        out = F.pmod(out * F.element_at(F.lit(table), digit + 1), F.lit(MODULUS))
     return out
 
 
