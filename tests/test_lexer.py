@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from tokenlake.functions import any_of, at_least, choice, concat, exact, kleene, optional, plus, text
+from tokenlake.functions import Charset, any_of, at_least, choice, concat, exact, kleene, optional, plus, text
+from tokenlake.functions.unicode import LAST, code_points
 from tokenlake.operators.automaton import Nfa
 from tokenlake.operators.scan import BatchScanner
 from tokenlake.operators.tokenset import TokenSet
@@ -49,6 +50,31 @@ def test_matches_and_batches_equal_the_direct_simulation():
             assert (np.cumsum(length[own]) - length[own]).tolist() == start[own].tolist()
 
 
+def test_batches_cut_at_windows_where_every_input_scans():
+    rng, cut = random.Random(21), 0
+    for _ in range(60):
+        tokens, _ = random_set(rng)
+        lexer = tokens.add_token(any_of(Charset.all()), 9, 9).compile()
+        if lexer.nullable:
+            continue
+        assert lexer.total
+        cut += bool((lexer.pair_windows >= 0).any())
+        texts = ["".join(rng.choice("abcd") for _ in range(rng.choice((0, 1, 5, 40, 200)))).encode() for _ in range(10)]
+        raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        of, kind, start, length, consumed = BatchScanner(lexer).scan(raw, offsets)
+        for i, t in enumerate(texts):
+            own = of == i
+            assert list(zip(kind[own].tolist(), length[own].tolist())) == lexer.scan(t)[0] and consumed[i] == len(t)
+    assert cut > 20
+
+
+def test_what_scans_every_text():
+    assert grammars.lexer("words").covers_utf8 and not grammars.lexer("words").total
+    assert grammars.lexer("html").total and not grammars.lexer("base").covers_utf8
+    halves = TokenSet().add_token(code_points(0, LAST), 0, 1).add_token(text(b"\xc3"), 1, 1).add_token(text(b"ab\xc3"), 2, 1).compile()
+    assert not halves.covers_utf8  # `ab\xc3` ends inside a code point
+
+
 def test_certified_chunks_reproduce_the_serial_scan():
     rng, certified, split = random.Random(0x5B1C), 0, 0
     for _ in range(60):

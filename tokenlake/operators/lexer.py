@@ -8,7 +8,8 @@ from functools import cached_property
 
 import numpy as np
 
-from .automaton import DEAD, Dfa
+from ..functions.unicode import LAST, byte_ranges, code_points
+from .automaton import DEAD, Dfa, Nfa, determinize, minimize
 
 #: Lengths of windows that plans and recovery look at.
 SHORTEST_WINDOW, LONGEST_WINDOW = 2, 4
@@ -189,6 +190,50 @@ class Lexer:
                 found |= dict.fromkeys(words, origin)
         return found
 
+    @cached_property
+    def pair_windows(self) -> np.ndarray:
+        """Of each two bytes (first times 256 and second), the offset that they certify, or -1."""
+        out = np.full(1 << 16, -1, np.int8)
+        for w, origin in self.certified_windows(2).items():
+            out[w[0] << 8 | w[1]] = origin
+        return out
+
+    @cached_property
+    def total(self) -> bool:
+        """Every byte is a token by itself, so every input scans wholly."""
+        to = self.dfa.delta[0]
+        return bool((to >= 0).all() and self.accepting[to].all())
+
+    @cached_property
+    def covers_utf8(self) -> bool:
+        """Every code point is a token by itself and no token ends inside one, so every valid UTF-8 input scans wholly."""
+        utf8 = minimize(determinize(Nfa().add(code_points(0, LAST), 0, 0))[0])
+        whole = utf8.accept >= 0
+        seen, todo = {(0, 0)}, [(0, 0)]
+        while todo:
+            s, u = todo.pop()
+            for t, v in {*zip(self.dfa.delta[s].tolist(), utf8.delta[u].tolist())}:
+                if v < 0:
+                    continue
+                if t < 0:
+                    continue
+                if self.accepting[t] and not whole[v]:
+                    return False
+                after = (t, 0 if whole[v] else v)
+                if after not in seen:
+                    seen.add(after)
+                    todo.append(after)
+        return self._each_code_point()
+
+    def _each_code_point(self) -> bool:
+        for sequence in byte_ranges(0, LAST):
+            states = {0}
+            for a, b in sequence:
+                states = {int(t) for s in states for t in (self.dfa.delta[s, a : b + 1] if s >= 0 else [DEAD])}
+            if not all(s >= 0 and self.accepting[s] for s in states):
+                return False
+        return True
+
     def shortest_window(self, longest: int = LONGEST_WINDOW) -> tuple[bytes, int] | None:
         """A shortest certified window and its offset, the least in byte order; None if none of up to this length certifies."""
         for n in range(1, longest + 1):

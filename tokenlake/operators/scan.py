@@ -1,12 +1,15 @@
 """Scans of DataFrames of texts: one row a text in, one row a token out.
 
-A worker scans a whole Arrow batch at once.  All offsets of the batch step through the automaton together, for as many steps as tokens are
-usually long; an offset that is still alive then is a long token, finished by itself when a scan really comes to it.  What is left of
-the sequential work is following the tokens' ends through a text, one list look-up a token.
+A worker scans a whole Arrow batch at once.  Where the token set proves token boundaries close together (certified bytes; certified windows of two bytes
+where every text is known to scan wholly), the pieces between them are lanes that step through the automaton together in array operations.
+Where boundaries are far apart, or a lane is long, tokens are followed one by one, and a run of bytes on which the automaton stays where it is
+is one step.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,96 +18,133 @@ from pyspark.sql import functions as F
 from .lexer import Lexer
 from .modes import ModalLexer, Stack
 
-#: Steps that all offsets take together; bytes of text scanned at once.
-STEPS, BLOCK = 24, 1 << 20
+#: Steps that lanes take together; mean bytes of a lane from which on tokens are followed one by one; bytes of text scanned at once.
+STEPS, LANE, BLOCK = 64, 24, 1 << 20
 
 
 class BatchScanner:
-    """Maximal munch over many texts in one buffer."""
+    """Maximal munch over many texts in one buffer.  text: the inputs are valid UTF-8."""
 
-    def __init__(self, lexer: Lexer):
-        # Rows are one index apart for each class, so one addition and one look-up make a step.
+    def __init__(self, lexer: Lexer, text: bool = False):
+        # Rows are one width apart for each class, so one addition and one look-up make a step.  State 0 is death, state 1 the start.
         self.width = lexer.table.shape[1]
         self.flat = np.ascontiguousarray(lexer.table.reshape(-1))
         self.byte_row = (lexer.byte_class * self.width).astype(np.int32)
-        self.end_row = np.int32((lexer.table.shape[0] - 1) * self.width)
         self.flags = lexer.flags
         self.accept = np.concatenate(([-1], lexer.dfa.accept)).astype(np.int64)
-        self.delta = None
+        self.cut_bytes = lexer.split_points
+        self.windows = lexer.pair_windows if lexer.total or text and lexer.covers_utf8 else None
+        self.delta, self.skips = None, None
         self.rows = lexer.dfa.delta
 
-    def jumps(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each byte's place in the padded buffer, and of each place the length and kind of its longest match so far (-1: none), and whether it is longer yet."""
-        texts = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        rows = np.full(len(raw) + len(offsets), self.end_row, np.int32)
-        place = np.arange(len(raw)) + texts
-        rows[place] = self.byte_row[raw]
-        length, kind = np.zeros(len(rows), np.int32), np.full(len(rows), -1, np.int32)
-        alive, state = place.astype(np.int32), np.ones(len(raw), np.int32)
-        for step in range(1, STEPS + 1):
-            state = self.flat[rows[alive + (step - 1)] + state]
-            keep = np.flatnonzero(state)
-            if not len(keep):
-                alive = alive[:0]
-                break
-            alive, state = alive[keep], state[keep]
-            done = self.flags[state]
-            length[alive[done]] = step
-            kind[alive[done]] = state[done]
-        late = np.zeros(len(rows), bool)
-        late[alive] = True
-        return place, length, kind, late
-
-    def finish(self, rows_of: np.ndarray, at: int, end: int) -> tuple[int, int]:
-        """Longest match of one long token, from its first byte again: (length, state)."""
-        delta, raw, state, best, kind = self._delta(), rows_of, 0, 0, -1
-        for i in range(at, end):
-            state = delta[state][raw[i]]
-            if state < 0:
-                break
-            if self.flags[state + 1]:
-                best, kind = i + 1 - at, state + 1
-        return best, kind
-
-    def _delta(self) -> list[list[int]]:
+    def _cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where lanes begin: each text, and each proved boundary."""
+        mask = self.cut_bytes[raw]
+        if self.windows is not None and len(raw) > 1:
+            origin = self.windows[(raw[:-1].astype(np.int32) << 8) | raw[1:]]
+            edges = offsets[1:-1]
+            edges = edges[(edges > 0) & (edges < len(raw))]
+            origin[edges - 1] = -1
+            mask[1:] |= origin == 1
+            mask[:-1] |= origin == 0
+        mask[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(mask)
+
+    def _lanes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: np.ndarray, kind: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+        """Scans all lanes together; where lanes failed, and (place, end) of lanes that are not done."""
+        rows = self.byte_row[raw]
+        failed: list[int] = []
+        pos, head, best, won, state = start.copy(), start, start.copy(), np.zeros(len(start), np.int32), np.ones(len(start), np.int32)
+        for _ in range(STEPS):
+            inside = pos < end
+            if inside.all():
+                after = self.flat[rows[pos] + state]
+            else:
+                after = np.zeros(len(pos), np.int32)
+                after[inside] = self.flat[rows[pos[inside]] + state[inside]]
+            alive = after > 0
+            done = ~alive
+            pos, state = pos + alive, after
+            hit = self.flags[after]
+            best, won = np.where(hit, pos, best), np.where(hit, after, won)
+            if done.any():
+                ends = np.flatnonzero(done)
+                h, e = head[ends], best[ends]
+                stuck = e == h
+                failed += h[stuck].tolist()
+                good = ~stuck
+                length[h[good]], kind[h[good]] = (e - h)[good], won[ends[good]]
+                pos[ends] = e
+                head = np.where(done, best, head)
+                state[ends], won[ends] = 1, 0
+                gone = np.zeros(len(pos), bool)
+                gone[ends[stuck | (e >= end[ends])]] = True
+                if gone.any():
+                    keep = np.flatnonzero(~gone)
+                    pos, head, best, won, state, end = pos[keep], head[keep], best[keep], won[keep], state[keep], end[keep]
+                    if not len(keep):
+                        return failed, []
+        return failed, list(zip(head.tolist(), end.tolist()))
+
+    def _one_by_one(self, data: bytes, at: int, end: int, length: np.ndarray, kind: np.ndarray) -> int:
+        """Follows tokens from at to end; where the scan stopped."""
         if self.delta is None:
             self.delta = self.rows.tolist()
-        return self.delta
+            self.skips = []
+            for s, row in enumerate(self.delta):
+                stay = bytes(b for b in range(256) if row[b] == s)
+                self.skips.append(re.compile(b"[" + b"".join(b"\\x%02x" % b for b in stay) + b"]+").match if stay else None)
+        delta, skips, accepting = self.delta, self.skips, self.flags[1:].tolist()
+        begins, sizes, kinds = [], [], []
+        while at < end:
+            state, i, last, won = 0, at, at, 0
+            while True:
+                if (skip := skips[state]) is not None and (run := skip(data, i, end)) is not None:
+                    i = run.end()
+                    if accepting[state]:
+                        last, won = i, state + 1
+                if i >= end:
+                    break
+                state = delta[state][data[i]]
+                if state < 0:
+                    break
+                i += 1
+                if accepting[state]:
+                    last, won = i, state + 1
+            if last == at:
+                break
+            begins.append(at)
+            sizes.append(last - at)
+            kinds.append(won)
+            at = last
+        length[begins], kind[begins] = sizes, kinds
+        return at
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray):
         """Of all texts' tokens: text, kind, start, length, in order; and the bytes consumed of each text."""
-        _, length, kind, late = self.jumps(raw, offsets)
-        jump = length.tolist()
-        slow = late.tolist() if late.any() else None
-        data = None
-        places: list[int] = []
-        first_of = np.zeros(len(offsets), np.int64)
-        consumed = np.zeros(len(offsets) - 1, np.int64)
-        add = places.append
-        for t in range(len(offsets) - 1):
-            at = begin = int(offsets[t]) + t
-            end = int(offsets[t + 1]) + t
-            while at < end:
-                if slow is not None and slow[at]:
-                    data = raw.tobytes() if data is None else data
-                    jump[at], kind[at] = self.finish(data, at - t, end - t)
-                    slow[at] = False
-                n = jump[at]
-                if not n:
-                    break
-                add(at)
-                at += n
-            consumed[t] = at - begin
-            first_of[t + 1] = len(places)
-        where = np.array(places, np.int64)
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(first_of))
-        lengths = np.diff(where, append=0)
-        if len(where):
-            # The last token of a text ends where the scan stopped, not where the next text's first token begins.
-            last = first_of[1:][np.diff(first_of) > 0] - 1
-            own = text[last]
-            lengths[last] = offsets[:-1][own] + own + consumed[own] - where[last]
-        return text, self.accept[kind[where]], where - text - offsets[:-1][text], lengths, consumed
+        n = len(raw)
+        length, kind = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        stops = offsets[1:].copy()
+        start = self._cuts(raw, offsets) if n else np.zeros(0, np.int64)
+        if len(start) and n >= LANE * len(start):
+            data = raw.tobytes()
+            for t in range(len(offsets) - 1):
+                stops[t] = self._one_by_one(data, int(offsets[t]), int(offsets[t + 1]), length, kind)
+        elif len(start):
+            failed, rest = self._lanes(raw, start, np.append(start[1:], n), length, kind)
+            data = raw.tobytes() if rest else b""
+            failed += [stop for at, end in rest if (stop := self._one_by_one(data, at, end, length, kind)) < end]
+            if failed:
+                # The scan of a text stops at its first failure, whatever lanes beyond it have found.
+                failed = np.array(sorted(failed))
+                text = np.searchsorted(offsets, failed, side="right") - 1
+                first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+                stops[text[first]] = failed[first]
+                for t, stop in zip(text[first], failed[first]):
+                    length[stop : offsets[t + 1]] = 0
+        where = np.flatnonzero(length)
+        text = np.searchsorted(offsets, where, side="right") - 1
+        return text, self.accept[kind[where]], where - offsets[:-1][text], length[where], stops - offsets[:-1]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +174,7 @@ def tokenize(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str = "te
     """(key, seq, kind, start, length[, lexeme][, payload]): every token of every text, up to where a text stops matching."""
     kind = docs.schema[key].dataType.simpleString()
     payloads = lexer.payloads
-    scanner = BatchScanner(lexer)
+    scanner = BatchScanner(lexer, docs.schema[data].dataType.typeName() == "string")
 
     def run(batches):
         for batch in batches:
@@ -160,7 +200,7 @@ def tokenize(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str = "te
 
 def kind_counts(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str = "text") -> DataFrame:
     """(key, kind, tokens, bytes) of each text and kind: tallies made where the tokens are, so that no token travels."""
-    scanner, key_type = BatchScanner(lexer), docs.schema[key].dataType.simpleString()
+    scanner, key_type = BatchScanner(lexer, docs.schema[data].dataType.typeName() == "string"), docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -192,7 +232,7 @@ def first_tokens(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str =
 
 def scan_ends(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str = "text") -> DataFrame:
     """(key, consumed, size, tokens): how far each text's scan came."""
-    scanner, key_type = BatchScanner(lexer), docs.schema[key].dataType.simpleString()
+    scanner, key_type = BatchScanner(lexer, docs.schema[data].dataType.typeName() == "string"), docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
