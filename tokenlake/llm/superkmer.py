@@ -174,8 +174,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", colum
     folder = workspace(spark, "superkmer")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     size = input_bytes(texts)
-    repeated = HashStore(folder, "repeated", shard_bits(size, 4e6), ())
-    firsts = HashStore(folder, "first", shard_bits(size, 4e6), ("other", "id", "start"))
+    repeated = HashStore(folder, "repeated", shard_bits(size, 1.5e6), ())
+    firsts = HashStore(folder, "first", shard_bits(size, 1.5e6), ("other", "id", "start"))
     _repeated(texts, repeated, window, mer)
     _firsts(texts, repeated, firsts, window, mer)
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or [id_col]]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))

@@ -202,7 +202,7 @@ def xxh64(text: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 4
     return out
 
 
-def blocks(offsets: np.ndarray, most: int = 8 << 20):
+def blocks(offsets: np.ndarray, most: int = 2 << 20):
     """Ranges of texts of a batch with at most so many bytes each, or one text: what is held at once stays bounded."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -212,7 +212,7 @@ def blocks(offsets: np.ndarray, most: int = 8 << 20):
         lo = hi
 
 
-def words_of(array, table: np.ndarray, most: int = 8 << 20):
+def words_of(array, table: np.ndarray, most: int = 2 << 20):
     """Yields (first row, rows, Words) over a string column, in blocks of bounded size."""
     raw, offsets = column(array)
     for lo, hi in blocks(offsets, most):
