@@ -22,6 +22,8 @@ from .shared import HashStore, input_bytes, pack, remove, shard_bits, shard_of,
 END = np.uint64(0x9AE16A3B2F90404F)
 #: A word with more than this part of all tokens is spread: at most 1 / HOT words.
 HOT = 0.0005
+#: Keys that a task sorts and sums at once.
+KEYS = 6_000_000
 
 
 def tokens(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +65,19 @@ def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(counts)
 
 
+def _counted(batches, keys_of):
+    """Distinct keys and counts of every KEYS keys or so: what a task sums before it sends."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        for _, _, w in tv.words_of(batch.column(0), tv.LOWER):
+            held.append(keys_of(w))
+            if sum(map(len, held)) >= KEYS:
+                yield np.unique(np.concatenate(held), return_counts=True)
+                held = []
+    if sum(map(len, held)):
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
 _ROWS = "shard int, keys binary, width int, counts binary"
 
 
@@ -126,11 +141,8 @@ def train(texts: DataFrame) -> Model:
     words = HashStore(folder, "words", bits, ("n",))
 
     def count_words(batches):
-        for batch in batches:
-            for _, _, w in tv.words_of(batch.column(0), tv.LOWER, 32 << 20):
-                keys, n = np.unique(tokens(w)[0], return_counts=True)
-                if (out := _send(shard_of(keys, bits), keys, n)) is not None:
-                    yield out
+        for keys, n in _counted(batches, lambda w: tokens(w)[0]):
+            yield _send(shard_of(keys, bits), keys, n)
 
     def gather_words(key, table):
         keys, n, _ = _sum_sorted(*_received(table))
@@ -152,13 +164,10 @@ def train(texts: DataFrame) -> Model:
     held = model
 
     def count_pairs(batches):
-        for batch in batches:
-            for _, _, w in tv.words_of(batch.column(0), tv.LOWER, 32 << 20):
-                keys, n = np.unique(pair_keys(held, w)[0], return_counts=True)
-                shard = held.shard(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
-                order = np.argsort(shard, kind="stable")
-                if (out := _send(shard[order], keys[order], n[order])) is not None:
-                    yield out
+        for keys, n in _counted(batches, lambda w: pair_keys(held, w)[0]):
+            shard = held.shard(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
+            order = np.argsort(shard, kind="stable")
+            yield _send(shard[order], keys[order], n[order])
 
     def gather_pairs(key, table):
         shard = key[0].as_py()
