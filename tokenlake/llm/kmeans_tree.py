@@ -12,7 +12,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import workspace
@@ -118,14 +118,14 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
         return spark.createDataFrame([], schema)
     dim = int(sizes["d"])
     fine = fine.where(F.size("v") == dim)
-    # One point for each vector, with the k + 1 smallest ids that carry it: no query needs more of them.
-    ids = fine.groupBy("v", "id").agg(F.max("q").alias("q"))
-    salted = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    keep = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-    part = salted.groupBy("v", "salt").agg(keep(F.collect_list("id")).alias("ids"), F.max("q").alias("q"))
-    points = part.groupBy("v").agg(keep(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("q").alias("q"))
-    points.write.parquet(f"{folder}/points")
-    points = spark.read.schema("v array<double>, ids array<long>, q boolean").parquet(f"{folder}/points")
+    # One point for each vector, with the k + 1 smallest ids that carry it: no query needs more of them.  The limit holds in each task before
+    # the shuffle, so a vector that a third of all rows carry is never gathered.
+    place_of = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    firsts = fine.select("v", "id").distinct().withColumn("n", place_of).where(F.col("n") <= k + 1)
+    firsts.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).write.parquet(f"{folder}/points")
+    points = spark.read.schema("v array<double>, ids array<long>").parquet(f"{folder}/points")
+    fine.where("q").select("v").distinct().write.parquet(f"{folder}/asked")
+    asked = spark.read.schema("v array<double>").parquet(f"{folder}/asked")
     total = points.count()
     fit_rows = points.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE)
     sample = fit_rows.toArrow()
@@ -136,13 +136,13 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
 
     def place(batches):
         for batch in batches:
-            yield pa.record_batch([pa.array(tree.value.descend(_matrix(batch.column(0), dim)), pa.int64()), *batch.columns], names=["leaf", "v", "ids", "q"])
+            yield pa.record_batch([pa.array(tree.value.descend(_matrix(batch.column(0), dim)), pa.int64()), *batch.columns], names=["leaf", "v", "ids"])
 
-    points.mapInArrow(place, "leaf long, v array<double>, ids array<long>, q boolean").write.parquet(f"{folder}/index")
-    index = spark.read.schema("leaf long, v array<double>, ids array<long>, q boolean").parquet(f"{folder}/index")
+    points.mapInArrow(place, "leaf long, v array<double>, ids array<long>").write.parquet(f"{folder}/index")
+    index = spark.read.schema("leaf long, v array<double>, ids array<long>").parquet(f"{folder}/index")
     counts = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf: bounded by SAMPLE
-    asked = index.where("q").select("v")
-    trial = _matrix(asked.orderBy(F.xxhash64("v")).limit(CALIBRATION).toArrow().column("v").combine_chunks(), dim) if index.where("q").limit(1).count() else np.zeros((0, dim))
+    trial = asked.orderBy(F.xxhash64("v")).limit(CALIBRATION).toArrow()
+    trial = _matrix(trial.column("v").combine_chunks(), dim) if trial.num_rows else np.zeros((0, dim))
     visits = _calibrate(index, trial, tree.value, counts, k, dim, recall)
 
     def route(batches):
@@ -156,8 +156,8 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
                     row_of.append(i)
             yield pa.record_batch([pa.array(leaf_of, pa.int64()), batch.column(0).take(pa.array(row_of, pa.int64()))], names=["leaf", "v"])
 
-    blocks = F.greatest(F.ceil(F.element_at(F.create_map(*[F.lit(y) for x in _spread(counts).items() for y in x]), F.col("leaf")) / F.lit(1)), F.lit(1)).cast("int") if _spread(counts) else F.lit(1)
-    parts = F.coalesce(blocks, F.lit(1))
+    many = _spread(counts)
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("leaf")), F.lit(1)) if many else F.lit(1)
     rows = index.select("leaf", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), F.col("v"), F.col("ids"))
     sent = asked.mapInArrow(route, "leaf long, v array<double>").select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("v"))
 
