@@ -240,7 +240,7 @@ def test_bpe(spark):
 
 
 def test_rank_queue_order():
-    rng, q, held = random.Random(1), bpe.RankQueue(), []
+    rng, q, held = random.Random(1), bpe.RankQueue(200_000), []
     for _ in range(3000):
         if held and rng.random() < 0.4:
             held.sort()

@@ -1,16 +1,16 @@
 """Byte-level BPE, encoding and decoding, with a hierarchical-bitmap rank queue.
 
-The pairs of a pre-token wait in one bucket for each merge rank.  Three levels of 64-bit words say which buckets hold anything, so the
-next rank is three find-first-set steps away however long the pre-token is.  A bucket holds places in a linked list of tokens, the
+The pairs of a pre-token wait in one bucket for each merge rank.  A bitmap of two levels says which buckets hold anything, so the
+next rank is two find-first-set steps away however long the pre-token is.  A bucket holds places in a linked list of tokens, the
 leftmost first.  A merge leaves the entries of the pairs it destroys where they are; they are skipped when their rank comes up and
 the pair at that place is another one by then.
 """
 
 from __future__ import annotations
 
+import array
 import base64
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,58 +19,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import small_batches
 
 #: Pre-tokens whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 
 
 class RankQueue:
-    """Smallest rank first, then smallest place."""
+    """Smallest rank first, then smallest place.
 
-    __slots__ = ("top", "middle", "low", "buckets")
+    A word of the lower level tells which of 64 neighbouring buckets hold anything, the upper level which of these words aren't zero.  A queue that
+    has run empty is as good as new, so one serves all pre-tokens.
+    """
+
+    __slots__ = ("upper", "lower", "buckets")
 
-    def __init__(self):
-        self.top = 0
-        self.middle: dict[int, int] = {}
-        self.low: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
+    def __init__(self, ranks: int):
+        self.upper = 0
+        self.lower = [0] * (ranks // 64 + 1)
+        self.buckets: list[list[int]] = [[] for _ in range(ranks + 1)]
 
     def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
+        bucket = self.buckets[rank]
         if bucket:
             heappush(bucket, place)
             return
-        self.buckets[rank] = [place]
+        bucket.append(place)
         word = rank >> 6
-        bits = self.low.get(word, 0)
-        self.low[word] = bits | 1 << (rank & 63)
-        if not bits:
-            group = word >> 6
-            bits = self.middle.get(group, 0)
-            self.middle[group] = bits | 1 << (word & 63)
-            if not bits:
-                self.top |= 1 << group
+        if not self.lower[word]:
+            self.upper |= 1 << word
+        self.lower[word] |= 1 << (rank & 63)
 
     def pop(self) -> tuple[int, int]:
         """The queue must hold something."""
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[group]
-        word = group << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[word]
+        word = (self.upper & -self.upper).bit_length() - 1
+        bits = self.lower[word]
         rank = word << 6 | (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            self.low[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.middle[group] = bits = self.middle[group] & ~(1 << (word & 63))
-                if not bits:
-                    self.top &= ~(1 << group)
-        return rank, place
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        self.lower[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.upper &= self.upper - 1
+        return rank, bucket.pop()
 
 
 class Vocabulary(dict):
-    """Ranks of a tiktoken file; as a dict it remembers the ids of pre-tokens, as they are met."""
+    """Ranks of a tiktoken file; as a dict it remembers the ids of pre-tokens, packed, as they are met."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
@@ -78,63 +73,92 @@ class Vocabulary(dict):
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
+        self.queue = RankQueue(max(self.ranks.values()))
+        self.type = np.dtype(np.uint16 if max(self.ranks.values()) < 65536 else np.int32)
+        self.code = array.array("H" if self.type.itemsize == 2 else "i").typecode
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.encode_piece(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        ids = array.array(self.code, self.encode_piece(piece.encode())).tobytes()
         if len(piece) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
             self[piece] = ids
         return ids
 
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
+    def encode_piece(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token: the pair of least rank, leftmost first, is merged until none is left."""
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
-            return (whole,)
+            return [whole]
         n = len(piece)
-        token = [piece[i : i + 1] for i in range(n)]
         if n == 1:
             raise KeyError(f"no id for byte {piece!r}")
+        # The queue's push and pop are written out here: most pre-tokens are short, and calls would take most of the time.
+        find, lower, buckets, upper = ranks.get, self.queue.lower, self.queue.buckets, 0
+        token = [piece[i : i + 1] for i in range(n)]
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        current = [-1] * n  # the rank of the pair that begins here
-        queue = RankQueue()
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                current[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+        current = [find(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of the pair that begins here
+        current.append(-1)
+        for i, rank in enumerate(current):
+            if rank >= 0:
+                if bucket := buckets[rank]:
+                    bucket.append(i)
+                else:
+                    bucket.append(i)
+                    word = rank >> 6
+                    upper |= 1 << word
+                    lower[word] |= 1 << (rank & 63)
+        while upper:
+            word = (upper & -upper).bit_length() - 1
+            bits = lower[word]
+            rank = word << 6 | (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
+                lower[word] = bits = bits & (bits - 1)
+                if not bits:
+                    upper &= upper - 1
             if current[i] != rank:
                 continue
             j = after[i]
-            token[i] += token[j]
-            token[j] = b""
+            merged = token[i] = token[i] + token[j]
+            token[j] = None
             current[j] = -1
-            k = after[j]
-            after[i] = k
-            current[i] = -1
+            after[i] = k = after[j]
+            h = before[i]
             if k < n:
                 before[k] = i
-                new = ranks.get(token[i] + token[k])
-                if new is not None:
-                    current[i] = new
-                    queue.push(new, i)
-            h = before[i]
+                current[i] = new = find(merged + token[k], -1)
+                if new >= 0:
+                    if bucket := buckets[new]:
+                        heappush(bucket, i)
+                    else:
+                        bucket.append(i)
+                        word = new >> 6
+                        upper |= 1 << word
+                        lower[word] |= 1 << (new & 63)
+            else:
+                current[i] = -1
             if h >= 0:
-                new = ranks.get(token[h] + token[i])
-                old = current[h]
-                if new is None:
-                    current[h] = -1
-                elif new != old:
+                new = find(token[h] + merged, -1)
+                if new != current[h]:
                     current[h] = new
-                    queue.push(new, h)
-        return tuple([ranks[t] for t in token if t])
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
+                    if new >= 0:
+                        if bucket := buckets[new]:
+                            heappush(bucket, h)
+                        else:
+                            bucket.append(h)
+                            word = new >> 6
+                            upper |= 1 << word
+                            lower[word] |= 1 << (new & 63)
+        return [ranks[t] for t in token if t is not None]
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), self.type)
 
     def decode(self, ids) -> bytes:
         """Bytes of the ids; an id outside the vocabulary is a KeyError."""
@@ -156,6 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str], text_co
 
     Every row is encoded on its own, so repeated rows, clashing names among `columns` and empty tables need no rule.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches):
@@ -163,7 +188,7 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str], text_co
         for batch in batches:
             offsets = tv.column(batch.column(1))[1]
             for lo, hi in tv.blocks(offsets, 4 << 20):
-                own = [np.array(v.encode(t or ""), np.int32) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                own = [v.encode(t or "").astype(np.int32) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(ends, np.concatenate(own) if own else np.zeros(0, np.int32))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), ids], names=["row", "ids"])
