@@ -59,3 +59,16 @@ def test_state_limit():
     determinize(Nfa().add(p, 0, 0), n)
     with pytest.raises(StateLimitError):
         determinize(Nfa().add(p, 0, 0), n - 1)
+
+
+def test_automata_are_composed():
+    a, b = Nfa().add(text("ab"), 0, 1), Nfa().add(plus(text("c")), 0, 2)
+    assert a.then(b).match(b"abcc") == (2, 4) and a.then(b).match(b"ab") == (None, 0)
+    both = Nfa.merged([a, b.shifted(3)])
+    assert both.match(b"ab") == (1, 2) and both.match(b"cc") == (2, 2)
+    now = both.closure({both.start})
+    for byte in b"ab":
+        now = both.advance(now, byte)
+    assert both.token(now) == (0, 1)
+    dfa = minimize(determinize(both)[0])
+    assert dfa.token(dfa.advance(dfa.advance(0, 97), 98)) == 1 and dfa.advance(0, 120) is None and dfa.token(0) is None

@@ -190,6 +190,50 @@ class Lexer:
                 found |= dict.fromkeys(words, origin)
         return found
 
+    def witness(self, window: bytes) -> bytes | None:
+        """An input that scans wholly and holds the window, of those that reach some live state, pass over the window, and end at the nearest acceptance."""
+        ways = {0: b""} | {s: w for s, w in self._access()}
+        ends = self._endings()
+        for _, w in sorted(ways.items(), key=lambda x: (len(x[1]), x[1])):
+            data = w + window
+            # What the scan leaves open at the end is the beginning of a token, which its state's nearest acceptance completes.
+            state = 0
+            for b in data[self.scan(data)[1] :]:
+                state = self._live_rows[state][b] if state >= 0 else DEAD
+            data += ends.get(state, b"") if state > 0 else b""
+            if self.scan(data)[1] == len(data):
+                return data
+        return None
+
+    def _access(self) -> Iterator[tuple[int, bytes]]:
+        """Each live state with a shortest word that leads to it."""
+        level, seen = [(0, b"")], set()
+        while level:
+            after = []
+            for s, w in level:
+                for b in range(256):
+                    t = self._live_rows[s][b]
+                    if t >= 0 and t not in seen:
+                        seen.add(t)
+                        after.append((t, w + bytes([b])))
+            yield from after
+            level = after
+
+    def _endings(self) -> dict[int, bytes]:
+        """Of each live state, a shortest word to acceptance."""
+        out = {s: b"" for s in range(self.dfa.states) if self.accepting[s]}
+        grew = True
+        while grew:
+            more = {}
+            for s in np.flatnonzero(self.live).tolist():
+                if s not in out:
+                    found = next((bytes([b]) + out[t] for b, t in enumerate(self._live_rows[s]) if t in out), None)
+                    if found is not None:
+                        more[s] = found
+            out |= more
+            grew = bool(more)
+        return out
+
     @cached_property
     def pair_windows(self) -> np.ndarray:
         """Of each two bytes (first times 256 and second), the offset that they certify, or -1."""

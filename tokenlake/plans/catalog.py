@@ -11,7 +11,7 @@ from ..functions import Charset, choice, concat, kleene, plus, text
 from ..functions.pattern import any_of
 from ..functions.rawstring import scan_raw_string
 from ..functions.unicode import byte_ranges, code_points, xid_continue, xid_start
-from ..operators import dot, recovery, relations, scan
+from ..operators import dot, recovery, relations, scan, sql
 from ..operators.automaton import Nfa
 from ..operators.lexer import Lexer
 from ..operators.modes import ModalTokenSet, go_to, pop, push
@@ -186,6 +186,17 @@ def xid_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
 
 
+@query(r"""SELECT item_id, count(*) AS tokens, count(DISTINCT lower(lex)) FILTER (WHERE regexp_full_match(lex, '[A-Za-z_][A-Za-z_0-9]*')) AS words
+FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[ \t\n\r]+|(?s:.)')) AS lex FROM benchmark) GROUP BY 1""")
+def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan as a table function, called from SQL."""
+    sql.register(spark, "word_tokens", grammars.lexer("words"))
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("tokenlake_benchmark")
+    return spark.sql(
+        "SELECT item_id, count(*) AS tokens, count(DISTINCT CASE WHEN kind = 0 THEN lower(cast(lexeme AS STRING)) END) AS words FROM tokenlake_benchmark, LATERAL word_tokens(text) GROUP BY item_id"
+    )
+
+
 # Pattern algebra.
 
 _SETS = {"digits": "[0-9]", "alpha": "[A-Za-z]", "alphanum": "[A-Za-z0-9]", "printable": "[ -~]", "escape": "[\\n\\t\\r''\"\\\\]", "newline": "[\\n\\r]", "whitespace": "[ \\t]", "alpha - vowels": "[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]", "digits + dot": "[0-9.]"}
@@ -320,12 +331,6 @@ def split_point_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WINDOWED = ("base + strings", "JSON", "conventional")
 
 
-def _window_sql() -> str:
-    x = {g: grammars.lexer(g) for g in _WINDOWED}
-    rows = values([(g, w[0], w[1], o) for g in x for w, o in x[g].certified_windows(2).items()])
-    return f"SELECT grammar, first::INT AS first, second::INT AS second, origin::INT AS origin FROM (VALUES {rows}) t(grammar, first, second, origin)"
-
-
 def _window_oracle() -> str:
     """The histories' cloud for every pair of bytes, in SQL over the transitions alone."""
     x = {g: grammars.lexer(g) for g in _WINDOWED}
@@ -355,6 +360,24 @@ def json_window_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("windows"), F.count(F.when(F.col("first").isin(9, 10, 13), 1)).alias("whitespace_first"))
 
 
+@query("SELECT set_name, certified::BIGINT AS certified, true AS witnessed FROM (VALUES ('base + strings', 1), ('JSON', 1), ('conventional', 1)) t(set_name, certified)")
+def window_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest certified window's offset, and whether an input that scans wholly holds the window."""
+    rows = []
+    for g in _WINDOWED:
+        window, origin = grammars.lexer(g).shortest_window()
+        found = grammars.lexer(g).witness(window)
+        rows.append((g, origin, found is not None and window in found))
+    return spark.createDataFrame(rows, "set_name string, certified long, witnessed boolean")
+
+
+@query()
+def grammar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the named token sets as a relation."""
+    rows = [(g, *r) for g in grammars.TABLE for r in grammars.TABLE[g]().rows()]
+    return spark.createDataFrame(rows, "grammar string, token_id long, priority long, pattern string, payload long, ignored boolean")
+
+
 # Chunks.
 
 _CHUNKS = 4
