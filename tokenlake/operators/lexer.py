@@ -13,6 +13,8 @@ from .automaton import DEAD, Dfa, Nfa, determinize, minimize
 
 #: Lengths of windows that plans and recovery look at.
 SHORTEST_WINDOW, LONGEST_WINDOW = 2, 4
+#: Decided windows that a process remembers.
+MEMO = 500_000
 
 
 @dataclass(frozen=True)
@@ -353,7 +355,6 @@ class Lexer:
         core = self.mandatory_core if use_core else b""
         if len(core) + 1 > LONGEST_WINDOW:
             return [0, len(data)]
-        memo: dict[bytes, int | None] = {}
 
         def cut(floor: int) -> int | None:
             at = floor
@@ -363,7 +364,7 @@ class Lexer:
                     if hit < 0:
                         return None
                     at = max(at, hit + len(core) + 1 - LONGEST_WINDOW)
-                if (found := self._window_at(data, at, memo)) is not None:
+                if (found := self._window_at(data, at)) is not None:
                     return found[0]
                 at += 1
             return None
@@ -379,8 +380,16 @@ class Lexer:
                 out.append(at)
         return [*out, size]
 
-    def _window_at(self, data: bytes, at: int, memo: dict[bytes, int | None]) -> tuple[int, int] | None:
+    @cached_property
+    def _decided(self) -> dict[bytes, int | None]:
+        """Windows that have been decided, for all texts that this process plans."""
+        return {}
+
+    def _window_at(self, data: bytes, at: int) -> tuple[int, int] | None:
         """(start, end of evidence) of the shortest certified window that begins here."""
+        memo = self._decided
+        if len(memo) > MEMO:
+            memo.clear()
         for n in range(SHORTEST_WINDOW, min(LONGEST_WINDOW, len(data) - at) + 1):
             w = data[at : at + n]
             if w not in memo:
@@ -398,11 +407,10 @@ class Lexer:
 
     def next_certified_evidence(self, data: bytes, at: int = 0) -> CertifiedStart | None:
         """The first certified start that evidence at or after this offset proves: bytes first, then windows by place and length."""
-        memo: dict[bytes, int | None] = {}
         for i in range(at, len(data)):
             if self.split_points[data[i]]:
                 return CertifiedStart(i, i, i + 1, False)
-            if not self.nullable and (found := self._window_at(data, i, memo)) is not None:
+            if not self.nullable and (found := self._window_at(data, i)) is not None:
                 return CertifiedStart(found[0], i, found[1], True)
         return None
 

@@ -101,11 +101,12 @@ def token_order_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.order_checksum(scan.tokenize(table(spark, sf_dir, "documents"), grammars.lexer("words")), "doc_id")
 
 
-@query(f"WITH {_WORD_TOKENS} SELECT lang, kind, count(*) AS tokens FROM t JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, kind)")
+@query(f"WITH {_WORD_TOKENS} SELECT coalesce(lang, '*') AS lang, coalesce(kind, -1) AS kind, count(*) AS tokens FROM t JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, kind)")
 def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = scan.kind_counts(docs, grammars.lexer("words")).join(docs.select("doc_id", "lang"), "doc_id")
-    return counts.rollup("lang", "kind").agg(F.sum("tokens").alias("tokens"))
+    rolled = counts.rollup("lang", "kind").agg(F.sum("tokens").alias("tokens"))
+    return rolled.select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("kind", F.lit(-1)).cast("long").alias("kind"), "tokens")
 
 
 @query(f"""WITH {_WORD_TOKENS}, n AS (SELECT lang, sum((kind = 1)::INT)::DOUBLE AS s, count(*)::DOUBLE AS n FROM t JOIN documents USING (doc_id) GROUP BY lang)
@@ -461,10 +462,10 @@ def fixture(name: str) -> Lexer:
     return out.compile()
 
 
-@query(r"SELECT doc_id, CASE WHEN strpos(text, chr(10)) = 0 THEN NULL ELSE strlen(substr(text, 1, strpos(text, chr(10)) - 1))::BIGINT END AS start FROM documents")
+@query(r"SELECT doc_id, CASE WHEN strpos(text, chr(10)) = 0 THEN -1 ELSE strlen(substr(text, 1, strpos(text, chr(10)) - 1))::BIGINT END AS start FROM documents")
 def certified_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line end of each document, as the first certified start."""
-    return recovery.certified_starts(table(spark, sf_dir, "documents"), grammars.lexer("log lines"), 0).select("doc_id", "start")
+    """The first line end of each document, as the first certified start; -1 where there is none."""
+    return recovery.certified_starts(table(spark, sf_dir, "documents"), grammars.lexer("log lines"), 0).select("doc_id", F.coalesce("start", F.lit(-1).cast("long")).alias("start"))
 
 
 _EVIDENCE = [("words", "abc@@@def ghi", 3, 9, 6, 10, True), ("mixed", "x@ abc;", 1, 3, 2, 4, True), ("pair", "a?;b", 1, 2, 2, 3, False)]
@@ -479,30 +480,30 @@ def certified_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "set_name string, data string, searched_from long, start long, evidence_begin long, evidence_end long, by_window boolean")
 
 
-_ANCHORED = [("ab ba", "ab", 0, 0), ("ab ba", "ab", 1, None), ("ab ba", "abab", 0, 0), ("ab ba", "abab", 1, 2), ("ab ba", "abab", 3, None), ("ab ba", "z", 0, None), ("four", "baaabbbb", 0, 1), ("four", "baaabbbb", 2, 4), ("four", "baaabbbb", 5, 6)]
+_ANCHORED = [("ab ba", "ab", 0, 0), ("ab ba", "ab", 1, -1), ("ab ba", "abab", 0, 0), ("ab ba", "abab", 1, 2), ("ab ba", "abab", 3, -1), ("ab ba", "z", 0, -1), ("four", "baaabbbb", 0, 1), ("four", "baaabbbb", 2, 4), ("four", "baaabbbb", 5, 6)]
 
 
 @query(f"SELECT set_name, data, searched_from::BIGINT AS searched_from, start::BIGINT AS start FROM (VALUES {values(_ANCHORED)}) t(set_name, data, searched_from, start)")
 def anchored_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(s, d, at, fixture(s).next_anchored_start(d.encode(), at)) for s, d, at, _ in _ANCHORED]
+    rows = [(s, d, at, -1 if (x := fixture(s).next_anchored_start(d.encode(), at)) is None else x) for s, d, at, _ in _ANCHORED]
     return spark.createDataFrame(rows, "set_name string, data string, searched_from long, start long")
 
 
-_REPAIRS = [("ab ba", "ab", 0), ("ab ba", "b", 1), ("ab ba", "z", None), ("four", "b", 1), ("four", "ab", 1)]
+_REPAIRS = [("ab ba", "ab", 0), ("ab ba", "b", 1), ("ab ba", "z", -1), ("four", "b", 1), ("four", "ab", 1)]
 
 
 @query(f"SELECT set_name, data, length::BIGINT AS length FROM (VALUES {values(_REPAIRS)}) t(set_name, data, length)")
 def minimal_repair_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(s, d, None if (r := fixture(s).minimal_repair(d.encode())) is None else len(r)) for s, d, _ in _REPAIRS]
+    rows = [(s, d, -1 if (r := fixture(s).minimal_repair(d.encode())) is None else len(r)) for s, d, _ in _REPAIRS]
     return spark.createDataFrame(rows, "set_name string, data string, length long")
 
 
-_LAGS = [("a abc", 1, True), ("a ab*c", None, False), ("a abb", 1, False), ("a ;", 0, True)]
+_LAGS = [("a abc", 1, True), ("a ab*c", -1, False), ("a abb", 1, False), ("a ;", 0, True)]
 
 
 @query(f"SELECT set_name, lag::BIGINT AS lag, rescue_free FROM (VALUES {values(_LAGS)}) t(set_name, lag, rescue_free)")
 def lag_and_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s, fixture(s).lag, fixture(s).rescue_free) for s, *_ in _LAGS], "set_name string, lag long, rescue_free boolean")
+    return spark.createDataFrame([(s, -1 if fixture(s).lag is None else fixture(s).lag, fixture(s).rescue_free) for s, *_ in _LAGS], "set_name string, lag long, rescue_free boolean")
 
 
 @query()
@@ -597,10 +598,10 @@ _RAW = [
 ]
 
 
-@query(f"SELECT data, length::BIGINT AS length, error FROM (VALUES {values([(d, n, e) for d, _, n, e in _RAW])}) t(data, length, error)")
+@query(f"SELECT data, coalesce(length, -1)::BIGINT AS length, coalesce(error, '') AS error FROM (VALUES {values([(d, n, e) for d, _, n, e in _RAW])}) t(data, length, error)")
 def raw_string_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(d, o) for d, o, *_ in _RAW], "data string, at int")
-    return rows.select("data", scan_raw_string(F.col("data"), F.col("at")).alias("r")).select("data", "r.length", "r.error")
+    return rows.select("data", scan_raw_string(F.col("data"), F.col("at")).alias("r")).select("data", F.coalesce("r.length", F.lit(-1).cast("long")).alias("length"), F.coalesce("r.error", F.lit("")).alias("error"))
 
 
 @query()
@@ -612,7 +613,7 @@ def dot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]+|\n')) AS lex, generate_subscripts(regexp_extract_all(text, '[^\n]+|\n'), 1) AS i FROM documents),
 p AS (SELECT doc_id, lex, sum(strlen(lex)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(lex) AS start FROM n),
 g AS (SELECT doc_id, start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) AS gap FROM p WHERE lex = chr(10))
-SELECT doc_id, count(*) AS positions, round(avg(gap), 9) AS mean_gap, max(gap)::BIGINT AS widest_gap FROM g GROUP BY doc_id""")
+SELECT doc_id, count(*) AS positions, round(coalesce(avg(gap), 0), 9) AS mean_gap, coalesce(max(gap), 0)::BIGINT AS widest_gap FROM g GROUP BY doc_id""")
 def split_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certified line ends of each document, and the gaps between them."""
     places = scan.tokenize(table(spark, sf_dir, "documents"), grammars.lexer("log lines")).where("kind = 1")
@@ -621,7 +622,7 @@ def split_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_WORD_TOKENS}, p AS (SELECT doc_id, kind, sum(length) OVER (PARTITION BY doc_id ORDER BY seq) - length AS start FROM t),
 g AS (SELECT doc_id, start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) AS gap FROM p WHERE kind = 1)
-SELECT doc_id, count(*) AS positions, round(avg(gap), 9) AS mean_gap, max(gap)::BIGINT AS widest_gap FROM g GROUP BY doc_id""")
+SELECT doc_id, count(*) AS positions, round(coalesce(avg(gap), 0), 9) AS mean_gap, coalesce(max(gap), 0)::BIGINT AS widest_gap FROM g GROUP BY doc_id""")
 def number_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = scan.tokenize(table(spark, sf_dir, "documents"), grammars.lexer("words")).where("kind = 1")
     return stats.gaps(places, "doc_id").withColumn("mean_gap", F.round("mean_gap", 9))

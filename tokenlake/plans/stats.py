@@ -35,10 +35,10 @@ def _power(n: Column) -> Column:
 
 
 def gaps(positions: DataFrame, key: str, at: str = "start") -> DataFrame:
-    """(key, positions, mean_gap, widest_gap) of places in texts; gaps are between neighbours."""
+    """(key, positions, mean_gap, widest_gap) of places in texts; gaps are between neighbours, 0 for a single place."""
     before = F.lag(at).over(Window.partitionBy(key).orderBy(at))
     gap = positions.withColumn("gap", F.col(at) - before)
-    return gap.groupBy(key).agg(F.count("*").alias("positions"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("widest_gap"))
+    return gap.groupBy(key).agg(F.count("*").alias("positions"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap"), F.coalesce(F.max("gap"), F.lit(0).cast("long")).alias("widest_gap"))
 
 
 def balance(plan: DataFrame, key: str) -> DataFrame:
