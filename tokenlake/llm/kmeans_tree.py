@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .shared import workspace
 
-#: Rows that fit the tree; queries that calibrate it; rows of a leaf that one task compares at once.
-SAMPLE, CALIBRATION, BLOCK = 20_000, 64, 4096
+#: Rows that fit the tree; queries that calibrate it; rows of neighbouring leaves that are compared at once; queries compared with them at once.
+SAMPLE, CALIBRATION, BLOCK, QUERIES = 20_000, 64, 4096, 256
 
 
 class Tree:
@@ -98,7 +98,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, branch: int = 8, leaf: int = 64, seed: int = 3) -> DataFrame:
+def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.95, branch: int = 8, leaf: int = 64, seed: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, itself left out, nearest first, ties to the smaller id.
 
     queries: SQL condition on rows.  score: Euclidean distance in double precision.  Vectors that are null, zero, or hold null or non-finite
@@ -145,37 +145,48 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
     trial = _matrix(trial.column("v").combine_chunks(), dim) if trial.num_rows else np.zeros((0, dim))
     visits = _calibrate(index, trial, tree.value, counts, k, dim, recall)
 
+    groups = _groups(tree.value, counts)
+    home = {leaf: (g, parts) for leaf, g, parts in groups}
+
     def route(batches):
         t = tree.value
         for batch in batches:
             q = _matrix(batch.column(0), dim)
-            leaf_of, row_of = [], []
+            rows = []
             for i in range(len(q)):
+                wanted: dict[tuple[int, int], list[int]] = {}
                 for n in _leaves(t, q[i], counts, visits, k):
-                    leaf_of.append(n)
-                    row_of.append(i)
-            yield pa.record_batch([pa.array(leaf_of, pa.int64()), batch.column(0).take(pa.array(row_of, pa.int64()))], names=["leaf", "v"])
-
-    many = _spread(counts)
-    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("leaf")), F.lit(1)) if many else F.lit(1)
-    rows = index.select("leaf", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), F.col("v"), F.col("ids"))
-    sent = asked.mapInArrow(route, "leaf long, v array<double>").select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("v"))
-
-    def compare(key, left: pa.Table, right: pa.Table):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"v": pa.array([], pa.list_(pa.float64())), "d": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
-        x, q = _matrix(left.column("v").combine_chunks(), dim), _matrix(right.column("v").combine_chunks(), dim)
-        own, at, far = [], [], []
-        for i in range(len(q)):
-            d = exact(q[i : i + 1], x)[0]
-            near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
-            own += [i] * len(near)
-            at += near.tolist()
-            far.append(d[near])
-        return pa.table({"v": right.column("v").combine_chunks().take(pa.array(own, pa.int64())), "d": np.concatenate(far), "ids": left.column("ids").combine_chunks().take(pa.array(at, pa.int64()))})
-
-    compare.__annotations__ = {}
-    near = rows.groupBy("leaf", "part").cogroup(sent.groupBy("leaf", "part")).applyInArrow(compare, "v array<double>, d double, ids array<long>")
+                    wanted.setdefault(home[n], []).append(n)
+                rows += [(g, p, i, leaves) for (g, parts), leaves in wanted.items() for p in range(parts)]
+            group, part, row, leaves = zip(*rows) if rows else ((), (), (), ())
+            yield pa.record_batch([pa.array(group, pa.int64()), pa.array(part, pa.int32()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(leaves, pa.list_(pa.int64()))], names=["group", "part", "v", "leaves"])
+
+    dealt = spark.createDataFrame(groups, "leaf long, group long, parts int")  # one row a leaf
+    rows = index.join(F.broadcast(dealt), "leaf").select("group", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "leaf", "v", "ids")
+    sent = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(route, "group long, part int, v array<double>, leaves array<long>")
+
+    def compare(key, left, right):
+        x, leaf = _matrix(left.column("v").combine_chunks(), dim), left.column("leaf").to_numpy()
+        q, wanted = _matrix(right.column("v").combine_chunks(), dim), right.column("leaves").to_pylist()
+        known, of = np.unique(leaf, return_inverse=True)
+        own, at, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for lo in range(0, len(q) if len(x) else 0, QUERIES):
+            part = q[lo : lo + QUERIES]
+            visited = np.zeros((len(part), len(known)), bool)
+            for i, leaves in enumerate(wanted[lo : lo + QUERIES]):
+                visited[i] = np.isin(known, leaves)
+            rough = np.where(visited[:, of], squared(part, x), np.inf)
+            # Products of matrices are rough in the last digits: what is near the limit is measured exactly.
+            limit = np.partition(rough, k, axis=1)[:, k] if rough.shape[1] > k + 1 else np.full(len(part), np.inf)
+            slack = 1e-9 * ((part * part).sum(1) + (x * x).sum(1).max())
+            for i in range(len(part)):
+                near = np.flatnonzero((rough[i] <= limit[i] + slack[i]) & np.isfinite(rough[i]))
+                own.append(np.full(len(near), lo + i))
+                at.append(near)
+                far.append(exact(part[i : i + 1], x[near])[0])
+        return pa.table({"v": right.column("v").combine_chunks().take(pa.array(np.concatenate(own), pa.int64())), "d": np.concatenate(far), "ids": left.column("ids").combine_chunks().take(pa.array(np.concatenate(at), pa.int64()))})
+
+    near = rows.groupBy("group", "part").cogroup(sent.groupBy("group", "part")).applyInArrow(compare, "v array<double>, d double, ids array<long>")
     pairs = near.select("v", F.explode("ids").alias("vec_id"), "d")
     best = F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id"))), 1, k + 1)
     found = pairs.groupBy("v").agg(best.alias("best"))  # k + 1 rows from each block visited
@@ -184,9 +195,23 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
     return mine.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.d").alias("score"))
 
 
-def _spread(counts: dict[int, int]) -> dict[int, int]:
-    """Leaves of over BLOCK rows and the number of blocks that each is dealt out in."""
-    return {leaf: -(-n // BLOCK) for leaf, n in counts.items() if n > BLOCK}
+def _groups(tree: Tree, counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(leaf, group, parts): neighbouring leaves in groups of about BLOCK rows; a larger leaf is a group of its own, dealt out in parts."""
+    order, todo = [], [0]
+    while todo:
+        n = todo.pop()
+        first, count = tree.child[n]
+        if count:
+            todo += reversed(range(first, first + count))
+        elif n in counts:
+            order.append(n)
+    out, group, held = [], 0, 0
+    for leaf in order:
+        if held and held + counts[leaf] > BLOCK:
+            group, held = group + 1, 0
+        out.append((leaf, group, max(1, -(-counts[leaf] // BLOCK))))
+        held += counts[leaf]
+    return out
 
 
 def _leaves(tree: Tree, q: np.ndarray, counts: dict[int, int], visits: int, k: int):
