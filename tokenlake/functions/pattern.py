@@ -1,6 +1,6 @@
 """Patterns over bytes: immutable values, without behaviour of their own.
 
-Deliberately absent, as a maximal-munch scanner has no use for them: captures, back-references, look-around, unanchored
+Deliberately absent, as a longest-match scanner has no use for them: captures, back-references, look-around, unanchored
 search, and shortest or first match.
 """
 

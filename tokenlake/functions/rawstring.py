@@ -12,6 +12,7 @@ MOST = 16
 PUNCTUATION = "!\"#%&'*+,-./:;<=>?[]^_{|}~"
 _CLASS = "".join("\\" + c if not c.isalnum() else c for c in string.ascii_letters + string.digits + PUNCTUATION)
 
+# What errors say.
 NOT_RAW, BAD_DELIMITER, UNTERMINATED = "Not a raw string literal", "Invalid raw string delimiter", "Unterminated raw string literal"
 
 

@@ -23,7 +23,7 @@ STEPS, LANE, BLOCK = 64, 24, 1 << 20
 
 
 class BatchScanner:
-    """Maximal munch over many texts in one buffer.  text: the inputs are valid UTF-8."""
+    """Longest matches over many texts in one buffer.  text: the inputs are valid UTF-8."""
 
     def __init__(self, lexer: Lexer, text: bool = False):
         # Rows are one width apart for each class, so one addition and one look-up make a step.  State 0 is death, state 1 the start.

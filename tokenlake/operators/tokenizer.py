@@ -8,6 +8,8 @@ from .lexer import CertifiedStart, Lexer
 from .modes import ModalLexer, Stack
 
 TOKEN, END, ERROR = "TOKEN", "END", "ERROR"
+# What errors say.
+UNKNOWN, EMPTY = "Unrecognized character", "Zero-width match"
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,7 @@ class Tokenizer:
         else:
             kind, n = self.lexers[self.mode].match(self.input, self.offset)
         if kind is None or not n:
-            what = "Unrecognized character" if kind is None else "Zero-width match"
+            what = UNKNOWN if kind is None else EMPTY
             return Result(ERROR, message=f"{what} at position {self.offset}", position=self.offset)
         self.offset += n
         return Result(TOKEN, kind, self.input[self.offset - n : self.offset])
