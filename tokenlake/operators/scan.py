@@ -56,17 +56,12 @@ class BatchScanner:
         failed: list[int] = []
         pos, head, best, won, state = start.copy(), start, start.copy(), np.zeros(len(start), np.int32), np.ones(len(start), np.int32)
         for _ in range(STEPS):
-            inside = pos < end
-            if inside.all():
-                after = self.flat[rows[pos] + state]
-            else:
-                after = np.zeros(len(pos), np.int32)
-                after[inside] = self.flat[rows[pos[inside]] + state[inside]]
-            alive = after > 0
-            done = ~alive
-            pos, state = pos + alive, after
-            hit = self.flags[after]
-            best, won = np.where(hit, pos, best), np.where(hit, after, won)
+            state = self.flat[rows[pos] + state]
+            alive = state > 0
+            pos = pos + alive
+            hit = self.flags[state]
+            best, won = np.where(hit, pos, best), np.where(hit, state, won)
+            done = ~alive | (pos == end)
             if done.any():
                 ends = np.flatnonzero(done)
                 h, e = head[ends], best[ends]
