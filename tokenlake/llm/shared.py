@@ -28,9 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of rows that Spark hands to a Python worker at once, so that long texts don't add up to batches of hundreds of megabytes.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder of this name below the shared folder, as a URI or an absolute path."""
     root = shared_dir(spark)
+    small_batches(spark)
     made = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     filesystem, path = resolve(made)
     filesystem.create_dir(path, recursive=True)
@@ -107,6 +116,10 @@ def exists(uri: str) -> bool:
     return filesystem.get_file_info(path).type != pafs.FileType.NotFound
 
 
+#: Shards that a worker keeps mapped at once.
+MAPPED = 4096
+
+
 class HashStore:
     """Sorted hash arrays, split by the hash's leading bits into shards, mapped on first use.
 
@@ -129,6 +142,8 @@ class HashStore:
 
     def _shard(self, shard: int) -> dict[str, np.ndarray] | None:
         if shard not in self._held:
+            if len(self._held) >= MAPPED:
+                self._held.clear()
             there = exists(self._uri(shard, "key"))
             self._held[shard] = {c: map_array(self._uri(shard, c)) for c in ("key", *self.columns)} if there else None
         return self._held[shard]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import small_batches
 
 #: How often a pair of neighbouring words counts, as each word has many features of its own.
 PAIR = 4
@@ -120,6 +121,7 @@ def classify(
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
     spark = docs.sparkSession
+    small_batches(spark)
     allowed = labels.where(~F.coalesce(F.expr(held_out), F.lit(False)))
     known = allowed.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)")
     sample = known.orderBy(F.xxhash64("id"), "id", "y").limit(train_rows)
