@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -50,17 +51,33 @@ class Lexer:
     def nullable(self) -> bool:
         return bool(self.accepting[0])
 
-    def match(self, data: bytes, at: int = 0) -> tuple[int | None, int]:
+    def match(self, data: bytes, at: int = 0, end: int | None = None) -> tuple[int | None, int]:
         """Longest match at this offset: (token, length), or (None, 0).  At the end of a text that is the start's own token, if any, and 0."""
-        rows, accept = self._rows, self.dfa.accept
-        state, best, length = 0, int(accept[0]) if accept[0] >= 0 else None, 0
-        for i in range(at, len(data)):
-            state = rows[state][data[i]]
-            if state < 0:
-                break
-            if accept[state] >= 0:
-                best, length = int(accept[state]), i + 1 - at
-        return best, length
+        rows, runs, accept, end = self._rows, self._runs, self._accepts, len(data) if end is None else end
+        state, i, best, length = 0, at, accept[0], 0
+        while True:
+            if (run := runs[state]) is not None and (found := run(data, i, end)) is not None:
+                i = found.end()
+                if accept[state] is not None:
+                    best, length = accept[state], i - at
+            if i >= end or (state := rows[state][data[i]]) < 0:
+                return best, length
+            i += 1
+            if accept[state] is not None:
+                best, length = accept[state], i - at
+
+    @cached_property
+    def _accepts(self) -> list[int | None]:
+        return [int(t) if t >= 0 else None for t in self.dfa.accept]
+
+    @cached_property
+    def _runs(self) -> list:
+        """Of each state, what matches a run of bytes on which it stays."""
+        out = []
+        for s, row in enumerate(self._rows):
+            stay = [b for b in range(256) if row[b] == s]
+            out.append(re.compile(b"[" + b"".join(b"\\x%02x" % b for b in stay) + b"]+").match if stay else None)
+        return out
 
     @cached_property
     def _rows(self) -> list[list[int]]:

@@ -8,13 +8,12 @@ is one step.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import spread
 from .lexer import Lexer
 from .modes import ModalLexer, Stack
 
@@ -34,8 +33,7 @@ class BatchScanner:
         self.accept = np.concatenate(([-1], lexer.dfa.accept)).astype(np.int64)
         self.cut_bytes = lexer.split_points
         self.windows = lexer.pair_windows if lexer.total or text and lexer.covers_utf8 else None
-        self.delta, self.skips = None, None
-        self.rows = lexer.dfa.delta
+        self.lexer = lexer
 
     def _cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where lanes begin: each text, and each proved boundary."""
@@ -68,7 +66,7 @@ class BatchScanner:
                 stuck = e == h
                 failed += h[stuck].tolist()
                 good = ~stuck
-                length[h[good]], kind[h[good]] = (e - h)[good], won[ends[good]]
+                length[h[good]], kind[h[good]] = (e - h)[good], self.accept[won[ends[good]]]
                 pos[ends] = e
                 head = np.where(done, best, head)
                 state[ends], won[ends] = 1, 0
@@ -83,42 +81,23 @@ class BatchScanner:
 
     def _one_by_one(self, data: bytes, at: int, end: int, length: np.ndarray, kind: np.ndarray) -> int:
         """Follows tokens from at to end; where the scan stopped."""
-        if self.delta is None:
-            self.delta = self.rows.tolist()
-            self.skips = []
-            for s, row in enumerate(self.delta):
-                stay = bytes(b for b in range(256) if row[b] == s)
-                self.skips.append(re.compile(b"[" + b"".join(b"\\x%02x" % b for b in stay) + b"]+").match if stay else None)
-        delta, skips, accepting = self.delta, self.skips, self.flags[1:].tolist()
+        match = self.lexer.match
         begins, sizes, kinds = [], [], []
         while at < end:
-            state, i, last, won = 0, at, at, 0
-            while True:
-                if (skip := skips[state]) is not None and (run := skip(data, i, end)) is not None:
-                    i = run.end()
-                    if accepting[state]:
-                        last, won = i, state + 1
-                if i >= end:
-                    break
-                state = delta[state][data[i]]
-                if state < 0:
-                    break
-                i += 1
-                if accepting[state]:
-                    last, won = i, state + 1
-            if last == at:
+            won, n = match(data, at, end)
+            if not n:
                 break
             begins.append(at)
-            sizes.append(last - at)
+            sizes.append(n)
             kinds.append(won)
-            at = last
+            at += n
         length[begins], kind[begins] = sizes, kinds
         return at
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray):
         """Of all texts' tokens: text, kind, start, length, in order; and the bytes consumed of each text."""
         n = len(raw)
-        length, kind = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        length, kind = np.zeros(n, np.int64), np.zeros(n, np.int64)
         stops = offsets[1:].copy()
         start = self._cuts(raw, offsets) if n else np.zeros(0, np.int64)
         if len(start) and n >= LANE * len(start):
@@ -139,7 +118,7 @@ class BatchScanner:
                     length[stop : offsets[t + 1]] = 0
         where = np.flatnonzero(length)
         text = np.searchsorted(offsets, where, side="right") - 1
-        return text, self.accept[kind[where]], where - offsets[:-1][text], length[where], stops - offsets[:-1]
+        return text, kind[where], where - offsets[:-1][text], length[where], stops - offsets[:-1]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +141,7 @@ def blocks(offsets: np.ndarray, most: int = BLOCK):
 
 
 def _texts(docs: DataFrame, key: str, data: str) -> DataFrame:
-    return docs.select(F.col(key).alias("key"), F.col(data).cast("binary").alias("data"))
+    return spread(docs.select(F.col(key).alias("key"), F.col(data).cast("binary").alias("data")))
 
 
 def tokenize(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str = "text", lexemes: bool = False, payload: bool = False) -> DataFrame:
@@ -251,10 +230,11 @@ def plan_chunks(docs: DataFrame, lexer: Lexer, chunks: int, key: str = "doc_id",
 
     def run(batches):
         for batch in batches:
-            for i, d in enumerate(batch.column(1).to_pylist()):
-                cut = (lexer.chunk_boundaries_with_windows if windows else lexer.chunk_boundaries)(d or b"", chunks)
-                n = len(cut) - 1
-                yield pa.record_batch([batch.column(0).take(pa.array([i] * n, pa.int64())), pa.array(range(n), pa.int32()), pa.array(cut[:-1], pa.int64()), pa.array(cut[1:], pa.int64())], names=["key", "chunk", "begin", "end"])
+            plan = lexer.chunk_boundaries_with_windows if windows else lexer.chunk_boundaries
+            cuts = [plan(d or b"", chunks) for d in batch.column(1).to_pylist()]
+            rows = [(i, c, a, b) for i, cut in enumerate(cuts) for c, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
+            own, chunk, begin, end = (pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.int64())))
+            yield pa.record_batch([batch.column(0).take(own), chunk, begin, end], names=["key", "chunk", "begin", "end"])
 
     return _texts(docs, key, data).mapInArrow(run, f"key {key_type}, chunk int, begin long, end long").withColumnRenamed("key", key)
 
@@ -281,12 +261,16 @@ def tokenize_modal(docs: DataFrame, lexer: ModalLexer, key: str = "doc_id", data
 
     def run(batches):
         for batch in batches:
-            for i, d in enumerate(batch.column(1).to_pylist()):
-                found, _ = lexer.scan(d or b"", Stack())
-                if found:
-                    mode, kind, length = (np.array(c, np.int64) for c in zip(*found))
-                    n = len(found)
-                    yield pa.record_batch([batch.column(0).take(pa.array([i] * n, pa.int64())), pa.array(np.arange(n)), pa.array(mode), pa.array(kind), pa.array(np.cumsum(length) - length), pa.array(length)], names=["key", "seq", "mode", "kind", "start", "length"])
+            offsets = utf8(batch.column(1))[1]
+            for lo, hi in blocks(offsets):
+                found = [lexer.scan(d or b"", Stack())[0] for d in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                count = np.array([len(f) for f in found])
+                first = np.repeat(np.cumsum(count) - count, count)
+                mode, kind, length = np.array([t for f in found for t in f], np.int64).reshape(-1, 3).T
+                before = np.cumsum(length) - length
+                own = pa.array(np.repeat(np.arange(lo, hi), count))
+                start = before - before[first] if len(before) else before
+                yield pa.record_batch([batch.column(0).take(own), *(pa.array(np.ascontiguousarray(c)) for c in (np.arange(len(first)) - first, mode, kind, start, length))], names=["key", "seq", "mode", "kind", "start", "length"])
 
     return _texts(docs, key, data).mapInArrow(run, f"key {key_type}, seq long, mode long, kind long, start long, length long").withColumnRenamed("key", key)
 

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from ..operators.lexer import Lexer
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores, where the input is too small to occupy half of them by its own splits.
+
+    One small file, or one row group, is one task otherwise.  An input of many splits is left as it is: nothing is shuffled at scale.
+    """
+    spark = df.sparkSession
+    size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size / split < cores / 2 else df
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """(path, data, size): whole files below a folder, one row each."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
