@@ -109,6 +109,40 @@ def test_recovery_and_damage(spark):
     assert lexer.next_certified_start(b"ab\n", 0) == 2
 
 
+def test_carried_states_equal_the_serial_scan(spark, docs):
+    import random
+
+    from tests.test_lexer import random_set
+    from tokenlake.operators import carry
+
+    rng, tried = random.Random(31), 0
+    for _ in range(120):
+        lexer = random_set(rng)[0].compile()
+        if lexer.nullable or lexer.lag != 0:
+            continue
+        c, tried = carry.Carry(lexer), tried + 1
+        for _ in range(10):
+            data = "".join(rng.choice("abc") for _ in range(rng.randint(1, 30))).encode()
+            n, state, ends = rng.randint(1, 6), 0, []
+            for at in range(0, len(data), n):
+                part = data[at : at + n]
+                ends += [(at + e, k) for e, k in c.ends(part, state, at + n >= len(data))]
+                assert c.effect(part)[state] == c.run(part, state)
+                state = c.effect(part)[state]
+            serial, at = [], 0
+            for k, size in lexer.scan(data)[0]:
+                at += size
+                serial.append((at, k))
+            assert ends == serial
+    assert tried > 20
+    known = docs.where("doc_id IS NOT NULL")
+    got = carry.tokenize(known, grammars.lexer("words"), piece=7).select("doc_id", "kind", "start", "length")
+    whole = scan.tokenize(known, grammars.lexer("words")).select("doc_id", "kind", "start", "length")
+    assert got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0
+    with pytest.raises(ValueError):
+        carry.Carry(grammars.lexer("JSON"))
+
+
 def test_dot(tmp_path):
     graph = dot.to_dot(grammars.lexer("log lines").dfa, {0: "line"})
     assert graph.startswith("digraph {") and "line" in graph and dot.label([34, 92, None, 1, 97]) == '\\" \\\\ ε \\\\x01 a'

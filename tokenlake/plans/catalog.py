@@ -11,7 +11,7 @@ from ..functions import Charset, choice, concat, kleene, plus, text
 from ..functions.pattern import any_of
 from ..functions.rawstring import scan_raw_string
 from ..functions.unicode import byte_ranges, code_points, xid_continue, xid_start
-from ..operators import dot, recovery, relations, scan, sql
+from ..operators import carry, dot, recovery, relations, scan, sql
 from ..operators.automaton import Nfa
 from ..operators.lexer import Lexer
 from ..operators.modes import ModalTokenSet, go_to, pop, push
@@ -440,6 +440,12 @@ def malformed_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serial.join(parts.groupBy("doc_id").agg(F.count("*").alias("spliced")), "doc_id", "left").join(ends.groupBy("doc_id").agg(F.count(F.when(F.col("consumed") < F.col("size"), 1)).alias("open_chunks")), "doc_id")
 
 
+@query(f"WITH {_WORD_TOKENS} SELECT doc_id, kind, count(*) AS tokens, sum(length)::BIGINT AS bytes FROM t GROUP BY doc_id, kind")
+def carried_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents cut every 4096 bytes, whatever stands there, from states carried over the cuts."""
+    return stats.tally(carry.tokenize(table(spark, sf_dir, "documents"), grammars.lexer("words"), piece=4096), "doc_id", "kind")
+
+
 # Recovery.
 
 _FIXTURES = {
