@@ -27,27 +27,30 @@ PIVOTS = np.random.Generator(np.random.PCG64(64)).integers(0, 2**64, size=24, dt
 BLOCK = 8192
 
 
-def fingerprint_words(w: tv.Words, shingle: int, seed: int = 42, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
-    """One fingerprint per text: bit set where over half of the shingles' XXH64 (with a salt, mixed with it) have it."""
+def fingerprint_words(w: tv.Words, shingle: int, seed: int = 42, salts: tuple[np.uint64, ...] = (np.uint64(0),)) -> np.ndarray:
+    """A fingerprint per salt (row) and text (column): bit set where over half of the shingles' XXH64, mixed with the salt if there is one, have it."""
     at, each = w.runs(shingle)
     count = np.diff(w.doc)
     first, last = w.start[at], w.start[np.minimum(at + shingle, w.n)] - 1
     short = np.flatnonzero((count > 0) & (count < shingle))
-    out = np.zeros(len(count), np.uint64)
+    out = np.zeros((len(salts), len(count)), np.uint64)
+    salted = lambda h, salt: tv.mix(h ^ salt) if salt else h
     if len(at):
         h = tv.xxh64(w.text, first, last - first, seed)
-        h = tv.mix(h ^ salt) if salt else h
         full = np.flatnonzero(each)
         edges = np.concatenate(([0], np.cumsum(each[full])))
         weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        for lo, hi in tv.blocks(edges, 1 << 19):
-            bits = np.unpackbits(h[edges[lo] : edges[hi]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, edges[lo:hi] - edges[lo], axis=0, dtype=np.int32)
-            out[full[lo:hi]] = ((ones * 2 > each[full[lo:hi], None]) * weight).sum(1, dtype=np.uint64)
+        for lo, hi in tv.blocks(edges, 1 << 17):
+            own = h[edges[lo] : edges[hi]]
+            for k, salt in enumerate(salts):
+                bits = np.unpackbits(salted(own, salt).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones = np.add.reduceat(bits, edges[lo:hi] - edges[lo], axis=0, dtype=np.int32)
+                out[k, full[lo:hi]] = ((ones * 2 > each[full[lo:hi], None]) * weight).sum(1, dtype=np.uint64)
     if len(short):
         a = w.start[w.doc[short]]
         h = tv.xxh64(w.text, a, w.start[w.doc[short + 1]] - 1 - a, seed)
-        out[short] = tv.mix(h ^ salt) if salt else h
+        for k, salt in enumerate(salts):
+            out[k, short] = salted(h, salt)
     return out
 
 
@@ -58,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fps = np.zeros(batch.num_rows, np.uint64)
             for lo, hi, w in tv.words_of(batch.column(1), tv.LOWER):
-                fps[lo:hi] = fingerprint_words(w, shingle)
+                fps[lo:hi] = fingerprint_words(w, shingle)[0]
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
@@ -73,7 +76,7 @@ def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return label
         left, right = left[open_], right[open_]
         np.minimum.at(label, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
-        while (jumped := label[label]).tolist() != label.tolist() if len(label) < 64 else not np.array_equal(jumped := label[label], label):
+        while not np.array_equal(jumped := label[label], label):
             label = jumped
 
 
@@ -202,8 +205,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
         for batch in batches:
             fps = np.zeros((len(LANES), batch.num_rows), np.uint64)
             for lo, hi, w in tv.words_of(batch.column(1), tv.LOWER):
-                for k, salt in enumerate(LANES):
-                    fps[k, lo:hi] = fingerprint_words(w, shingle, salt=salt)
+                fps[:, lo:hi] = fingerprint_words(w, shingle, salts=LANES)
             yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(f.view(np.int64)) for f in fps)], names=["id", "text_hash", *(f"f{k}" for k in range(len(LANES)))])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
