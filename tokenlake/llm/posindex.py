@@ -19,7 +19,7 @@ from . import textvec as tv
 from .shared import map_array, remove, workspace, write_array
 
 #: Bytes of text of a segment; a longer text is a segment of its own.
-SEGMENT = 8 << 20
+SEGMENT = 4 << 20
 #: Test windows that a task holds at once.
 WINDOWS = 1 << 16
 _ARRAYS = ("terms", "ends", "places", "docs", "ids", "null", "hash")
