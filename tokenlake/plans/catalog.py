@@ -179,9 +179,10 @@ def utf8_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.tally(scan.tokenize(table(spark, sf_dir, "documents"), own.compile()), "kind")
 
 
-@query()
+@query(r"""SELECT (CASE WHEN regexp_full_match(lex, '[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*') THEN 0 ELSE 1 END)::BIGINT AS kind, count(*) AS tokens, sum(strlen(lex))::BIGINT AS bytes
+FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*|(?s:.)')) AS lex FROM documents) GROUP BY 1""")
 def xid_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers of UAX #31 over all documents; SQL engines don't carry the property."""
+    """Identifiers of UAX #31 over all documents; SQL spells the properties by general categories, which differ in rare characters only."""
     own = TokenSet().add_token(concat(choice(xid_start(), text("_")), kleene(xid_continue())), 0, 1).add_token(code_points(0, 0x10FFFF), 1, 9)
     each = scan.kind_counts(table(spark, sf_dir, "documents"), own.compile())
     return each.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
@@ -634,14 +635,17 @@ def number_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.gaps(places, "doc_id").withColumn("mean_gap", F.round("mean_gap", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PLAN}, f AS (SELECT doc_id, size, list_append(cuts, size) AS c FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1),
+b AS (SELECT doc_id, size, len(c) - 1 AS chunks, list_max(list_transform(range(1, len(c)), lambda k: c[k + 1] - c[k])) / (size / (len(c) - 1)) AS balance FROM f)
+SELECT source, count(*) AS texts, sum(size)::BIGINT AS consumed, sum(size)::BIGINT AS size, sum(chunks)::BIGINT AS chunks, round(quantile_disc(balance, 0.5), 9) AS balance_median, round(quantile_disc(balance, 0.95), 9) AS balance_p95, round(max(balance), 9) AS balance_max
+FROM b JOIN documents USING (doc_id) GROUP BY source""")
 def corpus_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source: texts, bytes consumed, and how even their chunks are."""
     docs = table(spark, sf_dir, "documents")
     plan = stats.balance(scan.plan_chunks(docs, grammars.lexer("log lines"), _CHUNKS), "doc_id")
     ends = scan.scan_ends(docs, grammars.lexer("log lines"))
     rows = docs.select("doc_id", "source").join(plan, "doc_id").join(ends, "doc_id")
-    return rows.groupBy("source").agg(F.count("*").alias("texts"), F.sum("consumed").alias("consumed"), F.sum("size").alias("size"), F.sum("chunks").alias("chunks"), *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY balance)").alias(n) for p, n in ((0.5, "balance_median"), (0.95, "balance_p95"), (1.0, "balance_max"))])
+    return rows.groupBy("source").agg(F.count("*").alias("texts"), F.sum("consumed").alias("consumed"), F.sum("size").alias("size"), F.sum("chunks").alias("chunks"), *[F.expr(f"round(percentile_disc({p}) WITHIN GROUP (ORDER BY balance), 9)").alias(n) for p, n in ((0.5, "balance_median"), (0.95, "balance_p95"), (1.0, "balance_max"))])
 
 
 @query(lambda: f"WITH RECURSIVE {_delta_sql(_lexers())} SELECT DISTINCT grammar, state::INT AS state FROM (SELECT d.grammar, d.next AS state FROM delta d JOIN reached r ON r.grammar = d.grammar AND r.state = d.state WHERE d.byte = 10 UNION ALL SELECT grammar, 0 FROM reached)")
