@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import small_batches
+from .shared import CACHES, small_batches
 
 #: Pre-tokens whose ids a worker remembers.
 CACHE = 600_000
@@ -172,6 +172,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     """Read once in each worker."""
     if (path, pattern) not in _HELD:
         _HELD[path, pattern] = Vocabulary(path, pattern)
+        CACHES.append(_HELD[path, pattern])
     return _HELD[path, pattern]
 
 

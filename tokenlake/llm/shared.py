@@ -32,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH = 4 << 20
 
 
+#: What a worker remembers from row to row and can do without.
+CACHES: list[dict] = []
+
+
+def forget() -> None:
+    """Lets go of what the worker remembers from another operator's tasks; Spark uses one worker for many."""
+    for cache in CACHES:
+        cache.clear()
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 

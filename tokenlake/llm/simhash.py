@@ -80,7 +80,7 @@ def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             label = jumped
 
 
-def near_sets(points: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray = PIVOTS[:, None], most: int = 1 << 20) -> np.ndarray:
+def near_sets(points: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray = PIVOTS[:, None], most: int = 1 << 17) -> np.ndarray:
     """For points (rows of 64-bit words) in buckets (equal group, ascending), the smallest index each is linked to through links inside its bucket."""
     lanes = points.shape[1]
     count = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)

@@ -110,7 +110,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets:
 
 def classify(
     docs: DataFrame, labels: DataFrame, held_out: str, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    train_rows: int = 6000, buckets: int = 1 << 18, dim: int = 12, epochs: int = 6, rate: float = 0.15, grams: tuple[int, ...] = (2, 3, 4), seed: int = 7, threshold: float = 0.7,
+    train_rows: int = 4000, buckets: int = 1 << 18, dim: int = 12, epochs: int = 6, rate: float = 0.15, grams: tuple[int, ...] = (2, 3, 4), seed: int = 7, threshold: float = 0.7,
 ) -> DataFrame:
     """(row struct of `columns`, held_out, score, predicted), one row per row of docs.
 
@@ -137,10 +137,10 @@ def classify(
     def learn(batches):
         rows, y, ids = [], [], []
         for batch in batches:
-            rows += [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(b.as_py(), np.float32)) for a, b in zip(batch.column(2), batch.column(3))]
+            rows += [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(b.as_buffer(), np.float32)) for a, b in zip(batch.column(2), batch.column(3))]
             y += batch.column(1).to_pylist()
             ids += batch.column(0).to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], rows[i][0].tobytes()))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], len(rows[i][0])))
         table, constant = fit([rows[i] for i in order], np.array(y, int)[order] if y else np.zeros(0, int), buckets, dim, epochs, rate, seed) if y else (np.zeros(buckets), 0.0)
         yield pa.record_batch([pa.array([table.astype(np.float32).tobytes()], pa.binary()), pa.array([constant], pa.float64())], names=["table", "constant"])
 

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from .shared import forget
+
 SPACE = "".join(map(chr, (0x20, *range(0x09, 0x0E)))).encode()
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _TABLES = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -214,6 +216,7 @@ def blocks(offsets: np.ndarray, most: int = 2 << 20):
 
 def words_of(array, table: np.ndarray, most: int = 2 << 20):
     """Yields (first row, rows, Words) over a string column, in blocks of bounded size."""
+    forget()
     raw, offsets = column(array)
     for lo, hi in blocks(offsets, most):
         yield lo, hi, Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table)
