@@ -345,6 +345,15 @@ def test_similar_groups(spark):
     assert got[10] == got[11] == got[12] == 10 and all(v == k for k, v in got.items() if k not in (11, 12))
 
 
+def test_similar_groups_compare_sets_however_often_a_line_repeats(spark):
+    rng = random.Random(10)
+    text = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    line, x, y = text(10), text(200), text(200)
+    for times in (5, 10, 20, 50):
+        docs = [(1, x), (2, x + f" {line}" * times), (3, y + f" {line}" * times)]
+        assert {r["doc_id"]: r["least"] for r in simhash.similar_groups(frame(spark, docs)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_stage_order_is_the_cluster_folder(spark):
     from tokenlake.llm.shared import shared_dir
 

@@ -10,16 +10,18 @@ look at every pair of points, as the coordinates of unlike texts crowd around 32
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .graph import connected_components
-from .shared import remove, workspace
+from .shared import remove, resolve, workspace
 
 #: Reference fingerprints.
 PIVOTS = np.random.Generator(np.random.PCG64(64)).integers(0, 2**64, size=24, dtype=np.uint64)
@@ -34,18 +36,9 @@ def fingerprint_words(w: tv.Words, shingle: int, seed: int = 42, salts: tuple[np
     first, last = w.start[at], w.start[np.minimum(at + shingle, w.n)] - 1
     short = np.flatnonzero((count > 0) & (count < shingle))
     out = np.zeros((len(salts), len(count)), np.uint64)
-    salted = lambda h, salt: tv.mix(h ^ salt) if salt else h
     if len(at):
         h = tv.xxh64(w.text, first, last - first, seed)
-        full = np.flatnonzero(each)
-        edges = np.concatenate(([0], np.cumsum(each[full])))
-        weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        for lo, hi in tv.blocks(edges, 1 << 17):
-            own = h[edges[lo] : edges[hi]]
-            for k, salt in enumerate(salts):
-                bits = np.unpackbits(salted(own, salt).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits, edges[lo:hi] - edges[lo], axis=0, dtype=np.int32)
-                out[k, full[lo:hi]] = ((ones * 2 > each[full[lo:hi], None]) * weight).sum(1, dtype=np.uint64)
+        out = majority(h, each, salts)
     if len(short):
         a = w.start[w.doc[short]]
         h = tv.xxh64(w.text, a, w.start[w.doc[short + 1]] - 1 - a, seed)
@@ -54,6 +47,41 @@ def fingerprint_words(w: tv.Words, shingle: int, seed: int = 42, salts: tuple[np
     return out
 
 
+def salted(h: np.ndarray, salt: np.uint64) -> np.ndarray:
+    return tv.mix(h ^ salt) if salt else h
+
+
+def majority(h: np.ndarray, each: np.ndarray, salts: tuple[np.uint64, ...]) -> np.ndarray:
+    """For each salt (row) and text (column; each[i] of the hashes are its own): the bits that over half of its salted hashes have."""
+    out = np.zeros((len(salts), len(each)), np.uint64)
+    full = np.flatnonzero(each)
+    edges = np.concatenate(([0], np.cumsum(each[full])))
+    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for lo, hi in tv.blocks(edges, 1 << 17):
+        own = h[edges[lo] : edges[hi]]
+        for k, salt in enumerate(salts):
+            bits = np.unpackbits(salted(own, salt).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, edges[lo:hi] - edges[lo], axis=0, dtype=np.int32)
+            out[k, full[lo:hi]] = ((ones * 2 > each[full[lo:hi], None]) * weight).sum(1, dtype=np.uint64)
+    return out
+
+
+def shingle_sets(w: tv.Words, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles' XXH64, ascending, one text after another, and their number in each text; fewer words than a shingle are one."""
+    at, each = w.runs(shingle)
+    count = np.diff(w.doc)
+    short = np.flatnonzero((count > 0) & (count < shingle))
+    doc = np.concatenate((np.repeat(np.arange(len(each)), each), short))
+    first = np.concatenate((w.start[at], w.start[w.doc[short]]))
+    last = np.concatenate((w.start[np.minimum(at + shingle, w.n)], w.start[w.doc[short + 1]])) - 1
+    h = tv.xxh64(w.text, first, last - first, seed)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.bincount(doc[new], minlength=len(each))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp long): fp is the fingerprint's bits as a signed number.  Null or wordless text: 0."""
 
@@ -80,8 +108,11 @@ def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             label = jumped
 
 
-def near_sets(points: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray = PIVOTS[:, None], most: int = 1 << 17) -> np.ndarray:
-    """For points (rows of 64-bit words) in buckets (equal group, ascending), the smallest index each is linked to through links inside its bucket."""
+def near_sets(points: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray = PIVOTS[:, None], most: int = 1 << 17, confirm: Callable | None = None) -> np.ndarray:
+    """For points (rows of 64-bit words) in buckets (equal group, ascending), the smallest index each is linked to through links inside its bucket.
+
+    confirm: which of the pairs (two arrays of indices) that are within the radius are links (default: all).  Pairs whose points are linked already are not asked for.
+    """
     lanes = points.shape[1]
     count = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
     table = np.stack([count(points, p) for p in pivots], 1)
@@ -103,7 +134,17 @@ def near_sets(points: np.ndarray, group: np.ndarray, radius: int, pivots: np.nda
             keep = np.abs(coords[left, p] - coords[right, p]) <= radius
             left, right = left[keep], right[keep]
         keep = count(point[left], point[right]) <= radius
-        label = merge(label, left[keep], right[keep])
+        left, right = left[keep], right[keep]
+        if confirm is None:
+            label = merge(label, left, right)
+            continue
+        step = 64
+        while len(left):
+            sure = confirm(order[left[:step]], order[right[:step]])
+            label = merge(label, left[:step][sure], right[:step][sure])
+            left, right = left[step:], right[step:]
+            apart = label[left] != label[right]
+            left, right, step = left[apart], right[apart], min(2 * step, 4096)
     out = np.empty(len(key), np.int64)
     out[order] = order[label]
     return out
@@ -122,17 +163,20 @@ def _scheme(points: int, radius: int) -> list[int]:
     return [sum(ranges[i] for i in range(parts) if i not in left_out) for left_out in combinations(range(parts), radius)]
 
 
-def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray) -> DataFrame:
-    """keyed: key long, and a point's lanes (long), each key and point once.  (a, b): the first lanes of linked points of a bucket.
+def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray, carried: tuple[str, ...] = (), confirm: Callable | None = None) -> DataFrame:
+    """keyed: key long, what a point carries (long), and its lanes (long), each key and point once.  (a, b): the first columns of linked points of a bucket.
+
+    confirm: gives, for the carried columns of a task's rows, near_sets' confirm.
 
     A bucket of over BLOCK points is dealt out as pairs of blocks, so no task holds more than two blocks of one bucket.  Each task
     returns at most one row a point: the link to one of its set.
     """
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64(*lanes), F.col("parts")).cast("int")
-    dealt = dealt.withColumn("own", own).select("key", *lanes, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"), "own")
-    dealt = dealt.select("key", *lanes, F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    names = [*carried, *lanes]
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    dealt = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("held") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")
+    dealt = dealt.withColumn("own", own).select("key", *names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"), "own")
+    dealt = dealt.select("key", *names, F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
     groups = ("key", "i", "j")
 
     def run(batches):
@@ -143,9 +187,11 @@ def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray
             for c in (t.column(c).to_numpy() for c in groups):
                 new[1:] |= c[1:] != c[:-1]
             points = np.stack([t.column(c).to_numpy() for c in lanes], 1)
-            root = near_sets(points.view(np.uint64), np.cumsum(new), radius, pivots)
+            sure = confirm and confirm(*(t.column(c).to_numpy() for c in carried))
+            root = near_sets(points.view(np.uint64), np.cumsum(new), radius, pivots, confirm=sure)
             far = np.flatnonzero(root != np.arange(len(root)))
-            return pa.record_batch([pa.array(points[far, 0]), pa.array(points[root[far], 0])], names=["a", "b"])
+            node = t.column(names[0]).to_numpy()
+            return pa.record_batch([pa.array(node[far]), pa.array(node[root[far]])], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -198,18 +244,80 @@ LANES = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 WIDE_PIVOTS = np.random.Generator(np.random.PCG64(256)).integers(0, 2**64, size=(4, len(LANES)), dtype=np.uint64)
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, text_hash, f0 .. f3): fingerprints of 256 bits over word shingles."""
+#: Hashes of sets that a task keeps at once; bits of a set's place that say where in its file it starts.
+KEPT, WITHIN = 4 << 20, 40
+
+
+class Sets:
+    """Sets of shingle hashes in files below a folder, one for each attempt of a task; a set's place is the attempt and where it starts."""
+
+    def __init__(self, folder: str):
+        self.filesystem, self.path = resolve(folder)
+        self.files: dict[int, pa.NativeFile] = {}
+        self.held: dict[int, np.ndarray] = {}
+        self.size = 0
+
+    def get(self, place: int, n: int) -> np.ndarray:
+        if (found := self.held.get(place)) is not None:
+            return found
+        if self.size + n > KEPT:
+            self.held.clear()
+            self.size = 0
+        if (own := place >> WITHIN) not in self.files:
+            if len(self.files) >= 256:
+                self.files.popitem()[1].close()
+            self.files[own] = self.filesystem.open_input_file(f"{self.path}/{own}.bin")
+        self.held[place] = out = np.frombuffer(self.files[own].read_at(8 * n, 8 * (place & ((1 << WITHIN) - 1))), "<u8")
+        self.size += n
+        return out
+
+    def similar(self, similarity: float) -> Callable:
+        """For the nodes, sizes and places of points: which pairs of them (two arrays of indices) have a Jaccard similarity of so much or more."""
+
+        def of(node: np.ndarray, n: np.ndarray, place: np.ndarray) -> Callable:
+            def confirm(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+                out = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right])
+                for i in np.flatnonzero(out):
+                    a, b = int(left[i]), int(right[i])
+                    x, y = self.get(int(place[a]), int(n[a])), self.get(int(place[b]), int(n[b]))
+                    both = np.sort(np.concatenate((x, y)))
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    out[i] = common >= similarity * (len(both) - common)
+                return out
+
+            return confirm
+
+        return of
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, folder: str) -> DataFrame:
+    """(id, text_hash, node, n, place, f0 .. f3): of a text's set of word shingles a hash, size, place in `folder` and fingerprint of 256 bits.  n is 0 without words."""
 
     def run(batches):
-        for batch in batches:
-            fps = np.zeros((len(LANES), batch.num_rows), np.uint64)
-            for lo, hi, w in tv.words_of(batch.column(1), tv.LOWER):
-                fps[:, lo:hi] = fingerprint_words(w, shingle, salts=LANES)
-            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(f.view(np.int64)) for f in fps)], names=["id", "text_hash", *(f"f{k}" for k in range(len(LANES)))])
+        filesystem, path = resolve(folder)
+        own, at, out = TaskContext.get().taskAttemptId(), 0, None
+        try:
+            for batch in batches:
+                fps = np.zeros((len(LANES), batch.num_rows), np.uint64)
+                node, n, place = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+                for lo, hi, w in tv.words_of(batch.column(1), tv.LOWER):
+                    h, each = shingle_sets(w, shingle)
+                    full = np.flatnonzero(each)
+                    if not len(full):
+                        continue
+                    starts = np.cumsum(each) - each
+                    fps[:, lo:hi], n[lo:hi], place[lo:hi] = majority(h, each, LANES), each, (own << WITHIN) + at + starts
+                    node[lo + full] = tv.mix(np.add.reduceat(tv.mix(h), starts[full]) + each[full].astype(np.uint64))
+                    out = out or filesystem.open_output_stream(f"{path}/{own}.bin")
+                    out.write(h.astype("<u8").tobytes())
+                    at += len(h)
+                yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(c.view(np.int64)) for c in (node, n, place, *fps))], names=["id", "text_hash", "node", "n", "place", *(f"f{k}" for k in range(len(LANES)))])
+        finally:
+            if out:
+                out.close()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
-    return texts.mapInArrow(run, "id long, text_hash long, " + ", ".join(f"f{k} long" for k in range(len(LANES))))
+    return texts.mapInArrow(run, "id long, text_hash long, node long, n long, place long, " + ", ".join(f"f{k} long" for k in range(len(LANES))))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -217,15 +325,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A Jaccard similarity s of two sets is a cosine of 2 s / (1 + s), and so an expected share of differing fingerprint bits, arccos of it over pi; the radius is this
     share of 256 bits and a standard deviation more.  At such a radius bit ranges can't meet surely, so points meet under samples of their bits,
-    as many samples as find a pair of just that similarity in 99 of 100 cases; inside a bucket pivot tables and the full distance decide.
+    as many samples as find a pair of just that similarity in 99 of 100 cases; inside a bucket pivot tables and the full distance propose pairs, and only
+    the exact similarity of the two sets makes a link.  Equal sets are one point.
     Texts without words are left alone: each id is a group.  Repeated rows are one group; null ids count last.
     """
     spark = docs.sparkSession
     folder = workspace(spark, "similar")
     lanes = [f"f{k}" for k in range(len(LANES))]
-    wide_fingerprints(docs, id_col, text_col, shingle).write.parquet(f"{folder}/points")
-    rows = spark.read.schema("id long, text_hash long, " + ", ".join(f"{c} long" for c in lanes)).parquet(f"{folder}/points")
-    named = rows.groupBy(*lanes).agg(F.min("id").alias("least"))
+    sets = workspace(spark, "sets")
+    wide_fingerprints(docs, id_col, text_col, shingle, sets).write.parquet(f"{folder}/points")
+    columns = ", ".join(f"{c} long" for c in ("node", "n", "place", *lanes))
+    rows = spark.read.schema(f"id long, text_hash long, {columns}").parquet(f"{folder}/points")
+    rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in ("n", "place", *lanes))).write.parquet(f"{folder}/named")
+    named = spark.read.schema(f"least long, {columns}").parquet(f"{folder}/named")
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     width = 64 * len(LANES)
     radius = int(width * share + (width * share * (1 - share)) ** 0.5)
@@ -234,27 +346,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = int(np.ceil(np.log(0.01) / np.log(1 - (1 - share) ** bits)))
     rng = np.random.Generator(np.random.PCG64(99))
     chosen = [np.sort(rng.choice(width, bits, replace=False)) for _ in range(tables)]
+    carried = ("node", "n", "place")
 
     def spread(batches):
         for batch in batches:
-            points = np.stack([batch.column(k).to_numpy() for k in range(len(lanes))], 1)
+            points = np.stack([batch.column(k).to_numpy() for k in range(len(carried), batch.num_columns)], 1)
             for lo in range(0, len(points), 2048):
-                own = points[lo : lo + 2048]
+                own, part = points[lo : lo + 2048], batch.slice(lo, 2048)
                 unpacked = np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").astype(np.int64)
                 for k, at in enumerate(chosen):
                     key = (unpacked[:, at] << np.arange(bits)).sum(1) + (k << bits)
-                    yield pa.record_batch([pa.array(key), *(pa.array(np.ascontiguousarray(own[:, j])) for j in range(len(lanes)))], names=["key", *lanes])
-
-    filled = named.where(" OR ".join(f"{c} <> 0" for c in lanes)).select(*lanes)
-    keyed = filled.mapInArrow(spread, "key long, " + ", ".join(f"{c} long" for c in lanes))
-    keyed.write.parquet(f"{folder}/keyed")
-    keyed = spark.read.schema("key long, " + ", ".join(f"{c} long" for c in lanes)).parquet(f"{folder}/keyed")
-    roots = connected_components(_compare(keyed, lanes, radius, WIDE_PIVOTS)).where("node <> root")
-    joined = named.join(roots, named["f0"] == roots["node"], "left").select(*lanes, "least", F.coalesce("root", "f0").alias("root"))
-    joined = joined.withColumn("root", F.when(F.expr(" AND ".join(f"{c} = 0" for c in lanes)), F.lit(None)).otherwise(F.col("root"))).checkpoint()
-    tops = joined.groupBy("root").agg(F.min("least").alias("top"))
-    final = joined.join(tops, "root").select(*lanes, "top", "root")
+                    yield pa.record_batch([pa.array(key), *part.columns], names=["key", *carried, *lanes])
+
+    named.select(*carried, *lanes).mapInArrow(spread, f"key long, {columns}").write.parquet(f"{folder}/keyed")
+    keyed = spark.read.schema(f"key long, {columns}").parquet(f"{folder}/keyed")
+
+    def confirm(*points):
+        return Sets(sets).similar(similarity)(*points)
+
+    roots = connected_components(_compare(keyed, lanes, radius, WIDE_PIVOTS, carried, confirm)).where("node <> root")
     remove(f"{folder}/keyed")
-    wordless = F.expr(" AND ".join(f"{c} = 0" for c in lanes))
-    named_rows = rows.join(final, lanes, "left").withColumn("group", F.when(wordless, F.xxhash64("id", "text_hash")).otherwise(F.col("root")))
+    remove(sets)
+    joined = named.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")).checkpoint()
+    tops = joined.groupBy("root").agg(F.min("least").alias("top"))
+    final = joined.join(tops, "root").select("node", "top", "root")
+    wordless = F.col("n") == 0
+    named_rows = rows.join(final, "node", "left").withColumn("group", F.when(wordless, F.xxhash64("id", "text_hash")).otherwise(F.col("root")))
     return named_rows.select(F.col("id").alias("doc_id"), "text_hash", "group", F.when(wordless, F.col("id")).otherwise(F.col("top")).alias("least"))
