@@ -354,6 +354,28 @@ def test_similar_groups_compare_sets_however_often_a_line_repeats(spark):
         assert {r["doc_id"]: r["least"] for r in simhash.similar_groups(frame(spark, docs)).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_similar_groups_part_at_the_similarity(spark):
+    rng = random.Random(11)
+    docs, near, words = [], {}, 204
+    for i in range(120):
+        a = [f"w{rng.randint(0, 10**6)}" for _ in range(words)]
+        # n words at the end are others: of 200 shingles 200 - n are common, which is a similarity of 178 / 222 = 0.802 or 176 / 224 = 0.786.
+        n = 22 if i % 2 else 24
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:-n] + [f"v{rng.randint(0, 10**6)}" for _ in range(n)]))]
+        near[2 * i], near[2 * i + 1] = 2 * i, 2 * i if i % 2 else 2 * i + 1
+    assert {r["doc_id"]: r["least"] for r in simhash.similar_groups(frame(spark, docs)).collect()} == near
+
+
+def test_sample_tables_find_near_pairs():
+    share = float(np.arccos(1.6 / 1.8) / np.pi)
+    tables, rng = simhash.sample_tables(share, 12, 67), np.random.default_rng(12)
+    differ = rng.random((20000, 256)) < share
+    met = np.zeros(len(differ), bool)
+    for _ in range(tables):
+        met |= ~differ[:, rng.choice(256, 12, replace=False)].any(1)
+    assert (met & (differ.sum(1) <= 67)).mean() > 0.997
+
+
 def test_stage_order_is_the_cluster_folder(spark):
     from tokenlake.llm.shared import shared_dir
 

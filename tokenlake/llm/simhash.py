@@ -163,17 +163,23 @@ def _scheme(points: int, radius: int) -> list[int]:
     return [sum(ranges[i] for i in range(parts) if i not in left_out) for left_out in combinations(range(parts), radius)]
 
 
-def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray, carried: tuple[str, ...] = (), confirm: Callable | None = None) -> DataFrame:
+def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray, carried: tuple[str, ...] = (), confirm: Callable | None = None, keys: DataFrame | None = None) -> DataFrame:
     """keyed: key long, what a point carries (long), and its lanes (long), each key and point once.  (a, b): the first columns of linked points of a bucket.
 
-    confirm: gives, for the carried columns of a task's rows, near_sets' confirm.
+    confirm: gives, for the carried columns of a task's rows, near_sets' confirm.  keys: keyed's keys (key, held long: how many of its rows have it), where
+    most keys have several points; then only large buckets are told the tasks, and the points travel once.
 
     A bucket of over BLOCK points is dealt out as pairs of blocks, so no task holds more than two blocks of one bucket.  Each task
     returns at most one row a point: the link to one of its set.
     """
     names = [*carried, *lanes]
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    dealt = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("held") / BLOCK).cast("int"))
+    if keys is None:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+        dealt = keyed.join(sizes, "key")
+    else:
+        sizes = keys.groupBy("key").agg(F.sum("held").alias("held")).where(F.col("held") > BLOCK)
+        dealt = keyed.join(F.broadcast(sizes), "key", "left").withColumn("held", F.coalesce("held", F.lit(1)))  # one row a bucket of over BLOCK points
+    dealt = dealt.withColumn("parts", F.ceil(F.col("held") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")
     dealt = dealt.withColumn("own", own).select("key", *names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"), "own")
     dealt = dealt.select("key", *names, F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
@@ -244,6 +250,22 @@ LANES = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 WIDE_PIVOTS = np.random.Generator(np.random.PCG64(256)).integers(0, 2**64, size=(4, len(LANES)), dtype=np.uint64)
 
 
+#: Share of the pairs of just the similarity asked for that may not meet.
+MISSED = 0.001
+
+
+def sample_tables(share: float, bits: int, radius: int, width: int = 64 * len(LANES)) -> int:
+    """How many samples of so many bits of a fingerprint make all but MISSED of pairs meet within the radius, if each bit differs with this probability."""
+    d = np.arange(radius + 1)
+    ways = np.cumsum(np.log(np.concatenate(([1.0], (width - d[:-1]) / (d[:-1] + 1)))))
+    chance = np.exp(ways + d * np.log(share) + (width - d) * np.log1p(-share))
+    agree = np.prod([np.maximum(width - d - i, 0) / (width - i) for i in range(bits)], axis=0)
+    tables = 1
+    while chance.sum() - chance @ (1 - agree) ** tables < 1 - MISSED:
+        tables += 1
+    return tables
+
+
 #: Hashes of sets that a task keeps at once; bits of a set's place that say where in its file it starts.
 KEPT, WITHIN = 4 << 20, 40
 
@@ -272,9 +294,9 @@ class Sets:
         return out
 
     def similar(self, similarity: float) -> Callable:
-        """For the nodes, sizes and places of points: which pairs of them (two arrays of indices) have a Jaccard similarity of so much or more."""
+        """For the places and sizes of points: which pairs of them (two arrays of indices) have a Jaccard similarity of so much or more."""
 
-        def of(node: np.ndarray, n: np.ndarray, place: np.ndarray) -> Callable:
+        def of(place: np.ndarray, n: np.ndarray) -> Callable:
             def confirm(left: np.ndarray, right: np.ndarray) -> np.ndarray:
                 out = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right])
                 for i in np.flatnonzero(out):
@@ -324,8 +346,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, text_hash, group, least), one row per row of docs: its group of texts whose shingle sets are that similar or more, and the group's smallest id.
 
     A Jaccard similarity s of two sets is a cosine of 2 s / (1 + s), and so an expected share of differing fingerprint bits, arccos of it over pi; the radius is this
-    share of 256 bits and a standard deviation more.  At such a radius bit ranges can't meet surely, so points meet under samples of their bits,
-    as many samples as find a pair of just that similarity in 99 of 100 cases; inside a bucket pivot tables and the full distance propose pairs, and only
+    share of 256 bits and five standard deviations more.  At such a radius bit ranges can't meet surely, so points meet under samples of their bits,
+    as many samples as find all but MISSED of the pairs of just that similarity; inside a bucket pivot tables and the full distance propose pairs, and only
     the exact similarity of the two sets makes a link.  Equal sets are one point.
     Texts without words are left alone: each id is a group.  Repeated rows are one group; null ids count last.
     """
@@ -340,15 +362,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = spark.read.schema(f"least long, {columns}").parquet(f"{folder}/named")
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     width = 64 * len(LANES)
-    radius = int(width * share + (width * share * (1 - share)) ** 0.5)
+    radius = int(width * share + 5 * (width * share * (1 - share)) ** 0.5)
     number = named.count()
-    bits = max(16, int(np.ceil(np.log2(max(number, 1) / 512))))
-    tables = int(np.ceil(np.log(0.01) / np.log(1 - (1 - share) ** bits)))
+    bits = max(12, int(np.ceil(np.log2(max(number, 1) / 512))))
+    tables = sample_tables(share, bits, radius)
     rng = np.random.Generator(np.random.PCG64(99))
     chosen = [np.sort(rng.choice(width, bits, replace=False)) for _ in range(tables)]
-    carried = ("node", "n", "place")
+    carried = ("place", "n")
 
-    def spread(batches):
+    def spread(batches, alone=False):
         for batch in batches:
             points = np.stack([batch.column(k).to_numpy() for k in range(len(carried), batch.num_columns)], 1)
             for lo in range(0, len(points), 2048):
@@ -356,18 +378,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 unpacked = np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").astype(np.int64)
                 for k, at in enumerate(chosen):
                     key = (unpacked[:, at] << np.arange(bits)).sum(1) + (k << bits)
-                    yield pa.record_batch([pa.array(key), *part.columns], names=["key", *carried, *lanes])
+                    if alone:
+                        yield pa.record_batch([pa.array(x) for x in np.unique(key, return_counts=True)], names=["key", "held"])
+                    else:
+                        yield pa.record_batch([pa.array(key), *part.columns], names=["key", *carried, *lanes])
 
-    named.select(*carried, *lanes).mapInArrow(spread, f"key long, {columns}").write.parquet(f"{folder}/keyed")
-    keyed = spark.read.schema(f"key long, {columns}").parquet(f"{folder}/keyed")
+    points = named.select(*carried, *lanes)
+    keyed = points.mapInArrow(spread, "key long, " + ", ".join(f"{c} long" for c in (*carried, *lanes)))
+    keys = points.mapInArrow(lambda batches: spread(batches, True), "key long, held long")
 
     def confirm(*points):
         return Sets(sets).similar(similarity)(*points)
 
-    roots = connected_components(_compare(keyed, lanes, radius, WIDE_PIVOTS, carried, confirm)).where("node <> root")
-    remove(f"{folder}/keyed")
+    roots = connected_components(_compare(keyed, lanes, radius, WIDE_PIVOTS, carried, confirm, keys)).where("node <> root").withColumnRenamed("node", "place")
     remove(sets)
-    joined = named.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")).checkpoint()
+    joined = named.select("node", "place", "least").join(roots, "place", "left").select("node", "least", F.coalesce("root", "place").alias("root")).checkpoint()
     tops = joined.groupBy("root").agg(F.min("least").alias("top"))
     final = joined.join(tops, "root").select("node", "top", "root")
     wordless = F.col("n") == 0
