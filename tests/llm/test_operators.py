@@ -179,6 +179,12 @@ def test_nearest(spark):
     assert kmeans_tree.nearest(vectors.limit(0), "true").count() == 0 and kmeans_tree.nearest(vectors.where("vec_id = 2000"), "true").count() == 0
 
 
+def test_nearest_aims_at_a_recall_of_97_of_100():
+    import inspect
+
+    assert inspect.signature(kmeans_tree.nearest).parameters["recall"].default >= 0.97
+
+
 def plain_fingerprint(text, k):
     w = SPACED.findall((text or "").translate(LOWER))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))] if w else []
