@@ -135,6 +135,12 @@ def test_quality(spark):
     assert all(r["score"] == 0.5 for r in none) and subword.classify(empty(spark), labels, "false", buckets=1 << 10).count() == 0
 
 
+def test_quality_learns_from_6000_rows():
+    import inspect
+
+    assert inspect.signature(subword.classify).parameters["train_rows"].default >= 6000
+
+
 def test_warc(spark):
     same = "<p>" + "é" * 80
     rows = [(1, "http://a/", None), (2, None, ""), (3, "http://b/\r\nX: y", same), (4, "u", same), (9, "u", same), (None, "u", same), (3, "v", same), (5, "u", "short"), (6, "u", "short"), (7, "u", "L" * 900_000), (8, "u", "<a>\r\n\r\n<b>")]
