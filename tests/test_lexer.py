@@ -153,6 +153,10 @@ def test_certificate_table(name, exact_bytes, ignoring):
     assert (int(lexer.split_points.sum()), int(lexer.split_points_ignoring.sum())) == (exact_bytes, ignoring)
 
 
+def test_published_automaton_size():
+    assert grammars.lexer("keyword-scale").dfa.states == 251 and len(grammars.keyword_scale().rules) == 143
+
+
 def test_early_stop_payload_and_zero_length():
     own = TokenSet().add_token(text("a"), 0).add_token(text("b"), 1).set_token_payload(0, 5).set_token_payload(0, 6)
     seen = []

@@ -9,14 +9,15 @@ from ..functions.unicode import LAST, code_points
 from ..operators.modes import ModalTokenSet, pop, push
 from ..operators.tokenset import TokenSet
 
-IDENTIFIER, NUMBER, OPERATOR, PUNCTUATION, SPACE, NEWLINE, STRING, LINE_COMMENT, BLOCK_COMMENT, CHARACTER = range(10)
+IDENTIFIER, NUMBER, OPERATOR, PUNCTUATION, SPACE, NEWLINE, STRING, LINE_COMMENT, BLOCK_COMMENT, CHARACTER, KEYWORD = range(11)
 WORD, DIGITS, BLANK, OTHER = range(4)
 # The members of each class of symbols, and the words that are keywords.
 OPERATORS, PUNCTUATIONS = "+-*/<>=!&|^%~", "()[]{};,.:?"
 KEYWORDS = (
-    "alignas alignof and asm auto bool break case catch char class concept const consteval constexpr constinit continue decltype default delete do double else enum explicit export extern "
-    "false float for friend goto if inline int long mutable namespace new noexcept not nullptr operator or private protected public register requires return short signed sizeof static struct "
-    "switch template this throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while xor abstract assert async await base boolean byte checked decimal delegate event extends final finally fixed foreach get global implicit import interface internal is lock object out override"
+    "alignas alignof and and_eq asm auto bitand bitor bool break case catch char char8_t char16_t char32_t class compl concept const consteval constexpr constinit const_cast continue "
+    "co_await co_return co_yield decltype default delete do double dynamic_cast else enum explicit export extern false float for friend goto if inline int long mutable namespace new "
+    "noexcept not not_eq nullptr operator or or_eq private protected public register reinterpret_cast requires return short signed sizeof static static_assert static_cast struct switch "
+    "template this thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while xor xor_eq final override import module int8_t int16_t int32_t int64_t"
 ).split()
 
 
@@ -91,17 +92,17 @@ def html() -> TokenSet:
 
 
 def keyword_scale() -> TokenSet:
-    """100 keywords, identifiers, numbers, white space, 28 operators, 11 punctuation marks."""
+    """100 keywords, identifiers, numbers, white space, 28 operators, 11 punctuation marks: 143 patterns of six kinds."""
     out = TokenSet()
-    # Operators of more than one character.
-    longer = "== != <= >= && || ++ -- += -= *= /= -> << >>".split()
-    for i, k in enumerate(KEYWORDS[:100]):
-        out.add_token(text(k), 100 + i, 1)
-    out.add_token(identifier(), IDENTIFIER, 2).add_token(decimal_float(), 10, 1).add_token(decimal_integer(), NUMBER, 1).add_token(plus(any_of(" \t\n")), SPACE, 1)
-    for i, op in enumerate([*OPERATORS, *longer]):
-        out.add_token(text(op), 20 + i, 2)
-    for i, mark in enumerate(PUNCTUATIONS):
-        out.add_token(text(mark), 60 + i, 2)
+    # The operators.
+    operators = "== != <= >= << >> && || ++ -- -> += -= *= /= + - * / % = < > ! ~ & | ^".split()
+    for word in KEYWORDS:
+        out.add_token(text(word), KEYWORD, 1)
+    out.add_token(identifier(), IDENTIFIER, 2).add_token(decimal_float(), NUMBER, 1).add_token(decimal_integer(), NUMBER, 1).add_token(plus(any_of(" \t\n")), SPACE, 1)
+    for op in operators:
+        out.add_token(text(op), OPERATOR, 2)
+    for mark in PUNCTUATIONS:
+        out.add_token(text(mark), PUNCTUATION, 2)
     return out.set_ignored_tokens({SPACE})
 
 
