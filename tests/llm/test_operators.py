@@ -329,6 +329,11 @@ def test_contamination(spark):
     items = [(1, docs[7][1]), (12, "one"), (3, None), (4, "..."), (None, "one two three"), (1, "beta alpha"), (20, " ".join(docs[20][1].split()[:14])), (3, "same same")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, terms int")
     out = posindex.contamination(frame(spark, docs), bench, window=13).drop("text_hash")
+    windows = {tuple(ws[at : at + 13]) for _, t in items for ws in [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))] for at in range(len(ws) - 12)}
+    for r in out.collect():
+        texts = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for i, t in docs if i == r["doc_id"]]
+        assert r["whole"] in {any(tuple(ws[at : at + 13]) in windows for at in range(len(ws) - 12)) for ws in texts if len(ws) == r["n_words"]}
+    out = out.drop("whole")
     assert sorted(map(tuple, out.collect()), key=key) == sorted(brute_contamination(docs, items, 13), key=key)
     assert posindex.contamination(empty(spark), bench).count() == 0
     assert not any(r["n_hit"] for r in posindex.contamination(frame(spark, docs), bench.limit(0)).collect())

@@ -16,35 +16,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import map_array, remove, workspace, write_array
+from .shared import map_array, map_sections, remove, resolve, sections, workspace, write_array
 
 #: Bytes of text of a segment; a longer text is a segment of its own.
 SEGMENT = 4 << 20
 #: Test windows that a task holds at once.
 WINDOWS = 1 << 16
-_ARRAYS = ("terms", "ends", "places", "docs", "ids", "null", "hash")
+#: Blocks of test windows that a task keeps.
+HELD = 16
+_SEGMENTS = "file string, at long, size long, n_docs long"
 
 
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Indexes all texts below folder; (segment, n_docs).  Null texts have no words."""
+    """Indexes all texts below folder; (file, at, size, n_docs) of each segment, one file for each attempt of a task.  Null texts have no words."""
 
     def index(batches):
-        for batch in batches:
-            ids, hashes = batch.column(0), batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
-            known, null = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-            for lo, hi, w in tv.words_of(batch.column(1), tv.ALNUM, SEGMENT):
-                h = w.hashes()
-                order = np.argsort(h, kind="stable")
-                ordered = h[order]
-                first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if w.n else np.zeros(0, int)
-                arrays = (ordered[first], np.append(first[1:], w.n) if w.n else first, order.astype(np.int32 if w.n < 2**31 else np.int64), w.doc, known[lo:hi], null[lo:hi], hashes[lo:hi])
-                name = f"{folder}/{uuid.uuid4().hex}"  # one for each attempt of a task
-                for k, v in zip(_ARRAYS, arrays):
-                    write_array(f"{name}-{k}.npy", v)
-                yield pa.record_batch([pa.array([name]), pa.array([hi - lo], pa.int64())], names=["segment", "n_docs"])
+        out, name, at = None, f"{folder}/{uuid.uuid4().hex}.segments", 0
+        filesystem, path = resolve(name)
+        try:
+            for batch in batches:
+                ids, hashes = batch.column(0), batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+                known, null = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+                rows = []
+                for lo, hi, w in tv.words_of(batch.column(1), tv.ALNUM, SEGMENT):
+                    h = w.hashes()
+                    order = np.argsort(h, kind="stable")
+                    ordered = h[order]
+                    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if w.n else np.zeros(0, int)
+                    ends = np.append(first[1:], w.n) if w.n else first
+                    data = sections([ordered[first], ends, order.astype(np.int32 if w.n < 2**31 else np.int64), w.doc, known[lo:hi], null[lo:hi], hashes[lo:hi]])
+                    out = out or filesystem.open_output_stream(path)
+                    out.write(data)
+                    rows.append((name, at, len(data), hi - lo))
+                    at += len(data)
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["file", "at", "size", "n_docs"])
+        finally:
+            if out:
+                out.close()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
-    return texts.mapInArrow(index, "segment string, n_docs long")
+    return texts.mapInArrow(index, _SEGMENTS)
 
 
 def test_windows(items: DataFrame, folder: str, id_col: str, text_col: str, window: int) -> list[str]:
@@ -73,27 +85,36 @@ def test_windows(items: DataFrame, folder: str, id_col: str, text_col: str, wind
     return sorted(r["block"] for r in rows)
 
 
+class Block:
+    """One block of test windows: `size` and `item` of each, its distinct terms once, and where each window's terms are among these."""
+
+    def __init__(self, name: str):
+        terms, self.size, self.item = (map_array(f"{name}-{k}.npy") for k in ("terms", "size", "item"))
+        self.terms, inverse = np.unique(terms, return_inverse=True)
+        self.of = inverse.reshape(terms.shape).astype(np.int32)
+        self.unused = np.arange(terms.shape[1]) >= self.size[:, None]
+
+
 class Segment:
     """One mapped segment."""
 
-    def __init__(self, name: str):
-        self.terms, self.ends, self.places, self.docs, self.ids, self.null, self.hash = (map_array(f"{name}-{k}.npy") for k in _ARRAYS)
+    def __init__(self, file: str, at: int, size: int):
+        self.terms, self.ends, self.places, self.docs, self.ids, self.null, self.hash = map_sections(file, at, size)
 
     def _list(self, term: int) -> np.ndarray:
         return self.places[self.ends[term - 1] if term else 0 : self.ends[term]]
 
-    def find(self, terms: np.ndarray, size: np.ndarray, slop: int = 0):
+    def find(self, block: Block, slop: int = 0):
         """Yields (window, first words of its occurrences, words an occurrence spans)."""
         if not len(self.terms):
             return
-        unique, inverse = np.unique(terms, return_inverse=True)
-        at = np.searchsorted(self.terms, unique)
+        at = np.searchsorted(self.terms, block.terms)
         at[at == len(self.terms)] = 0
-        there = self.terms[at] == unique
-        place = np.where(there, at, -1)[inverse].reshape(terms.shape)
-        used = np.arange(terms.shape[1]) < size[:, None]
-        for i in np.flatnonzero(((place >= 0) | ~used).all(1)):
-            own = place[i, : size[i]]
+        there = self.terms[at] == block.terms
+        place = np.where(there, at, -1)
+        size = block.size
+        for i in np.flatnonzero((there[block.of] | block.unused).all(1)):
+            own = place[block.of[i, : size[i]]]
             count = self.ends[own] - np.where(own > 0, self.ends[own - 1], 0)
             order = np.argsort(count, kind="stable")
             start = self._list(own[order[0]]).astype(np.int64)
@@ -131,47 +152,54 @@ class Segment:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int = 0, share: int = 20) -> DataFrame:
-    """(doc_id, text_hash, n_words, n_hit, n_items, items array<string>, contaminated), one row per row of docs; text_hash: xxhash64(text).
+    """(doc_id, text_hash, n_words, n_hit, n_items, items array<string>, contaminated, whole), one row per row of docs; text_hash: xxhash64(text).
 
     A word is hit if it stands in any occurrence of an item's window of `window` words (of all the item's words, if fewer); contaminated: some
-    word is hit, and at least one in `share`.  Items are sorted as strings; rows with one item_id are one item, a null item_id is the
+    word is hit, and at least one in `share`; whole: some window of just `window` words occurs.  Items are sorted as strings; rows with one item_id are one item, a null item_id is the
     item "null".  Null, empty or wordless texts have no words and are not contaminated; wordless items match nothing; without items nothing is
-    hit.  Repeated rows give repeated rows.  The result is written to the shared folder and the index is then removed.
+    hit.  Repeated rows give repeated rows.  A text of any length is searched whole, in one segment.  The result is written to the shared folder and the index is then removed.
     """
     spark = docs.sparkSession
     folder = workspace(spark, "posindex")
-    blocks = test_windows(items, folder, item_col, item_text, window)
+    names = test_windows(items, folder, item_col, item_text, window)
     build(docs, folder, id_col, text_col).write.parquet(f"{folder}/segments")
-    segments = spark.read.schema("segment string, n_docs long").parquet(f"{folder}/segments")
+    segments = spark.read.schema(_SEGMENTS).parquet(f"{folder}/segments")
 
     def search(batches):
+        blocks: dict[str, Block] = {}
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                s = Segment(name)
+            for file, at, length in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "size"))):
+                s = Segment(file, at, length)
                 n = int(s.docs[-1])
                 cover = np.zeros(n + 1, np.int64)
                 hits: list[tuple[np.ndarray, str]] = []
-                for b in blocks:
-                    terms, size, item = (map_array(f"{b}-{k}.npy") for k in ("terms", "size", "item"))
-                    for i, start, span in s.find(terms, size, slop):
+                whole = np.zeros(len(s.docs) - 1, bool)
+                for name in names:
+                    if name not in blocks:
+                        if len(blocks) >= HELD:
+                            blocks.clear()
+                        blocks[name] = Block(name)
+                    b = blocks[name]
+                    for i, start, span in s.find(b, slop):
                         owner = np.searchsorted(s.docs, start, side="right") - 1
                         np.add.at(cover, start, 1)
                         np.add.at(cover, np.minimum(start + span, s.docs[owner + 1]), -1)
-                        hits.append((np.unique(owner), str(item[i])))
+                        whole[owner] |= b.size[i] == window
+                        hits.append((np.unique(owner), str(b.item[i])))
                 hit = np.concatenate(([0], np.cumsum(np.cumsum(cover)[:-1] > 0)))
                 n_words, n_hit = np.diff(s.docs), hit[s.docs[1:]] - hit[s.docs[:-1]]
-                names: dict[int, set[str]] = {}
+                found: dict[int, set[str]] = {}
                 for owners, item_id in hits:
                     for o in owners.tolist():
-                        names.setdefault(o, set()).add(item_id)
-                own = [sorted(names.get(o, ())) for o in range(len(n_words))]
+                        found.setdefault(o, set()).add(item_id)
+                own = [sorted(found.get(o, ())) for o in range(len(n_words))]
                 ids = pa.array(s.ids, pa.int64(), mask=np.asarray(s.null))
                 yield pa.record_batch(
-                    [ids, pa.array(np.asarray(s.hash)), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= n_words))],
-                    names=["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items", "contaminated"],
+                    [ids, pa.array(np.asarray(s.hash)), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= n_words)), pa.array(whole)],
+                    names=["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items", "contaminated", "whole"],
                 )
 
-    schema = "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
+    schema = "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, whole boolean"
     result = workspace(spark, "contamination")
     segments.repartition(max(1, min(segments.count(), 100_000))).mapInArrow(search, schema).write.mode("overwrite").parquet(f"{result}/rows")
     remove(folder)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import os
+import struct
 import tempfile
 import uuid
 
@@ -121,6 +122,26 @@ def map_array(uri: str) -> np.ndarray:
         return np.load(local.name, mmap_mode="r", allow_pickle=False)  # the mapping outlives the name
 
 
+def sections(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as one run of bytes: their number, a type and a length each, and their contents, all at multiples of 8."""
+    head = struct.pack("<q", len(arrays)) + b"".join(struct.pack("<8sq", a.dtype.str.encode(), len(a)) for a in arrays)
+    return head + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+
+
+def map_sections(uri: str, at: int, size: int) -> list[np.ndarray]:
+    """The arrays of a run of bytes in a file, mapped where that can be done, else read."""
+    filesystem, path = resolve(uri)
+    raw = np.memmap(path, np.uint8, "r", at, (size,)) if isinstance(filesystem, pafs.LocalFileSystem) else np.frombuffer(read_bytes(uri, at, size), np.uint8)
+    (n,) = struct.unpack("<q", raw[:8].tobytes())
+    out, at = [], 8 + 16 * n
+    for i in range(n):
+        kind, length = struct.unpack("<8sq", raw[8 + 16 * i : 24 + 16 * i].tobytes())
+        dtype = np.dtype(kind.rstrip(b"\0").decode())
+        out.append(raw[at : at + length * dtype.itemsize].view(dtype))
+        at += length * dtype.itemsize + -length * dtype.itemsize % 8
+    return out
+
+
 def exists(uri: str) -> bool:
     filesystem, path = resolve(uri)
     return filesystem.get_file_info(path).type != pafs.FileType.NotFound
