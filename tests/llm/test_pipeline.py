@@ -16,6 +16,8 @@ def sf(spark, tmp_path_factory):
     passage, leak = good(60), good(30)
     docs = [(i, good(200)) for i in range(120)]
     docs += [(200, docs[0][1]), (201, docs[1][1] + " tail"), (202, good(100) + " " + passage + " " + good(100)), (203, good(100) + " " + passage + " " + good(100)), (204, good(40) + " " + leak + " " + good(40))]
+    short = " ".join(leak.split()[3:16])
+    docs += [(205, good(1000) + " " + short + " " + good(1000)), (206, good(1000) + " " + " ".join(short.split()[:12]) + " " + good(1000))]
     docs += [(300 + i, " ".join(["BUY NOW!! $$$"] * 40)) for i in range(60)]
     docs += [(None, good(50)), (400, None), (401, ""), (402, "短い text"), (200, docs[0][1])]
     folder = str(tmp_path_factory.mktemp("sf"))
@@ -40,7 +42,8 @@ def test_stages(spark, sf, tmp_path):
     assert 200 not in near and 201 not in near and all(i in near for i in range(120))
     assert passage in passages[202]["text"] and passage not in passages[203]["text"] and passages[203]["n_chars"] == len(passages[203]["text"])
     assert all(passages[i]["text"] == texts[i] for i in range(120))
-    assert 204 in passages and 204 not in clean and 202 in clean
+    # A window of 13 words goes with its document even where it is no 20th of it; 12 words of it are no window.
+    assert {204, 205, 206} <= set(passages) and not {204, 205} & set(clean) and {202, 206} <= set(clean)
     for i, r in encoded.items():
         assert r["decoded_sha256"] == hashlib.sha256((clean[i]["text"] or "").encode()).hexdigest() and r["n_tokens"] == len(r["ids"])
 
