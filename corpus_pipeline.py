@@ -13,7 +13,7 @@ from tokenlake.llm import bpe, posindex, simhash, subword, superkmer
 from tokenlake.llm.queries import bpe_files
 from tokenlake.llm.shared import workspace
 
-#: None: XXH64, a trained classifier and byte-level BPE are beyond SQL; tests/llm holds the stages against brute force.
+#: None: XXH64, a trained classifier and byte-level BPE are beyond SQL; tests/llm holds each stage's decisions against brute force (the classifier's against held-out labels).
 ORACLE_SQL = None
 #: A document goes if the probability that it is good is below this.
 REJECT = 0.7
@@ -33,7 +33,11 @@ def _hash(text: Column) -> Column:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on `labels`, takes for good ones."""
+    """Documents that the classifier, trained on `labels`, takes for good ones.
+
+    Null, empty and wordless texts get the constant's probability and are judged by it like any other; a text of any length is judged whole.  Repeated rows and rows
+    with a null id are judged row by row.  No labels: every score is 0.5, and all go.  An empty table stays empty; columns with any name pass through.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _back(subword.classify(docs, labels, held_out="false", columns=docs.columns, threshold=REJECT).where("predicted = 1"), docs)
 
@@ -59,15 +63,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by `benchmark`."""
+    """Documents without any window of 13 words of `benchmark`, however long they are, that aren't contaminated by shorter items either.
+
+    Null, empty and wordless texts hold no passage and stay; repeated rows go or stay together.  Without items all stay.  An empty table stays empty.
+    """
     found = posindex.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    bad = found.where("whole OR contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
     rows = _carried(docs)
     return _back(rows.join(bad, rows["id"].eqNullSafe(bad["bad_id"]) & (rows["hash"] == bad["bad_hash"]), "left_anti"), docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the digest of the text that the ids decode to."""
+    """doc_id, n_tokens, ids, and the digest of the text that the ids decode to.
+
+    A null text is encoded like an empty one, to no ids; a text of any length is encoded whole.  One row per row, repeated ones included.
+    """
     path, pattern = bpe_files()
     out = bpe.decode(bpe.encode(docs, path, pattern, columns=["doc_id"]), path, pattern)
     return out.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
