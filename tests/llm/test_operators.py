@@ -185,6 +185,19 @@ def test_nearest(spark):
     assert kmeans_tree.nearest(vectors.limit(0), "true").count() == 0 and kmeans_tree.nearest(vectors.where("vec_id = 2000"), "true").count() == 0
 
 
+def test_nearest_of_ids_with_several_vectors(spark):
+    """Six rows of id 100 with different vectors: one set of ranks, as many neighbours as asked for, none of its own; ids that are candidates several times count each time."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    rows = [(100, (base + 1e-3 * i).tolist()) for i in range(6)] + [(i, rng.normal(size=8).tolist()) for i in range(1, 40)] + [(7, (base + 0.01).tolist()), (8, (base + 1e-3).tolist()), (200, (base + 0.5).tolist())]
+    out = kmeans_tree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 100 = 0", k=10).collect()
+    for q in (100, 200):
+        own = [np.array(v) for i, v in rows if i == q]
+        near = sorted((min(float(np.sqrt(((np.array(v) - o) ** 2).sum())) for o in own), i) for i, v in rows if i != q)[:10]
+        got = sorted((r["rank"], r["score"], r["vec_id"]) for r in out if r["query_id"] == q)
+        assert [(r, i) for r, _, i in got] == [(n + 1, i) for n, (_, i) in enumerate(near)] and all(abs(a - b) < 1e-12 for (_, a, _), (b, _) in zip(got, near))
+
+
 def test_nearest_aims_at_a_recall_of_97_of_100():
     import inspect
 

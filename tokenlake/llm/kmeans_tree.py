@@ -12,6 +12,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,7 +104,8 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
 
     queries: SQL condition on rows.  score: Euclidean distance in double precision.  Vectors that are null, zero, or hold null or non-finite
     components take no part, nor do rows with a null id; lengths other than the most common one neither.  Rows with one id and one vector are one
-    candidate; an id with several vectors has several.  Fewer candidates than k: all of them.  No usable rows: an empty result.
+    candidate; an id with several vectors has several, and as a query it is one: no row of its own id is a candidate, and each candidate counts at its least
+    distance to any of the query's vectors.  Fewer candidates than k: all of them.  No usable rows: an empty result.
     """
     spark = vectors.sparkSession
     folder = workspace(spark, "kmtree")
@@ -124,8 +126,13 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
     firsts = fine.select("v", "id").distinct().withColumn("n", place_of).where(F.col("n") <= k + 1)
     firsts.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).write.parquet(f"{folder}/points")
     points = spark.read.schema("v array<double>, ids array<long>").parquet(f"{folder}/points")
-    fine.where("q").select("v").distinct().write.parquet(f"{folder}/asked")
-    asked = spark.read.schema("v array<double>").parquet(f"{folder}/asked")
+    # A query is a vector, with the id that asks and how many vectors that has only where it has several: equal vectors of other ids ask once.
+    asking = fine.where("q").select(F.col("id").alias("query_id"), "v").distinct()
+    several = asking.groupBy("query_id").agg(F.count("*").alias("own_vectors")).where("own_vectors > 1")
+    asking = asking.join(several, "query_id", "left").withColumn("own", F.when(F.col("own_vectors") > 1, F.col("query_id")))
+    asking.write.parquet(f"{folder}/asking")
+    asking = spark.read.schema("query_id long, v array<double>, own_vectors long, own long").parquet(f"{folder}/asking")
+    asked = asking.select("v", "own", "own_vectors").distinct()
     total = points.count()
     fit_rows = points.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE)
     sample = fit_rows.toArrow()
@@ -141,7 +148,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
     points.mapInArrow(place, "leaf long, v array<double>, ids array<long>").write.parquet(f"{folder}/index")
     index = spark.read.schema("leaf long, v array<double>, ids array<long>").parquet(f"{folder}/index")
     counts = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf: bounded by SAMPLE
-    trial = asked.orderBy(F.xxhash64("v")).limit(CALIBRATION).toArrow()
+    trial = asked.select("v").distinct().orderBy(F.xxhash64("v")).limit(CALIBRATION).toArrow()
     trial = _matrix(trial.column("v").combine_chunks(), dim) if trial.num_rows else np.zeros((0, dim))
     visits = _calibrate(index, trial, tree.value, counts, k, dim, recall)
 
@@ -155,20 +162,23 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
             rows = []
             for i in range(len(q)):
                 wanted: dict[tuple[int, int], list[int]] = {}
-                for n in _leaves(t, q[i], counts, visits, k):
+                for n in _leaves(t, q[i], counts, visits, k + (batch.column(2)[i].as_py() or 0)):
                     wanted.setdefault(home[n], []).append(n)
                 rows += [(g, p, i, leaves) for (g, parts), leaves in wanted.items() for p in range(parts)]
             group, part, row, leaves = zip(*rows) if rows else ((), (), (), ())
-            yield pa.record_batch([pa.array(group, pa.int64()), pa.array(part, pa.int32()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(leaves, pa.list_(pa.int64()))], names=["group", "part", "v", "leaves"])
+            yield pa.record_batch([pa.array(group, pa.int64()), pa.array(part, pa.int32()), batch.column(0).take(pa.array(row, pa.int64())), batch.column(1).take(pa.array(row, pa.int64())), pa.array(leaves, pa.list_(pa.int64()))], names=["group", "part", "v", "own", "leaves"])
 
     dealt = spark.createDataFrame(groups, "leaf long, group long, parts int")  # one row a leaf
-    rows = index.join(F.broadcast(dealt), "leaf").select("group", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "leaf", "v", "ids")
-    sent = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(route, "group long, part int, v array<double>, leaves array<long>")
+    rows = index.join(F.broadcast(dealt), "leaf").select("group", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "leaf", "v", F.xxhash64("v").alias("point"), "ids")
+    sent = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(route, "group long, part int, v array<double>, own long, leaves array<long>")
 
     def compare(key, left, right):
         x, leaf = _matrix(left.column("v").combine_chunks(), dim), left.column("leaf").to_numpy()
         q, wanted = _matrix(right.column("v").combine_chunks(), dim), right.column("leaves").to_pylist()
         known, of = np.unique(leaf, return_inverse=True)
+        ids = left.column("ids").combine_chunks()
+        alone, first = np.asarray(pc.list_value_length(ids)) == 1, np.asarray(pc.list_element(ids, 0)) if len(ids) else np.zeros(0, np.int64)
+        askers = right.column("own").to_pylist()
         own, at, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for lo in range(0, len(q) if len(x) else 0, QUERIES):
             part = q[lo : lo + QUERIES]
@@ -176,6 +186,9 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
             for i, leaves in enumerate(wanted[lo : lo + QUERIES]):
                 visited[i] = np.isin(known, leaves)
             rough = np.where(visited[:, of], squared(part, x), np.inf)
+            for i, asker in enumerate(askers[lo : lo + QUERIES]):
+                if asker is not None:
+                    rough[i, alone & (first == asker)] = np.inf
             # Products of matrices are rough in the last digits: what is near the limit is measured exactly.
             limit = np.partition(rough, k, axis=1)[:, k] if rough.shape[1] > k + 1 else np.full(len(part), np.inf)
             slack = 1e-9 * ((part * part).sum(1) + (x * x).sum(1).max())
@@ -184,15 +197,19 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
                 own.append(np.full(len(near), lo + i))
                 at.append(near)
                 far.append(exact(part[i : i + 1], x[near])[0])
-        return pa.table({"v": right.column("v").combine_chunks().take(pa.array(np.concatenate(own), pa.int64())), "d": np.concatenate(far), "ids": left.column("ids").combine_chunks().take(pa.array(np.concatenate(at), pa.int64()))})
-
-    near = rows.groupBy("group", "part").cogroup(sent.groupBy("group", "part")).applyInArrow(compare, "v array<double>, d double, ids array<long>")
-    pairs = near.select("v", F.explode("ids").alias("vec_id"), "d")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id"))), 1, k + 1)
-    found = pairs.groupBy("v").agg(best.alias("best"))  # k + 1 rows from each block visited
-    asking = fine.where("q").select(F.col("id").alias("query_id"), "v").distinct()
-    mine = asking.join(found, "v").select("query_id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k).alias("best"))
-    return mine.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.d").alias("score"))
+        rows, places = pa.array(np.concatenate(own), pa.int64()), pa.array(np.concatenate(at), pa.int64())
+        return pa.table({"v": right.column("v").combine_chunks().take(rows), "own": right.column("own").combine_chunks().take(rows), "d": np.concatenate(far), "point": left.column("point").combine_chunks().take(places), "ids": ids.take(places)})
+
+    near = rows.groupBy("group", "part").cogroup(sent.groupBy("group", "part")).applyInArrow(compare, "v array<double>, own long, d double, point long, ids array<long>")
+    pairs = near.select("v", "own", "point", F.explode("ids").alias("vec_id"), "d").where("own IS NULL OR own <> vec_id")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id", "point"))), 1, k + 1)
+    found = pairs.groupBy("v", "own").agg(best.alias("best"))  # k + 1 rows from each block visited
+    mine = asking.join(found.withColumnRenamed("v", "fv").withColumnRenamed("own", "fown"), (F.col("v") == F.col("fv")) & F.col("own").eqNullSafe(F.col("fown")))
+    mine = mine.select("query_id", F.explode(F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)).alias("b"))
+    # The vectors of one id find the same candidates: each candidate counts once, at its least distance.
+    once = mine.groupBy("query_id", "b.vec_id", "b.point").agg(F.min("b.d").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _groups(tree: Tree, counts: dict[int, int]) -> list[tuple[int, int, int]]:
