@@ -154,7 +154,7 @@ MAPPED = 4096
 class HashStore:
     """Sorted hash arrays, split by the hash's leading bits into shards, mapped on first use.
 
-    Each shard is `<folder>/<name>-<shard>-<column>.npy`; the column `key` holds sorted unique uint64.
+    Each shard is `<folder>/<name>-<shard>-<column>.npy`; the column `key` holds sorted uint64, unique or, where a column `other` holds 64 bits more, unique with these.
     """
 
     def __init__(self, folder: str, name: str, bits: int, columns: tuple[str, ...]):
@@ -179,8 +179,8 @@ class HashStore:
             self._held[shard] = {c: map_array(self._uri(shard, c)) for c in ("key", *self.columns)} if there else None
         return self._held[shard]
 
-    def lookup(self, keys: np.ndarray, shards: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """keys: uint64, sorted (inside each of the ascending `shards`, if they don't follow from the keys).
+    def lookup(self, keys: np.ndarray, shards: np.ndarray | None = None, other: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """keys: uint64, sorted (inside each of the ascending `shards`, if they don't follow from the keys).  other: what the column `other` must hold, too.
 
         Which keys are there; each column at those keys (0 elsewhere), and as "at" their place in their shard.
         """
@@ -195,6 +195,10 @@ class HashStore:
             at = np.searchsorted(held["key"], keys[lo:hi])
             at[at == len(held["key"])] = 0
             hit = held["key"][at] == keys[lo:hi]
+            if other is not None:
+                # Keys that are equal in 64 bits stand side by side; nearly always there is one.
+                at[hit], hit = _beside(held["key"], held["other"], at[hit], other[lo:hi][hit]), hit
+                hit &= held["other"][at] == other[lo:hi]
             found[lo:hi] = hit
             out["at"][lo:hi] = at
             for c in self.columns:
@@ -207,6 +211,17 @@ class HashStore:
         return found, out | {c: np.zeros(len(keys), np.int64) for c in self.columns if c not in out}
 
 
+def _beside(key: np.ndarray, other: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Of each place in key, the one of those of equal keys from there on whose other is the wanted one, or the last of these."""
+    at = at.copy()
+    while True:
+        after = np.minimum(at + 1, len(key) - 1)
+        wrong = np.flatnonzero((other[at] != wanted) & (after > at) & (key[after] == key[at]))
+        if not len(wrong):
+            return at
+        at[wrong] += 1
+
+
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
 

@@ -155,7 +155,6 @@ def _firsts(texts: DataFrame, repeated: HashStore, firsts: HashStore, window: in
         first = _first(order, d1, d2)
         total = np.add.reduceat(n[order], first) if len(order) else n
         pick = order[first][total > 1]
-        pick = pick[np.concatenate(([True], np.diff(d1[pick]) != 0))] if len(pick) else pick
         firsts.write(key[0].as_py(), key=d1[pick], other=d2[pick], id=own[pick], start=at[pick])
         return pa.table({"shard": [key[0].as_py()], "n": [len(pick)]})
 
@@ -190,8 +189,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", colum
                 d1, d2 = x.digests(some)
                 own, start, shard = ids[lo + x.text_of[some]], x.starts(some), shard_of(x.least[some], firsts.bits)
                 order = np.lexsort((d1, shard))
-                found, got = firsts.lookup(d1[order], shard[order])
-                late = found & (got["other"] == d2[order]) & ((own[order] > got["id"]) | ((own[order] == got["id"]) & (start[order] > got["start"])))
+                found, got = firsts.lookup(d1[order], shard[order], d2[order])
+                late = found & ((own[order] > got["id"]) | ((own[order] == got["id"]) & (start[order] > got["start"])))
                 at = x.at[some[order[late]]]
                 cover = np.zeros(w.n + 1, np.int32)
                 np.add.at(cover, at, 1)
