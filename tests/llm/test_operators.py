@@ -154,7 +154,14 @@ def test_warc(spark):
         kinds = {(r["record_type"], r["refers_to"]) for r in mine}
         assert kinds == ({("revisit", 3)} if html == same and page != 3 else {("response", None)})
         assert all(r["payload"] == raw for r in mine if r["record_type"] == "response")
+    again = warc.write(pages.unionAll(pages)).collect()
+    assert len({r["record_id"] for r in again}) == len({(r["bundle"], r["frame"], r["at"]) for r in again}) == 2 * len(rows)
     index = warc.write(pages).collect()
+    heads = [warc.parse(warc.Bundle(r["bundle"]).frame(r["frame"])[r["at"] : r["at"] + r["length"]])[0] for r in index]
+    first = {h["warc-record-id"]: h for h in heads if h["warc-type"] == "response" and h.get("x-page-id") == "3"}
+    visits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(visits) == 3 and all(h["warc-refers-to"] in first and h["warc-refers-to-date"] == h["warc-date"] for h in visits)
+    assert all(h["warc-refers-to-target-uri"] == first[h["warc-refers-to"]]["warc-target-uri"] for h in visits)
     bundle = warc.Bundle(index[0]["bundle"])
     import zstandard
 
