@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -409,14 +410,57 @@ def test_similar_groups_part_at_the_similarity(spark):
     assert {r["doc_id"]: r["least"] for r in simhash.similar_groups(frame(spark, docs)).collect()} == near
 
 
-def test_sample_tables_find_near_pairs():
-    share = float(np.arccos(1.6 / 1.8) / np.pi)
-    tables, rng = simhash.sample_tables(share, 12, 67), np.random.default_rng(12)
-    differ = rng.random((20000, 256)) < share
-    met = np.zeros(len(differ), bool)
-    for _ in range(tables):
-        met |= ~differ[:, rng.choice(256, 12, replace=False)].any(1)
-    assert (met & (differ.sum(1) <= 67)).mean() > 0.997
+def shingles_of(text, k=5):
+    w = SPACED.findall((text or "").translate(LOWER))
+    return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def brute_similar(docs, similarity=0.8):
+    """Of each document the smallest id of its group, comparing all pairs of distinct sets that share a shingle."""
+    sets = [shingles_of(t) for _, t in docs]
+    distinct = list(dict.fromkeys(x for x in sets if x))
+    at, holders = {x: i for i, x in enumerate(distinct)}, collections.defaultdict(list)
+    for i, x in enumerate(distinct):
+        for one in x:
+            holders[one].append(i)
+    linked = set()
+    for i, x in enumerate(distinct):
+        both = collections.Counter(j for one in x for j in holders[one] if j < i)
+        linked |= {(i, j) for j, n in both.items() if n >= similarity * (len(x) + len(distinct[j]) - n)}
+    label = components(len(distinct), linked)
+    least = {}
+    for (i, _), x in zip(docs, sets):
+        if x:
+            least[label[at[x]]] = min(least.get(label[at[x]], i), i)
+    return {i: least[label[at[x]]] if x else i for (i, _), x in zip(docs, sets)}, linked
+
+
+@pytest.mark.parametrize("block", [8192, 5])
+def test_similar_groups_equal_brute_force_on_small_and_large_sets(spark, monkeypatch, block):
+    """Pairs at, above and below the similarity, of 1 to 300 shingles, with a line that a third of all texts share and a group of many near copies."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
+    line, hot = text(12), text(120)
+    docs = []
+    for n in (1, 3, 5, 6, 8, 9, 10, 12, 20, 40, 60, 70, 80, 100, 300):
+        for cut in (0, 1, 2, max(1, n // 9), max(1, n // 7)):
+            a = text(n) + (line if rng.random() < 0.33 else [])
+            docs += [" ".join(a), " ".join(a[: len(a) - cut] + text(cut))]
+    for i in range(25):
+        docs.append(" ".join(hot[:60] + [f"v{i}"] + hot[60:]))
+    docs = list(enumerate(docs))
+    expected, linked = brute_similar(docs)
+    assert len(linked) > 300
+    assert {r["doc_id"]: r["least"] for r in simhash.similar_groups(frame(spark, docs)).collect()} == expected
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_similar_groups_equal_brute_force_on_a_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = [tuple(r) for r in table.collect()]
+    expected, linked = brute_similar(docs)
+    assert linked and {r["doc_id"]: r["least"] for r in simhash.similar_groups(table).collect()} == expected
 
 
 def test_stage_order_is_the_cluster_folder(spark):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .graph import connected_components
-from .shared import remove, resolve, workspace
+from .shared import exists, map_array, pack, remove, resolve, unpack, workspace, write_array
 
 #: Reference fingerprints.
 PIVOTS = np.random.Generator(np.random.PCG64(64)).integers(0, 2**64, size=24, dtype=np.uint64)
@@ -163,22 +163,21 @@ def _scheme(points: int, radius: int) -> list[int]:
     return [sum(ranges[i] for i in range(parts) if i not in left_out) for left_out in combinations(range(parts), radius)]
 
 
-def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray, carried: tuple[str, ...] = (), confirm: Callable | None = None, keys: DataFrame | None = None) -> DataFrame:
+def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray, carried: tuple[str, ...] = (), confirm: Callable | None = None, large: DataFrame | None = None) -> DataFrame:
     """keyed: key long, what a point carries (long), and its lanes (long), each key and point once.  (a, b): the first columns of linked points of a bucket.
 
-    confirm: gives, for the carried columns of a task's rows, near_sets' confirm.  keys: keyed's keys (key, held long: how many of its rows have it), where
-    most keys have several points; then only large buckets are told the tasks, and the points travel once.
+    confirm: gives, for the carried columns of a task's rows, near_sets' confirm.  large: the keys (key, held long: their points) of over BLOCK points, if they
+    are known beforehand; then the points travel once.
 
     A bucket of over BLOCK points is dealt out as pairs of blocks, so no task holds more than two blocks of one bucket.  Each task
     returns at most one row a point: the link to one of its set.
     """
     names = [*carried, *lanes]
-    if keys is None:
+    if large is None:
         sizes = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
         dealt = keyed.join(sizes, "key")
     else:
-        sizes = keys.groupBy("key").agg(F.sum("held").alias("held")).where(F.col("held") > BLOCK)
-        dealt = keyed.join(F.broadcast(sizes), "key", "left").withColumn("held", F.coalesce("held", F.lit(1)))  # one row a bucket of over BLOCK points
+        dealt = keyed.join(large, "key", "left").withColumn("held", F.coalesce("held", F.lit(1)))
     dealt = dealt.withColumn("parts", F.ceil(F.col("held") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")
     dealt = dealt.withColumn("own", own).select("key", *names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"), "own")
@@ -227,7 +226,7 @@ def links(points: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links): one row per row of docs.
+    """(doc_id, fingerprint, component_id): one row per row of docs.
 
     fingerprint: 16 hex digits; component_id: the smallest id reachable over links of `radius` bits or fewer, through copies too.
     Null, empty or wordless texts have fingerprint zero and are linked like any other.  Repeated rows give repeated rows; a null id counts
@@ -248,22 +247,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: 64-bit words of a wide fingerprint, with what each mixes into a shingle's hash; reference fingerprints for it.
 LANES = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 WIDE_PIVOTS = np.random.Generator(np.random.PCG64(256)).integers(0, 2**64, size=(4, len(LANES)), dtype=np.uint64)
-
-
-#: Share of the pairs of just the similarity asked for that may not meet.
-MISSED = 0.001
-
-
-def sample_tables(share: float, bits: int, radius: int, width: int = 64 * len(LANES)) -> int:
-    """How many samples of so many bits of a fingerprint make all but MISSED of pairs meet within the radius, if each bit differs with this probability."""
-    d = np.arange(radius + 1)
-    ways = np.cumsum(np.log(np.concatenate(([1.0], (width - d[:-1]) / (d[:-1] + 1)))))
-    chance = np.exp(ways + d * np.log(share) + (width - d) * np.log1p(-share))
-    agree = np.prod([np.maximum(width - d - i, 0) / (width - i) for i in range(bits)], axis=0)
-    tables = 1
-    while chance.sum() - chance @ (1 - agree) ** tables < 1 - MISSED:
-        tables += 1
-    return tables
+#: Standard deviations that the radius goes beyond the expected distance of a pair of just the similarity asked for.
+DEVIATIONS = 6
+#: Sets of fewer shingles are compared without fingerprints, as the binomial law says too little about so few.
+FEW = 64
+_FEW_SALT = np.uint64(0x2545F4914F6CDD1D)
+#: Cells of the table of how common shingles are: about one for so many shingles, within these powers of two; slices that it is summed and stored in.
+PER_CELL, CELLS, SLICES = 16, (16, 26), 64
 
 
 #: Hashes of sets that a task keeps at once; bits of a set's place that say where in its file it starts.
@@ -342,14 +332,59 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     return texts.mapInArrow(run, "id long, text_hash long, node long, n long, place long, " + ", ".join(f"f{k} long" for k in range(len(LANES))))
 
 
+def _common(points: DataFrame, sets: str, folder: str, cells: int) -> None:
+    """Stores how many sets have a shingle of each cell (the hash's lowest bits), at most 65535, in slices.  points: (place, n).  It is an order of shingles, not a result."""
+    width = cells // SLICES
+
+    def count(batches):
+        held, total = Sets(sets), np.zeros(cells, np.uint32)
+        for batch in batches:
+            for place, n in zip(*(c.to_pylist() for c in batch.columns)):
+                np.add.at(total, (held.get(place, n) & np.uint64(cells - 1)).astype(np.int64), 1)
+        for k in range(SLICES):
+            own = total[k * width : (k + 1) * width]
+            at = np.flatnonzero(own)
+            if len(at):
+                n = np.minimum(own[at], 65535).astype(np.uint16)
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pack(np.diff(at, prepend=0).astype(np.uint32))], pa.binary()), pa.array([pack(n)], pa.binary())], names=["slice", "at", "n"])
+
+    def gather(batches):
+        now, total = -1, np.zeros(width, np.uint32)
+
+        def store():
+            if now >= 0:
+                write_array(f"{folder}/common-{now}.npy", np.minimum(total, 65535).astype(np.uint16))
+
+        for batch in batches:
+            for k, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now:
+                    store()
+                    now, total = k, np.zeros(width, np.uint32)
+                total[np.cumsum(unpack(at, np.uint32))] += unpack(n, np.uint16)
+        store()
+        yield pa.record_batch([pa.array([now], pa.int32())], names=["last"])
+
+    rows = points.mapInArrow(count, "slice int, at binary, n binary")
+    rows.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(gather, "last int").agg(F.count("*")).collect()
+
+
+def _level(folder: str, cells: int) -> np.ndarray:
+    parts = [f"{folder}/common-{k}.npy" for k in range(SLICES)]
+    return np.concatenate([map_array(x) if exists(x) else np.zeros(cells // SLICES, np.uint16) for x in parts])
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, group, least), one row per row of docs: its group of texts whose shingle sets are that similar or more, and the group's smallest id.
 
-    A Jaccard similarity s of two sets is a cosine of 2 s / (1 + s), and so an expected share of differing fingerprint bits, arccos of it over pi; the radius is this
-    share of 256 bits and five standard deviations more.  At such a radius bit ranges can't meet surely, so points meet under samples of their bits,
-    as many samples as find all but MISSED of the pairs of just that similarity; inside a bucket pivot tables and the full distance propose pairs, and only
-    the exact similarity of the two sets makes a link.  Equal sets are one point.
-    Texts without words are left alone: each id is a group.  Repeated rows are one group; null ids count last.
+    Points (equal sets are one) meet in buckets of equal shingles.  Two sets of a Jaccard similarity s have a shingle in common among the (1 - s) n + 1 first of each, in any
+    one order of all shingles; the order is by how many sets have them, the rarest first, so what a third of all texts share puts nobody together, and no pair is lost.  The
+    rows grow with the text and with nothing else.  In a bucket the pivot tables do the work: a pair goes if its distances to a reference fingerprint differ by more than the
+    radius, or its fingerprints do; only the exact similarity of the two sets makes a link of what is left.  A Jaccard similarity s is a cosine of 2 s / (1 + s),
+    so an expected share of differing fingerprint bits, arccos of it over pi; the radius is this share of 256 bits and DEVIATIONS standard deviations more, which by the binomial law
+    parts two in 10**8 pairs of just that similarity.  Sets of fewer than FEW shingles are compared without fingerprints, exactly.
+
+    Null, empty and wordless texts are left alone: each id is a group.  Texts of fewer words than a shingle are one shingle.  Texts of any length are taken whole.  Repeated rows
+    are one group; null ids count last.  An empty table gives none.
     """
     spark = docs.sparkSession
     folder = workspace(spark, "similar")
@@ -358,39 +393,53 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wide_fingerprints(docs, id_col, text_col, shingle, sets).write.parquet(f"{folder}/points")
     columns = ", ".join(f"{c} long" for c in ("node", "n", "place", *lanes))
     rows = spark.read.schema(f"id long, text_hash long, {columns}").parquet(f"{folder}/points")
-    rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in ("n", "place", *lanes))).write.parquet(f"{folder}/named")
+    distinct = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in ("n", "place", *lanes)))
+    # In the order of their places, so that each task reads the sets' files from front to back.
+    distinct.repartitionByRange("place").sortWithinPartitions("place").write.parquet(f"{folder}/named")
     named = spark.read.schema(f"least long, {columns}").parquet(f"{folder}/named")
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     width = 64 * len(LANES)
-    radius = int(width * share + 5 * (width * share * (1 - share)) ** 0.5)
-    number = named.count()
-    bits = max(12, int(np.ceil(np.log2(max(number, 1) / 512))))
-    tables = sample_tables(share, bits, radius)
-    rng = np.random.Generator(np.random.PCG64(99))
-    chosen = [np.sort(rng.choice(width, bits, replace=False)) for _ in range(tables)]
+    radius = int(width * share + DEVIATIONS * (width * share * (1 - share)) ** 0.5)
+    shingles = named.agg(F.sum("n")).first()[0] or 0
+    cells = 1 << int(np.clip(np.ceil(np.log2(max(shingles / PER_CELL, 1))), *CELLS))
+    _common(named.select("place", "n"), sets, folder, cells)
     carried = ("place", "n")
 
-    def spread(batches, alone=False):
+    def spread(batches, over=False):
+        """Each point with each of its first shingles; with `over`, only the keys that may have over BLOCK points."""
+        held, level = Sets(sets), _level(folder, cells)
         for batch in batches:
-            points = np.stack([batch.column(k).to_numpy() for k in range(len(carried), batch.num_columns)], 1)
-            for lo in range(0, len(points), 2048):
-                own, part = points[lo : lo + 2048], batch.slice(lo, 2048)
-                unpacked = np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").astype(np.int64)
-                for k, at in enumerate(chosen):
-                    key = (unpacked[:, at] << np.arange(bits)).sum(1) + (k << bits)
-                    if alone:
-                        yield pa.record_batch([pa.array(x) for x in np.unique(key, return_counts=True)], names=["key", "held"])
-                    else:
-                        yield pa.record_batch([pa.array(key), *part.columns], names=["key", *carried, *lanes])
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                place, n = (part.column(i).to_numpy() for i in range(2))
+                h = np.concatenate([held.get(a, b) for a, b in zip(place.tolist(), n.tolist())])
+                own = np.repeat(np.arange(len(n)), n)
+                common = level[(h & np.uint64(cells - 1)).astype(np.int64)]
+                order = np.lexsort((h, common, own))
+                begin = np.cumsum(n) - n
+                first = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+                order = order[np.arange(len(h)) - begin[own] < first[own]]
+                own, h, common = own[order], h[order], common[order]
+                for few in (False, True):
+                    take = n[own] < FEW / similarity if few else n[own] >= FEW
+                    take = np.flatnonzero(take & (common > BLOCK) if over else take)
+                    key = pa.array((tv.mix(h[take] ^ _FEW_SALT) if few else h[take]).view(np.int64))
+                    if over:
+                        yield pa.record_batch([key], names=["key"])
+                        continue
+                    at = pa.array(own[take])
+                    bits = [pa.array(np.zeros(len(take), np.int64)) if few else part.column(c).take(at) for c in range(2, part.num_columns)]
+                    yield pa.record_batch([key, part.column(0).take(at), part.column(1).take(at), *bits], names=["key", *carried, *lanes])
 
     points = named.select(*carried, *lanes)
     keyed = points.mapInArrow(spread, "key long, " + ", ".join(f"{c} long" for c in (*carried, *lanes)))
-    keys = points.mapInArrow(lambda batches: spread(batches, True), "key long, held long")
+    over = points.mapInArrow(lambda batches: spread(batches, True), "key long")
+    large = over.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK)
 
     def confirm(*points):
         return Sets(sets).similar(similarity)(*points)
 
-    roots = connected_components(_compare(keyed, lanes, radius, WIDE_PIVOTS, carried, confirm, keys)).where("node <> root").withColumnRenamed("node", "place")
+    roots = connected_components(_compare(keyed, lanes, radius, WIDE_PIVOTS, carried, confirm, large)).where("node <> root").withColumnRenamed("node", "place")
     remove(sets)
     joined = named.select("node", "place", "least").join(roots, "place", "left").select("node", "least", F.coalesce("root", "place").alias("root")).checkpoint()
     tops = joined.groupBy("root").agg(F.min("least").alias("top"))
