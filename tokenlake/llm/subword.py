@@ -1,6 +1,6 @@
 """Quality classifier on supervised subword embeddings.
 
-A text is the mean of the learned vectors of its hashed features: words, byte n-grams of each word between its end marks, and pairs of
+A text is the mean of the learned vectors of its hashed features: words, character n-grams of each word between its end marks, and pairs of
 neighbouring words (with one feature for a word that repeats the one before).  A softmax layer on the mean gives the classes; both are trained together by
 stochastic gradient descent in NumPy, in one task, on a bounded sample of labelled rows.  As the mean and the layer are linear, a feature
 adds one number to a text's margin, so scoring needs one table of numbers and goes through whole texts in array operations.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,19 @@ PAIR = 4
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
+def _characters(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of UTF-8, its bytes from the lowest on, and where it begins."""
+    first = (text & 0xC0) != 0x80
+    value, inside = text.astype(np.uint64), np.ones(len(text), bool)
+    for j in range(1, 4):
+        if len(text) > j:
+            inside[:-j] &= ~first[j:]
+            inside[-j:] = False
+            value[:-j] |= np.where(inside[:-j], text[j:].astype(np.uint64) << np.uint64(8 * j), np.uint64(0))
+    at = np.flatnonzero(first)
+    return value[at], at
+
+
 class Features:
     """Features of a block of texts: of each distinct word its own, and of each word but the first of its text that of the pair."""
 
@@ -35,11 +49,13 @@ class Features:
         text[begin[:-1]], text[begin[1:] - 1] = 0x02, 0x03
         found, owner = [tv.mix(unique ^ _SALT[0]) & mask], [np.arange(len(unique))]
         word = np.repeat(np.arange(len(unique)), size + 2)
-        left = np.repeat(begin[1:], size + 2) - np.arange(len(text))
-        value = tv.mix(text.astype(np.uint64) + _SALT[1])
+        value, chars = _characters(text)
+        word = word[chars]
+        left = np.cumsum(np.bincount(word, minlength=len(unique)))[word] - np.arange(len(word))
+        value = tv.mix(value + _SALT[1])
         for n in grams:
-            if len(text) >= n:
-                ok = np.flatnonzero(left[: len(text) - n + 1] >= n)
+            if len(value) >= n:
+                ok = np.flatnonzero(left[: len(value) - n + 1] >= n)
                 found.append(tv.mix(tv.rolling(value, n)[ok] + np.uint64(n)) & mask)
                 owner.append(word[ok])
         self.bucket, self.owner = np.concatenate(found).astype(np.int64), np.concatenate(owner)
@@ -116,7 +132,8 @@ def classify(
 
     held_out: SQL condition on rows whose labels are not learnt from (null: false).  At most `train_rows` labelled rows are learnt from, those whose ids have the smallest
     hashes; labels other than 0 and 1 are ignored, and an id with several labels counts with each.  score: probability of label 1.  A null,
-    empty or wordless text has no features and gets the constant's probability.  Without any label every score is 0.5.
+    empty or wordless text has no features and gets the constant's probability.  Without any label every score is 0.5.  Texts of any length are taken whole; repeated rows are
+    scored alike, and learnt from each time.  An empty table gives none.
     """
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
@@ -140,7 +157,8 @@ def classify(
             rows += [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(b.as_buffer(), np.float32)) for a, b in zip(batch.column(2), batch.column(3))]
             y += batch.column(1).to_pylist()
             ids += batch.column(0).to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], len(rows[i][0])))
+        # By what the rows hold, not by how they arrived: a repeated task learns the same.
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], xxhash.xxh3_64_intdigest(rows[i][0].tobytes() + rows[i][1].tobytes())))
         table, constant = fit([rows[i] for i in order], np.array(y, int)[order] if y else np.zeros(0, int), buckets, dim, epochs, rate, seed) if y else (np.zeros(buckets), 0.0)
         yield pa.record_batch([pa.array([table.astype(np.float32).tobytes()], pa.binary()), pa.array([constant], pa.float64())], names=["table", "constant"])
 
