@@ -43,6 +43,13 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def small_shards(monkeypatch, module):
+    """So many shards that a small table has several."""
+    from tokenlake.llm import shared
+
+    monkeypatch.setattr(module, "shard_bits", lambda units, per_shard: shared.shard_bits(units, 2000))
+
+
 def key(x):
     return (x[0] is None, x[0] or 0, *map(str, x[1:]))
 
@@ -109,7 +116,11 @@ def brute_lm(docs, held):
     return [(len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), sum(math.log10(p2(a, x)) for a, x in zip(["<s>", *w[:-1]], w))) for w in tok]
 
 
-def test_lm_scores(spark):
+@pytest.mark.parametrize("shards", [False, True])
+def test_lm_scores(spark, monkeypatch, shards):
+    if shards:  # several shards, and several frequent words whose pairs are spread over them
+        small_shards(monkeypatch, ngram_lm)
+        monkeypatch.setattr(ngram_lm, "HOT", 0.02)
     docs = [d for d in corpus() if d[0] is not None]
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs]
     got = ngram_lm.score(frame(spark, docs), "crc32(cast(doc_id AS STRING)) % 10 = 0").collect()
@@ -324,8 +335,11 @@ def brute_dedup(docs, w):
     return out
 
 
-@pytest.mark.parametrize("window, mer", [(20, 8), (5, 3), (4, 4)])
-def test_substring_dedup(spark, window, mer):
+@pytest.mark.parametrize("window, mer, common", [(20, 8, 32), (20, 8, 1), (5, 3, 1), (5, 3, 2), (4, 4, 32)])
+def test_substring_dedup(spark, monkeypatch, window, mer, common):
+    small_shards(monkeypatch, superkmer)
+    monkeypatch.setattr(superkmer, "COMMON", common)
+    monkeypatch.setattr(superkmer, "HELD", 64)
     docs = corpus()
     out = superkmer.dedup(frame(spark, docs), columns=["doc_id", "id", "kept"], window=window, mer=mer).select("row.doc_id", "n_words", "n_removed", "kept")
     assert sorted(map(tuple, out.collect()), key=key) == sorted(brute_dedup(docs, window), key=key)
@@ -463,14 +477,54 @@ def test_similar_groups_equal_brute_force_on_a_whole_table(spark):
     assert linked and {r["doc_id"]: r["least"] for r in simhash.similar_groups(table).collect()} == expected
 
 
-def test_stage_order_is_the_cluster_folder(spark):
-    from tokenlake.llm.shared import shared_dir
+def test_workspaces_lie_in_the_cluster_folder(spark):
+    import types
 
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    from tokenlake.llm import shared
 
+    assert shared.shared_dir(spark) == "file:" + spark.conf.get("spark.checkpoint.dir")
+    folder = shared.workspace(spark, "some")
+    assert folder.startswith(shared.shared_dir(spark) + "/some-") and shared.exists(folder) and folder in shared.HELD
+    context = types.SimpleNamespace(_jsc=types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: types.SimpleNamespace(isDefined=lambda: False))), master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=context))
+    with pytest.raises(ValueError, match="larger shards"):
+        shared.shard_bits(1e20, 1e6)
+
+
+def test_lm_probabilities_add_up_to_one(spark):
+    """After each of some contexts, the model's probabilities of all words, the end and an unknown word add up to one."""
+    import pyarrow as pa
 
-def test_lm_totals_are_probabilities(spark):
-    """The model's probabilities after one context add up to one, the unknown word included."""
     docs = [(i, t) for i, t in corpus() if i is not None]
-    rows = brute_lm(docs, [False] * len(docs))
-    assert all(x[4] < 0 for x in rows) and F is not None
+    model = ngram_lm.train(frame(spark, docs).select(F.col("text").alias("t")))
+    known = sorted({x for _, t in docs for x in SPACED.findall((t or "").translate(LOWER))})
+    assert model.vocabulary == len(known) + 1
+    for context in ("the1", "same", known[5], "never seen before"):
+        last = len(context.split()) - 1
+        total = 0.0
+        for words, at in (([f"{context} {x}" for x in [*known, "unseen-word"]], last + 1), ([context], last + 1)):
+            for _, _, w in textvec.words_of(pa.array(words), textvec.LOWER):
+                _, _, p = ngram_lm.token_scores(model, w)
+                ends = np.cumsum(np.diff(w.doc) + 1)
+                total += (10 ** p[ends - 1 - (np.diff(w.doc) - at)]).sum()
+        assert total == pytest.approx(1, rel=1e-9)
+
+
+def test_character_grams_take_whole_characters():
+    text = np.frombuffer("\x02aé字🙂z\x03".encode(), np.uint8)
+    value, at = subword._characters(text)
+    assert [int(v).to_bytes(8, "little").rstrip(b"\0").decode() for v in value] == list("\x02aé字🙂z\x03") and at.tolist() == [0, 1, 2, 4, 7, 11, 12]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
+def test_quality_on_held_out_rows_of_a_whole_table(spark):
+    """Accuracy and area under the curve on rows whose labels were not learnt from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = subword.classify(docs, labels, "crc32(cast(doc_id AS STRING)) % 4 = 2").select("row.doc_id", "held_out", "score", "predicted")
+    rows = [(r["score"], r["predicted"], r["quality"]) for r in out.where("held_out").join(labels, "doc_id").collect()]
+    good, bad = ([s for s, _, y in rows if y == k] for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 20
+    area, right = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / len(good) / len(bad), sum(p == y for _, p, y in rows) / len(rows)
+    print("area", area, "accuracy", right, "rows", len(rows))
+    assert area > 0.98 and right > 0.95

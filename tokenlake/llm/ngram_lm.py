@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import HashStore, input_bytes, pack, remove, shard_bits, shard_of, unpack, workspace
+from .shared import HashStore, pack, remove, shard_bits, shard_of, text_bytes, unpack, workspace
 
 #: Hash of the end of a text, a token like any other.
 END = np.uint64(0x9AE16A3B2F90404F)
@@ -136,7 +136,7 @@ def train(texts: DataFrame) -> Model:
     """texts: (t string), every row learnt from; null counts as empty."""
     spark: SparkSession = texts.sparkSession
     folder = workspace(spark, "lm")
-    size = input_bytes(texts)
+    size = text_bytes(texts, "t")
     bits = shard_bits(size, 8e6)
     words = HashStore(folder, "words", bits, ("n",))
 
@@ -158,6 +158,8 @@ def train(texts: DataFrame) -> Model:
     base = np.cumsum(base)
     n_tokens = sum(r["tokens"] for r in totals)
     start = int(base[-1])  # the id of the place before a text
+    if start >= 0xFFFFFFFF:
+        raise ValueError(f"{start} different words: ids of 32 bits don't tell them apart")
     frequent = rows.select("shard", F.explode(F.arrays_zip("at", "n")).alias("x")).where(F.col("x.n") > HOT * n_tokens).select("shard", "x.at").collect()
     hot = np.array(sorted({int(base[r["shard"]] + r["at"]) for r in frequent} | {start}), np.uint64)
     model = Model(folder, words, HashStore(folder, "pairs", bits, ("n",)), HashStore(folder, "contexts", bits, ("total", "n1", "n2", "n3")), HashStore(folder, "hot", 0, ("total", "n1", "n2", "n3")), HashStore(folder, "follows", bits, ("n",)), base, hot, n_tokens, start)
@@ -228,12 +230,9 @@ def pair_keys(model: Model, w: tv.Words):
     return (before << np.uint64(32)) | own, ends, inverse, found, ids, n
 
 
-def score_words(model: Model, w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: tokens, known tokens, base score, the model's log10 probability."""
-    keys, ends, inverse, found, ids, n = pair_keys(model, w)
-    count = np.diff(w.doc) + 1
-    begin = ends - count
-    add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
+def token_scores(model: Model, w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token of the texts: whether it is known, its base score, the model's log10 probability."""
+    keys, _, inverse, found, ids, n = pair_keys(model, w)
     base = np.log10((n + 0.1) / (model.train_tokens + 0.1 * (model.vocabulary + 1)))[inverse]
     order = np.argsort(tv.mix(ids), kind="stable")
     seen, got = model.follows.lookup(ids[order], shard_of(tv.mix(ids[order]), model.follows.bits)) if len(ids) else (found, {"n": n})
@@ -257,15 +256,23 @@ def score_words(model: Model, w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.n
     total = np.maximum(sums[0], 1)[of]
     weight = np.where(sums[0] > 0, (model.d2[1] * sums[1] + model.d2[2] * sums[2] + model.d2[3] * sums[3]) / np.maximum(sums[0], 1), 1.0)[of]
     high = np.maximum(pairs - model.d2[np.minimum(pairs, 3).astype(int)], 0) / total
-    probability = np.log10(high[back] + weight[back] * low[inverse])
-    return count, add((n > 0)[inverse].astype(np.int64)), add(base), add(probability)
+    return (n > 0)[inverse], base, np.log10(high[back] + weight[back] * low[inverse])
+
+
+def score_words(model: Model, w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: tokens, known tokens, base score, the model's log10 probability."""
+    known, base, probability = token_scores(model, w)
+    count = np.diff(w.doc) + 1
+    begin = np.cumsum(count) - count
+    add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
+    return count, add(known.astype(np.int64)), add(base), add(probability)
 
 
 def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
     held_out: SQL condition on the rows that are not learnt from (null: learnt from).  score: log10 probability of the text, its end
-    included; perplexity is 10 ** (-score / n_tokens).  Null text: empty, one token.  Repeated rows are learnt from each time.  Without
+    included; perplexity is 10 ** (-score / n_tokens).  Null text: empty, one token.  Texts of any length are taken whole, a null id's too.  Repeated rows are learnt from each time.  Without
     training rows every token is unknown and has the uniform probability.  The model is removed when all is scored.
     """
     spark = docs.sparkSession

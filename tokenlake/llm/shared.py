@@ -7,8 +7,10 @@ a file by an equal one and readers never see half of it.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
-import os
+import re
 import struct
 import tempfile
 import uuid
@@ -16,17 +18,25 @@ import uuid
 import numpy as np
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session that names none (tests, one machine) gets a temporary one."""
+    """The cluster's shared folder as a URI.  Only a session on this one machine that names none (tests) gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tokenlake-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if held.isDefined():
+            found = held.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            found = tempfile.mkdtemp(prefix="tokenlake-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    # A path without a scheme lies in the cluster's default file system, for Spark and so for the workers' files too.
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 #: Bytes of rows that Spark hands to a Python worker at once, so that long texts don't add up to batches of hundreds of megabytes.
@@ -44,23 +54,40 @@ def forget() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    """Lowers the session's limit of bytes in a batch to BATCH; a lower one that the caller has set stays.  Results are computed later, so it isn't put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < held <= BATCH:
+        spark.conf.set(name, str(BATCH))
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder of this name below the shared folder, as a URI or an absolute path."""
+#: Folders of results that are still read when an operator has returned: they go when the driver ends, or with `clean`.
+HELD: list[str] = []
+
+
+@atexit.register
+def clean() -> None:
+    """Removes what operators have kept in the shared folder for results that were read lazily; bundles, which are results themselves, stay."""
+    while HELD:
+        with contextlib.suppress(OSError):
+            remove(HELD.pop())
+
+
+def workspace(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A new folder of this name below the shared folder, as a URI.  kept: it isn't removed by `clean`."""
     root = shared_dir(spark)
     small_batches(spark)
     made = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     filesystem, path = resolve(made)
     filesystem.create_dir(path, recursive=True)
+    if not kept:
+        HELD.append(made)
     return made
 
 
-def input_bytes(df: DataFrame) -> float:
-    """About how many bytes a table holds, from its files' sizes where the plan knows them."""
-    known = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return known if known < 2.0**60 else 200.0 * df.count()
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of all texts of a column, counted."""
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -226,6 +253,9 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
 
 
-def shard_bits(units: float, per_shard: float, most: int = 18) -> int:
-    """Bits for so many shards that each gets about per_shard units, whatever the input's size."""
-    return int(min(most, max(0, np.ceil(np.log2(max(units, 1) / per_shard)))))
+def shard_bits(units: float, per_shard: float, most: int = 24) -> int:
+    """Bits for so many shards that each gets about per_shard units, whatever the input's size; an input that asks for over 2 ** most is refused, not squeezed."""
+    bits = int(max(0, np.ceil(np.log2(max(units, 1) / per_shard))))
+    if bits > most:
+        raise ValueError(f"{units:.0f} units are over 2 ** {most} shards of {per_shard:.0f}: give larger shards")
+    return bits

@@ -10,7 +10,8 @@ Consecutive windows with the same minimiser, at the same place, are one super-k-
    it also starts earlier.
 
 No occurrence is ever returned to its document by a join, so a passage that a third of all texts share costs each of
-them a look-up, and a bucket one string for each block of texts.
+them a look-up.  Super-k-mers of a minimiser that many blocks of texts send do not meet in its bucket: their windows, as digests that each task sums
+first, go to buckets that follow from the digests, so a common passage is one small row a window and task, spread over all buckets.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import HashStore, input_bytes, pack, shard_bits, shard_of, unpack, workspace
+from .shared import HashStore, pack, shard_bits, shard_of, text_bytes, unpack, workspace
 
 _LAST = np.iinfo(np.int64).max
+#: A minimiser that more blocks of texts than this send is common.
+COMMON = 32
+#: Windows of common minimisers that a task holds before it sends their sums.
+HELD = 1 << 20
 
 
 class Windows:
@@ -75,7 +80,7 @@ def _first(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def _repeated(texts: DataFrame, store: HashStore, window: int, mer: int) -> None:
-    """Pass 1: stores the minimisers of two or more super-k-mers."""
+    """Pass 1: stores the minimisers of two or more super-k-mers, and which of them are common."""
 
     def count(batches):
         for batch in batches:
@@ -96,17 +101,50 @@ def _repeated(texts: DataFrame, store: HashStore, window: int, mer: int) -> None
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         n = np.diff(np.append(first, len(keys)))
         keep = (n > 1) | many[first]
-        store.write(key[0].as_py(), key=keys[first][keep])
+        store.write(key[0].as_py(), key=keys[first][keep], common=(n[keep] > COMMON).astype(np.uint8))
         return pa.table({"shard": [key[0].as_py()], "n": [int(keep.sum())]})
 
     texts.mapInArrow(count, "shard int, keys binary, many binary").groupBy("shard").applyInArrow(gather, "shard long, n long").agg(F.sum("n")).collect()
 
 
+class Sums:
+    """Windows by digest: their smallest place and how many there are, for as many as a task may hold."""
+
+    def __init__(self):
+        self.cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        self.size = 0
+
+    def add(self, *cols: np.ndarray) -> None:
+        """d1, d2, ids, starts and numbers of windows."""
+        for held, c in zip(self.cols, cols):
+            held.append(c)
+        self.size += len(cols[0])
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        """Each digest once, in order of digests, with its smallest place and its total; nothing is held then."""
+        d1, d2, own, at, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in self.cols)
+        self.__init__()
+        order = np.lexsort((at, own, d2, d1))
+        first = _first(order, d1, d2)
+        pick = order[first]
+        return d1[pick], d2[pick], own[pick], at[pick], np.add.reduceat(n[order], first) if len(order) else n
+
+
 def _firsts(texts: DataFrame, repeated: HashStore, firsts: HashStore, window: int, mer: int) -> None:
-    """Pass 2: stores each repeated window's first start, in the shard of its minimiser."""
+    """Pass 2: stores each repeated window's first start, in the shard of its minimiser, or of its digest if that is common."""
     names = ["shard", "text", "size", "id", "start", "n"]
+    types = [pa.int32(), *[pa.binary()] * 5]
+
+    def digests(sums: Sums):
+        """Rows without texts: instead of sizes, the digests."""
+        d1, d2, own, at, n = sums.take()
+        shard = shard_of(d1, firsts.bits)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(d1)])) if len(d1) else np.zeros(1, int)
+        rows = [(int(shard[a]), None, pack(d1[a:b]) + pack(d2[a:b]), pack(own[a:b]), pack(at[a:b]), pack(n[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=names)
 
     def send(batches):
+        sums = Sums()
         for batch in batches:
             ids = _ids(batch.column(0))
             for lo, _, w in tv.words_of(batch.column(1), tv.PLAIN):
@@ -114,7 +152,17 @@ def _firsts(texts: DataFrame, repeated: HashStore, firsts: HashStore, window: in
                 head = np.flatnonzero(x.new)
                 tail = np.append(head[1:], len(x.at)) - 1
                 keys, inverse = np.unique(x.least[head], return_inverse=True)
-                keep = repeated.lookup(keys)[0][inverse]
+                found, got = repeated.lookup(keys)
+                common = (got["common"] > 0)[inverse]
+                if common.any():
+                    every = np.flatnonzero(common[np.cumsum(x.new) - 1])
+                    sums.add(*x.digests(every), ids[lo + x.text_of[every]], x.starts(every), np.ones(len(every), np.int64))
+                    if sums.size > HELD:
+                        held = sums.take()
+                        sums.add(*held)
+                        if sums.size > HELD // 2:
+                            yield digests(sums)
+                keep = found[inverse] & ~common
                 head, tail, least = head[keep], tail[keep], x.least[head[keep]]
                 if not len(head):
                     continue
@@ -135,28 +183,27 @@ def _firsts(texts: DataFrame, repeated: HashStore, firsts: HashStore, window: in
                     at = np.arange(s.sum()) + np.repeat(begin[a:b] - np.cumsum(s) + s, s)
                     p = pick[a:b]
                     rows.append((int(shard[p[0]]), w.text[at].tobytes(), pack(s), pack(own[p]), pack(start[p]), pack(n[a:b])))
-                yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.large_binary()).cast(pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], names=names)
+                yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.large_binary()).cast(types[i]) for i, c in enumerate(zip(*rows))], names=names)
+        if sums.size:
+            yield digests(sums)
 
     def gather(key, table):
-        take = lambda c: np.concatenate([unpack(x.as_py(), np.int64) for x in table.column(c)])
-        raw = np.frombuffer(b"".join(x.as_py() for x in table.column("text")), np.uint8)
-        size, ids, start, count = (take(c) for c in ("size", "id", "start", "n"))
-        edges = np.concatenate(([0], np.cumsum(size)))
-        cols = [[], [], [], [], []]
-        for lo, hi in tv.blocks(edges):
-            x = Windows(tv.Words(raw[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], tv.PLAIN), window, mer)
-            every = np.arange(len(x.at))
-            d1, d2 = x.digests(every)
-            of = lo + x.text_of
-            for c, v in zip(cols, (d1, d2, ids[of], start[of] + x.starts(every), count[of])):
-                c.append(v)
-        d1, d2, own, at, n = (np.concatenate(c) for c in cols)
-        order = np.lexsort((at, own, d2, d1))
-        first = _first(order, d1, d2)
-        total = np.add.reduceat(n[order], first) if len(order) else n
-        pick = order[first][total > 1]
-        firsts.write(key[0].as_py(), key=d1[pick], other=d2[pick], id=own[pick], start=at[pick])
-        return pa.table({"shard": [key[0].as_py()], "n": [len(pick)]})
+        sums = Sums()
+        for text, size, own, start, n in zip(*(table.column(c).to_pylist() for c in names[1:])):
+            own, start, n = (unpack(c, np.int64) for c in (own, start, n))
+            if text is None:
+                d = size[: len(size) // 2], size[len(size) // 2 :]
+                sums.add(*(unpack(c, np.uint64) for c in d), own, start, n)
+                continue
+            raw, edges = np.frombuffer(text, np.uint8), np.concatenate(([0], np.cumsum(unpack(size, np.int64))))
+            for lo, hi in tv.blocks(edges):
+                x = Windows(tv.Words(raw[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], tv.PLAIN), window, mer)
+                of = lo + x.text_of
+                sums.add(*x.digests(np.arange(len(x.at))), own[of], start[of] + x.starts(np.arange(len(x.at))), n[of])
+        d1, d2, own, at, n = sums.take()
+        many = n > 1
+        firsts.write(key[0].as_py(), key=d1[many], other=d2[many], id=own[many], start=at[many])
+        return pa.table({"shard": [key[0].as_py()], "n": [int(many.sum())]})
 
     sent = texts.mapInArrow(send, "shard int, text binary, size binary, id binary, start binary, n binary")
     sent.groupBy("shard").applyInArrow(gather, "shard long, n long").agg(F.sum("n")).collect()
@@ -167,13 +214,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", colum
 
     Earlier: smaller id, or the same id and an earlier start; windows are judged on the input.  A null id comes after all others.  Rows
     with equal id are one document: equal windows at equal starts are not earlier than each other, so an exactly repeated row keeps
-    its words.  Null, empty or short texts have no window and keep all their words.  kept: the words left, joined by one space.
+    its words.  Null, empty or short texts have no window and keep all their words; texts of any length are taken whole.  kept: the words left, joined by one space.
     """
     spark = docs.sparkSession
     folder = workspace(spark, "superkmer")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    size = input_bytes(texts)
-    repeated = HashStore(folder, "repeated", shard_bits(size, 1.5e6), ())
+    size = text_bytes(texts, "t")
+    repeated = HashStore(folder, "repeated", shard_bits(size, 1.5e6), ("common",))
     firsts = HashStore(folder, "first", shard_bits(size, 1.5e6), ("other", "id", "start"))
     _repeated(texts, repeated, window, mer)
     _firsts(texts, repeated, firsts, window, mer)
@@ -185,9 +232,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", colum
             for lo, hi, w in tv.words_of(batch.column(2), tv.PLAIN):
                 x = Windows(w, window, mer)
                 keys, inverse = np.unique(x.least[x.new], return_inverse=True)
-                some = np.flatnonzero(repeated.lookup(keys)[0][inverse][np.cumsum(x.new) - 1]) if len(keys) else np.zeros(0, int)
+                there, got = repeated.lookup(keys)
+                of = inverse[np.cumsum(x.new) - 1] if len(keys) else np.zeros(0, int)
+                some = np.flatnonzero(there[of])
                 d1, d2 = x.digests(some)
-                own, start, shard = ids[lo + x.text_of[some]], x.starts(some), shard_of(x.least[some], firsts.bits)
+                own, start = ids[lo + x.text_of[some]], x.starts(some)
+                shard = np.where(got["common"][of[some]] > 0, shard_of(d1, firsts.bits), shard_of(x.least[some], firsts.bits))
                 order = np.lexsort((d1, shard))
                 found, got = firsts.lookup(d1[order], shard[order], d2[order])
                 late = found & ((own[order] > got["id"]) | ((own[order] == got["id"]) & (start[order] > got["start"])))

@@ -169,7 +169,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     A task that is repeated writes new bundles; the index names only those of the attempt that counted.
     """
     spark = pages.sparkSession
-    folder = workspace(spark, "warc")
+    folder = workspace(spark, "warc", kept=True)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     repeated = _repeated(rows, folder, least)
     names = ["page_id", "record_id", "bundle", "frame", "at", "length", "url", "digest", "size", "first", "parts"]
