@@ -163,16 +163,15 @@ def _scheme(points: int, radius: int) -> list[int]:
     return [sum(ranges[i] for i in range(parts) if i not in left_out) for left_out in combinations(range(parts), radius)]
 
 
-def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray, carried: tuple[str, ...] = (), confirm: Callable | None = None, large: DataFrame | None = None) -> DataFrame:
-    """keyed: key long, what a point carries (long), and its lanes (long), each key and point once.  (a, b): the first columns of linked points of a bucket.
+def _compare(keyed: DataFrame, names: list[str], radius: int, pivots: np.ndarray, points_of: Callable[..., np.ndarray], confirm: Callable | None = None, large: DataFrame | None = None) -> DataFrame:
+    """keyed: key long, and what a point carries (long; the first names it), each key and point once.  (a, b): the first columns of linked points of a bucket.
 
-    confirm: gives, for the carried columns of a task's rows, near_sets' confirm.  large: the keys (key, held long: their points) of over BLOCK points, if they
-    are known beforehand; then the points travel once.
+    points_of: the points' fingerprints, from the carried columns.  confirm: gives, for these columns, near_sets' confirm.  large: the keys (key, held long: their points)
+    of over BLOCK points, if they are known beforehand.
 
     A bucket of over BLOCK points is dealt out as pairs of blocks, so no task holds more than two blocks of one bucket.  Each task
     returns at most one row a point: the link to one of its set.
     """
-    names = [*carried, *lanes]
     if large is None:
         sizes = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
         dealt = keyed.join(sizes, "key")
@@ -188,15 +187,16 @@ def _compare(keyed: DataFrame, lanes: list[str], radius: int, pivots: np.ndarray
         held: pa.Table | None = None
 
         def solve(t: pa.Table):
-            new = np.zeros(t.num_rows, bool)
-            for c in (t.column(c).to_numpy() for c in groups):
-                new[1:] |= c[1:] != c[:-1]
-            points = np.stack([t.column(c).to_numpy() for c in lanes], 1)
-            sure = confirm and confirm(*(t.column(c).to_numpy() for c in carried))
-            root = near_sets(points.view(np.uint64), np.cumsum(new), radius, pivots, confirm=sure)
+            new = np.ones(t.num_rows, bool)
+            for i, c in enumerate(t.column(c).to_numpy() for c in groups):
+                new[1:] = (c[1:] != c[:-1]) | (new[1:] if i else False)
+            # A point alone in its bucket has nothing to be compared with.
+            some = np.flatnonzero(~(new & np.append(new[1:], True)))
+            cols = [t.column(c).to_numpy()[some] for c in names]
+            group = np.cumsum(new)[some]
+            root = near_sets(points_of(*cols), group, radius, pivots, confirm=confirm and confirm(*cols)) if len(some) else some
             far = np.flatnonzero(root != np.arange(len(root)))
-            node = t.column(names[0]).to_numpy()
-            return pa.record_batch([pa.array(node[far]), pa.array(node[root[far]])], names=["a", "b"])
+            return pa.record_batch([pa.array(cols[0][far]), pa.array(cols[0][root[far]])], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -222,7 +222,7 @@ def links(points: DataFrame, radius: int = 4) -> DataFrame:
     masks = [signed(m) for m in _scheme(max(points.count(), 1), radius)]
     # The choice of ranges is mixed into the key: ranges of different choices never meet, as a key of theirs differs in the mask's own bits.
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    return _compare(points.select(F.explode(keys).alias("key"), "fp"), ["fp"], radius, PIVOTS[:, None])
+    return _compare(points.select(F.explode(keys).alias("key"), "fp"), ["fp"], radius, PIVOTS[:, None], lambda fp: fp.view(np.uint64)[:, None])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -254,39 +254,55 @@ FEW = 64
 _FEW_SALT = np.uint64(0x2545F4914F6CDD1D)
 #: Cells of the table of how common shingles are: about one for so many shingles, within these powers of two; slices that it is summed and stored in.
 PER_CELL, CELLS, SLICES = 16, (16, 26), 64
+#: Large buckets that are broadcast (16 bytes each); more are joined.
+BROADCAST = 100_000
 
 
-#: Hashes of sets that a task keeps at once; bits of a set's place that say where in its file it starts.
+#: Words of sets and fingerprints that a task keeps at once; bits of a set's place that say where in its file it starts.
 KEPT, WITHIN = 4 << 20, 40
 
 
 class Sets:
-    """Sets of shingle hashes in files below a folder, one for each attempt of a task; a set's place is the attempt and where it starts."""
+    """Sets of shingle hashes in files below a folder, one for each attempt of a task; a set's place is the attempt and where it starts, behind its fingerprint."""
 
     def __init__(self, folder: str):
         self.filesystem, self.path = resolve(folder)
         self.files: dict[int, pa.NativeFile] = {}
-        self.held: dict[int, np.ndarray] = {}
+        self.held: dict[tuple[int, int], np.ndarray] = {}
         self.size = 0
 
-    def get(self, place: int, n: int) -> np.ndarray:
-        if (found := self.held.get(place)) is not None:
-            return found
-        if self.size + n > KEPT:
-            self.held.clear()
-            self.size = 0
+    def read(self, place: int, n: int) -> np.ndarray:
+        """n words from this place on, or those before it."""
         if (own := place >> WITHIN) not in self.files:
             if len(self.files) >= 256:
                 self.files.popitem()[1].close()
             self.files[own] = self.filesystem.open_input_file(f"{self.path}/{own}.bin")
-        self.held[place] = out = np.frombuffer(self.files[own].read_at(8 * n, 8 * (place & ((1 << WITHIN) - 1))), "<u8")
-        self.size += n
+        at = place & ((1 << WITHIN) - 1)
+        return np.frombuffer(self.files[own].read_at(8 * abs(n), 8 * (at + min(n, 0))), "<u8")
+
+    def get(self, place: int, n: int) -> np.ndarray:
+        """The same words, kept for when they are asked for again."""
+        if (found := self.held.get((place, n))) is None:
+            if self.size + abs(n) > KEPT:
+                self.held.clear()
+                self.size = 0
+            self.held[place, n] = found = self.read(place, n)
+            self.size += abs(n)
+        return found
+
+    def fingerprints(self, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The fingerprints of the sets at these places; all alike where n is negative, which says that the set is compared without."""
+        out = np.zeros((len(place), len(LANES)), np.uint64)
+        for i in np.flatnonzero(n > 0).tolist():
+            out[i] = self.get(int(place[i]), -len(LANES))
         return out
 
     def similar(self, similarity: float) -> Callable:
         """For the places and sizes of points: which pairs of them (two arrays of indices) have a Jaccard similarity of so much or more."""
 
         def of(place: np.ndarray, n: np.ndarray) -> Callable:
+            n = np.abs(n)
+
             def confirm(left: np.ndarray, right: np.ndarray) -> np.ndarray:
                 out = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right])
                 for i in np.flatnonzero(out):
@@ -303,33 +319,36 @@ class Sets:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, folder: str) -> DataFrame:
-    """(id, text_hash, node, n, place, f0 .. f3): of a text's set of word shingles a hash, size, place in `folder` and fingerprint of 256 bits.  n is 0 without words."""
+    """(id, text_hash, node, n, place): of a text's set of word shingles a hash, size and place in `folder`, where its fingerprint of 256 bits is, too.  n is 0 without words."""
 
     def run(batches):
         filesystem, path = resolve(folder)
-        own, at, out = TaskContext.get().taskAttemptId(), 0, None
+        own, at, out, lanes = TaskContext.get().taskAttemptId(), 0, None, len(LANES)
         try:
             for batch in batches:
-                fps = np.zeros((len(LANES), batch.num_rows), np.uint64)
                 node, n, place = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
                 for lo, hi, w in tv.words_of(batch.column(1), tv.LOWER):
                     h, each = shingle_sets(w, shingle)
                     full = np.flatnonzero(each)
                     if not len(full):
                         continue
-                    starts = np.cumsum(each) - each
-                    fps[:, lo:hi], n[lo:hi], place[lo:hi] = majority(h, each, LANES), each, (own << WITHIN) + at + starts
-                    node[lo + full] = tv.mix(np.add.reduceat(tv.mix(h), starts[full]) + each[full].astype(np.uint64))
+                    starts = (np.cumsum(each) - each)[full]
+                    begin = starts + lanes * np.arange(1, len(full) + 1)
+                    n[lo:hi], place[lo + full] = each, (own << WITHIN) + at + begin
+                    node[lo + full] = tv.mix(np.add.reduceat(tv.mix(h), starts) + each[full].astype(np.uint64))
+                    words = np.empty(len(h) + lanes * len(full), "<u8")
+                    words[np.arange(len(h)) + np.repeat(begin - starts, each[full])] = h
+                    words[begin[:, None] + np.arange(-lanes, 0)] = majority(h, each, LANES)[:, full].T
                     out = out or filesystem.open_output_stream(f"{path}/{own}.bin")
-                    out.write(h.astype("<u8").tobytes())
-                    at += len(h)
-                yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(c.view(np.int64)) for c in (node, n, place, *fps))], names=["id", "text_hash", "node", "n", "place", *(f"f{k}" for k in range(len(LANES)))])
+                    out.write(words.tobytes())
+                    at += len(words)
+                yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(c.view(np.int64)) for c in (node, n, place))], names=["id", "text_hash", "node", "n", "place"])
         finally:
             if out:
                 out.close()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
-    return texts.mapInArrow(run, "id long, text_hash long, node long, n long, place long, " + ", ".join(f"f{k} long" for k in range(len(LANES))))
+    return texts.mapInArrow(run, "id long, text_hash long, node long, n long, place long")
 
 
 def _common(points: DataFrame, sets: str, folder: str, cells: int) -> None:
@@ -340,7 +359,7 @@ def _common(points: DataFrame, sets: str, folder: str, cells: int) -> None:
         held, total = Sets(sets), np.zeros(cells, np.uint32)
         for batch in batches:
             for place, n in zip(*(c.to_pylist() for c in batch.columns)):
-                np.add.at(total, (held.get(place, n) & np.uint64(cells - 1)).astype(np.int64), 1)
+                np.add.at(total, (held.read(place, n) & np.uint64(cells - 1)).astype(np.int64), 1)
         for k in range(SLICES):
             own = total[k * width : (k + 1) * width]
             at = np.flatnonzero(own)
@@ -388,31 +407,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     folder = workspace(spark, "similar")
-    lanes = [f"f{k}" for k in range(len(LANES))]
     sets = workspace(spark, "sets")
     wide_fingerprints(docs, id_col, text_col, shingle, sets).write.parquet(f"{folder}/points")
-    columns = ", ".join(f"{c} long" for c in ("node", "n", "place", *lanes))
-    rows = spark.read.schema(f"id long, text_hash long, {columns}").parquet(f"{folder}/points")
-    distinct = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in ("n", "place", *lanes)))
+    rows = spark.read.schema("id long, text_hash long, node long, n long, place long").parquet(f"{folder}/points")
+    distinct = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("place").alias("place"))
     # In the order of their places, so that each task reads the sets' files from front to back.
     distinct.repartitionByRange("place").sortWithinPartitions("place").write.parquet(f"{folder}/named")
-    named = spark.read.schema(f"least long, {columns}").parquet(f"{folder}/named")
+    named = spark.read.schema("least long, node long, n long, place long").parquet(f"{folder}/named")
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     width = 64 * len(LANES)
     radius = int(width * share + DEVIATIONS * (width * share * (1 - share)) ** 0.5)
     shingles = named.agg(F.sum("n")).first()[0] or 0
     cells = 1 << int(np.clip(np.ceil(np.log2(max(shingles / PER_CELL, 1))), *CELLS))
     _common(named.select("place", "n"), sets, folder, cells)
-    carried = ("place", "n")
 
     def spread(batches, over=False):
-        """Each point with each of its first shingles; with `over`, only the keys that may have over BLOCK points."""
+        """Each point with each of its first shingles, n negative where it is compared without fingerprint; with `over`, only the keys that may have over BLOCK points."""
         held, level = Sets(sets), _level(folder, cells)
+        if over and not (level > BLOCK).any():
+            return
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 place, n = (part.column(i).to_numpy() for i in range(2))
-                h = np.concatenate([held.get(a, b) for a, b in zip(place.tolist(), n.tolist())])
+                h = np.concatenate([held.read(a, b) for a, b in zip(place.tolist(), n.tolist())])
                 own = np.repeat(np.arange(len(n)), n)
                 common = level[(h & np.uint64(cells - 1)).astype(np.int64)]
                 order = np.lexsort((h, common, own))
@@ -427,19 +445,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if over:
                         yield pa.record_batch([key], names=["key"])
                         continue
-                    at = pa.array(own[take])
-                    bits = [pa.array(np.zeros(len(take), np.int64)) if few else part.column(c).take(at) for c in range(2, part.num_columns)]
-                    yield pa.record_batch([key, part.column(0).take(at), part.column(1).take(at), *bits], names=["key", *carried, *lanes])
+                    yield pa.record_batch([key, pa.array(place[own[take]]), pa.array(n[own[take]] * (-1 if few else 1))], names=["key", "place", "n"])
 
-    points = named.select(*carried, *lanes)
-    keyed = points.mapInArrow(spread, "key long, " + ", ".join(f"{c} long" for c in (*carried, *lanes)))
+    points = named.select("place", "n")
+    keyed = points.mapInArrow(spread, "key long, place long, n long")
     over = points.mapInArrow(lambda batches: spread(batches, True), "key long")
-    large = over.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK)
+    over.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK).write.parquet(f"{folder}/large")
+    large = spark.read.schema("key long, held long").parquet(f"{folder}/large")
+    large = F.broadcast(large) if large.count() <= BROADCAST else large
+
+    own: list[Sets] = []  # a task's
+
+    def reader() -> Sets:
+        if not own:
+            own.append(Sets(sets))
+        return own[0]
+
+    def prints(place, n):
+        return reader().fingerprints(place, n)
 
-    def confirm(*points):
-        return Sets(sets).similar(similarity)(*points)
+    def confirm(place, n):
+        return reader().similar(similarity)(place, n)
 
-    roots = connected_components(_compare(keyed, lanes, radius, WIDE_PIVOTS, carried, confirm, large)).where("node <> root").withColumnRenamed("node", "place")
+    roots = connected_components(_compare(keyed, ["place", "n"], radius, WIDE_PIVOTS, prints, confirm, large)).where("node <> root").withColumnRenamed("node", "place")
     remove(sets)
     joined = named.select("node", "place", "least").join(roots, "place", "left").select("node", "least", F.coalesce("root", "place").alias("root")).checkpoint()
     tops = joined.groupBy("root").agg(F.min("least").alias("top"))

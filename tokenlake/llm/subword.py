@@ -147,7 +147,7 @@ def classify(
 
     def featurize(batches):
         for batch in batches:
-            for lo, hi, w in tv.words_of(batch.column(1), tv.PLAIN):
+            for lo, hi, w in tv.words_of(batch.column(1), tv.PLAIN, 1 << 20):
                 rows = Features(w, buckets, grams).counts()
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["id", "y", "keys", "weight"])
 
@@ -171,7 +171,7 @@ def classify(
     def run(batches):
         table, constant = held.value
         for batch in batches:
-            for lo, hi, w in tv.words_of(batch.column(2), tv.PLAIN):
+            for lo, hi, w in tv.words_of(batch.column(2), tv.PLAIN, 1 << 20):
                 score = 1 / (1 + np.exp(-(Features(w, buckets, grams).means(table) + constant)))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["row", "held_out", "score", "predicted"])
 
