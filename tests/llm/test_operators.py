@@ -449,10 +449,27 @@ def brute_similar(docs, similarity=0.8):
     return {i: least[label[at[x]]] if x else i for (i, _), x in zip(docs, sets)}, linked
 
 
+def test_near_sets_with_hubs_equal_all_pairs(monkeypatch):
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 2**64, 6, dtype=np.uint64)
+    for hub in (4, 10**9):
+        monkeypatch.setattr(simhash, "HUB", hub)
+        for _ in range(40):
+            n = int(rng.integers(1, 120))
+            flips = [sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(n)]
+            points = np.array([int(base[int(rng.integers(0, 6)) if rng.random() < 0.3 else 0]) ^ f for f in flips], np.uint64)
+            group = np.sort(rng.integers(0, 3, n))
+            for confirm in (None, lambda a, b: (points[a] ^ points[b]) % 3 != 0):
+                got = simhash.near_sets(points[:, None], group, 4, confirm=confirm)
+                near = [(i, j) for i in range(n) for j in range(i) if group[i] == group[j] and (int(points[i]) ^ int(points[j])).bit_count() <= 4 and (confirm is None or (int(points[i]) ^ int(points[j])) % 3)]
+                assert components(n, [(i, int(got[i])) for i in range(n)]) == components(n, near)
+
+
 @pytest.mark.parametrize("block", [8192, 5])
 def test_similar_groups_equal_brute_force_on_small_and_large_sets(spark, monkeypatch, block):
     """Pairs at, above and below the similarity, of 1 to 300 shingles, with a line that a third of all texts share and a group of many near copies."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HUB", 8)
     rng = random.Random(13)
     text = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
     line, hot = text(12), text(120)

@@ -27,6 +27,8 @@ from .shared import exists, map_array, pack, remove, resolve, unpack, workspace,
 PIVOTS = np.random.Generator(np.random.PCG64(64)).integers(0, 2**64, size=24, dtype=np.uint64)
 #: Points of a bucket that one task compares; a larger bucket is dealt out as pairs of blocks.
 BLOCK = 8192
+#: Points from which on a bucket's points are first compared with a few of them, and how many these are.
+HUB, HUBS = 256, 4
 
 
 def fingerprint_words(w: tv.Words, shingle: int, seed: int = 42, salts: tuple[np.uint64, ...] = (np.uint64(0),)) -> np.ndarray:
@@ -118,33 +120,58 @@ def near_sets(points: np.ndarray, group: np.ndarray, radius: int, pivots: np.nda
     table = np.stack([count(points, p) for p in pivots], 1)
     key = group.astype(np.int64) * (64 * lanes + radius + 1) + table[:, 0]
     order = np.argsort(key, kind="stable")
-    key, coords, point = key[order], table[order], points[order]
-    upto = np.searchsorted(key, key + radius, side="right")
-    ahead = upto - np.arange(len(key)) - 1
+    key, coords, point, group = key[order], table[order], points[order], group[order]
     label = np.arange(len(key))
-    total = np.concatenate(([0], np.cumsum(ahead)))
-    for lo, hi in tv.blocks(total, most):
-        left = np.repeat(np.arange(lo, hi), ahead[lo:hi])
-        right = np.arange(total[lo], total[hi]) - np.repeat(total[lo:hi], ahead[lo:hi]) + left + 1
+
+    def settle(left: np.ndarray, right: np.ndarray, step: int) -> None:
+        """Joins the sets of the pairs that are near."""
+        nonlocal label
         apart = label[left] != label[right]
         left, right = left[apart], right[apart]
-        for p in range(1, len(pivots)):
+        for p in range(len(pivots)):
             if not len(left):
-                break
+                return
             keep = np.abs(coords[left, p] - coords[right, p]) <= radius
             left, right = left[keep], right[keep]
         keep = count(point[left], point[right]) <= radius
         left, right = left[keep], right[keep]
         if confirm is None:
             label = merge(label, left, right)
-            continue
-        step = 64
+            return
         while len(left):
             sure = confirm(order[left[:step]], order[right[:step]])
             label = merge(label, left[:step][sure], right[:step][sure])
             left, right = left[step:], right[step:]
             apart = label[left] != label[right]
             left, right, step = left[apart], right[apart], min(2 * step, 4096)
+
+    # In a large bucket most points are often near one: what a few of them gather need not be compared with each other.
+    inside = np.zeros(len(key), bool)
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b - a < HUB:
+            continue
+        left_out = np.arange(a, b)
+        for _ in range(HUBS):
+            hub = left_out[len(left_out) // 2]
+            settle(np.full(b - a, hub), np.arange(a, b), 4096)
+            top = np.bincount(label[a:b] - label[a:b].min()).argmax() + label[a:b].min()
+            left_out = np.flatnonzero(label[a:b] != top) + a
+            if not len(left_out):
+                break
+        if b - a > 2 * len(left_out):
+            inside[a:b] = label[a:b] == top
+    own = np.flatnonzero(~inside)
+    upto = np.searchsorted(key, key[own] + radius, side="right")
+    # What is gathered is met from the other side only.
+    since = np.where(np.concatenate(([0], np.cumsum(inside)))[own] > 0, np.searchsorted(key, key[own] - radius), own)
+    total = np.concatenate(([0], np.cumsum(upto - since)))
+    for lo, hi in tv.blocks(total, most):
+        each = upto[lo:hi] - since[lo:hi]
+        left = np.repeat(own[lo:hi], each)
+        right = np.arange(total[lo], total[hi]) - np.repeat(total[lo:hi] - since[lo:hi], each)
+        once = (right > left) | inside[right]
+        settle(left[once], right[once], 64)
     out = np.empty(len(key), np.int64)
     out[order] = order[label]
     return out
@@ -305,6 +332,15 @@ class Sets:
 
             def confirm(left: np.ndarray, right: np.ndarray) -> np.ndarray:
                 out = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right])
+                if len(left) > 8 and (left == left[0]).all():
+                    some = np.flatnonzero(out)
+                    hub, sets = self.get(int(place[left[0]]), int(n[left[0]])), [self.get(int(place[i]), int(n[i])) for i in right[some]]
+                    if sets:
+                        words, size = np.concatenate(sets), n[right[some]]
+                        at = np.minimum(np.searchsorted(hub, words), len(hub) - 1)
+                        common = np.add.reduceat((hub[at] == words).astype(np.int64), np.cumsum(size) - size)
+                        out[some] = common >= similarity * (len(hub) + size - common)
+                    return out
                 for i in np.flatnonzero(out):
                     a, b = int(left[i]), int(right[i])
                     x, y = self.get(int(place[a]), int(n[a])), self.get(int(place[b]), int(n[b]))
