@@ -14,8 +14,8 @@ from .automaton import DEAD, Dfa, Nfa, determinize, minimize
 
 #: Lengths of windows that plans and recovery look at.
 SHORTEST_WINDOW, LONGEST_WINDOW = 2, 4
-#: Decided windows that a process remembers.
-MEMO = 500_000
+#: Decided windows that a process remembers; sequences of symbol classes that are decided beforehand.
+MEMO, TABLE = 500_000, 4096
 
 
 @dataclass(frozen=True)
@@ -422,14 +422,71 @@ class Lexer:
 
     # Recovery and repair
 
+    @cached_property
+    def _first_certified(self):
+        """Finds the next certified byte."""
+        marks = b"".join(b"\\x%02x" % b for b in np.flatnonzero(self.split_points).tolist())
+        return re.compile(b"[" + marks + b"]").search if marks else None
+
+    @cached_property
+    def _window_tables(self) -> list[np.ndarray | None]:
+        """For each length, of each sequence of symbol classes (as digits of a number) the offset that it certifies, or -1; None where these are too many."""
+        classes = len(self.table) - 1
+        reps = [int(np.flatnonzero(self.byte_class == k)[0]) for k in range(classes)]
+        out: list[np.ndarray | None] = []
+        for n in range(SHORTEST_WINDOW, LONGEST_WINDOW + 1):
+            if classes**n > TABLE:
+                out.append(None)
+                continue
+            words = [b""]
+            for _ in range(n):
+                words = [w + bytes([r]) for w in words for r in reps]
+            out.append(np.array([-1 if (o := self.is_split_window(w)) is None else o for w in words], np.int8))
+        return out
+
+    def _windows_from(self, codes: np.ndarray, data: bytes, at: int, n: int) -> np.ndarray:
+        """Of each place of a stretch (whose symbol classes are codes) the offset that the window of n bytes there certifies, or -1."""
+        classes, table = len(self.table) - 1, self._window_tables[n - SHORTEST_WINDOW]
+        number = np.zeros(max(len(codes) - n + 1, 0), np.int64)
+        for j in range(n):
+            number = number * classes + codes[j : j + len(number)]
+        if table is not None:
+            return table[number]
+        unique, first, back = np.unique(number, return_index=True, return_inverse=True)
+        memo, found = self._decided, np.full(len(unique), -1, np.int8)
+        for k, i in enumerate(first.tolist()):
+            w = data[at + i : at + i + n]
+            if w not in memo:
+                if len(memo) > MEMO:
+                    memo.clear()
+                memo[w] = self.is_split_window(w)
+            found[k] = -1 if memo[w] is None else memo[w]
+        return found[back]
+
     def next_certified_evidence(self, data: bytes, at: int = 0) -> CertifiedStart | None:
-        """The first certified start that evidence at or after this offset proves: bytes first, then windows by place and length."""
-        for i in range(at, len(data)):
-            if self.split_points[data[i]]:
-                return CertifiedStart(i, i, i + 1, False)
-            if not self.nullable and (found := self._window_at(data, i)) is not None:
-                return CertifiedStart(found[0], i, found[1], True)
-        return None
+        """The first certified start that evidence at or after this offset proves: bytes first, then windows by place and length.
+
+        The next certified byte is searched for at once; windows before it are looked up for whole stretches of the text.
+        """
+        hit = self._first_certified(data, at) if self._first_certified else None
+        end = hit.start() if hit else len(data)
+        tables = self._window_tables if not self.nullable else []
+        if any(t is None or (t >= 0).any() for t in tables):
+            lo, size = at, 64
+            while lo < end:
+                hi = min(end, lo + size)
+                codes = self.byte_class[np.frombuffer(data, np.uint8, min(hi + LONGEST_WINDOW - 1, len(data)) - lo, lo)].astype(np.int64)
+                best = None
+                for n in range(SHORTEST_WINDOW, LONGEST_WINDOW + 1):
+                    origin = self._windows_from(codes, data, lo, n)[: hi - lo]
+                    good = np.flatnonzero(origin >= 0)
+                    if len(good) and (best is None or good[0] < best[0]):
+                        best = int(good[0]), n, int(origin[good[0]])
+                if best is not None:
+                    place = lo + best[0]
+                    return CertifiedStart(place + best[2], place, place + best[1], True)
+                lo, size = hi, min(4 * size, 1 << 16)
+        return CertifiedStart(end, end, end + 1, False) if hit else None
 
     def next_certified_start(self, data: bytes, at: int = 0) -> int | None:
         found = self.next_certified_evidence(data, at)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import spread
+from . import native
 from .lexer import Lexer
 from .modes import ModalLexer, Stack
 
@@ -144,8 +145,11 @@ def _texts(docs: DataFrame, key: str, data: str) -> DataFrame:
     return spread(docs.select(F.col(key).alias("key"), F.col(data).cast("binary").alias("data")))
 
 
-def tokenize(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str = "text", lexemes: bool = False, payload: bool = False) -> DataFrame:
-    """(key, seq, kind, start, length[, lexeme][, payload]): every token of every text, up to where a text stops matching."""
+def tokenize(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str = "text", lexemes: bool = False, payload: bool = False, stop: frozenset[int] = frozenset()) -> DataFrame:
+    """(key, seq, kind, start, length[, lexeme][, payload]): every token of every text, up to where a text stops matching.
+
+    stop: kinds that end a text's scan, like a sink that says no; the token itself is the last one given.
+    """
     kind = docs.schema[key].dataType.simpleString()
     payloads = lexer.payloads
     scanner = BatchScanner(lexer, docs.schema[data].dataType.typeName() == "string")
@@ -157,6 +161,12 @@ def tokenize(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str = "te
                 own, edges = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 text, kinds, start, length, _ = scanner.scan(own, edges)
                 first = np.searchsorted(text, text)
+                if stop:
+                    # Tokens before which their text has had none of these kinds.
+                    before = np.concatenate(([0], np.cumsum(np.isin(kinds, list(stop)))))
+                    keep = before[np.arange(len(text))] == before[first]
+                    text, kinds, start, length, first = text[keep], kinds[keep], start[keep], length[keep], None
+                    first = np.searchsorted(text, text)
                 cols = [batch.column(0).take(pa.array(text + lo)), pa.array(np.arange(len(text)) - first), pa.array(kinds), pa.array(start), pa.array(length)]
                 if lexemes:
                     begin = edges[:-1][text] + start
@@ -190,6 +200,16 @@ def kind_counts(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str =
     return _texts(docs, key, data).mapInArrow(run, f"key {key_type}, kind long, tokens long, bytes long").withColumnRenamed("key", key)
 
 
+def totals(docs: DataFrame, lexer: Lexer, by: tuple[str, ...] = (), key: str = "doc_id", data: str = "text") -> DataFrame:
+    """(by, kind, tokens, bytes): tallies over all texts that agree in some columns; by built-in expressions where the set has one, else by its automaton."""
+    if docs.schema[data].dataType.typeName() == "string" and native.spells(lexer) is not None:
+        found = native.lexemes(docs, lexer, data, by)
+        return found.groupBy(*by, "kind").agg(F.count("*").alias("tokens"), F.sum("length").alias("bytes"))
+    rows = docs.select(F.struct(*by, F.lit(0).alias("none")).alias("key"), data)
+    each = kind_counts(rows, lexer, "key", data).select(*[F.col("key")[c].alias(c) for c in by], "kind", "tokens", "bytes")
+    return each.groupBy(*by, "kind").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
+
+
 def first_tokens(docs: DataFrame, lexer: Lexer, key: str = "doc_id", data: str = "text", at: str | None = None) -> DataFrame:
     """(key, token struct(token, length)): one anchored longest match a text, at its beginning or an offset column."""
     key_type = docs.schema[key].dataType.simpleString()
@@ -243,15 +263,25 @@ def tokenize_chunks(docs: DataFrame, lexer: Lexer, chunks: int, key: str = "doc_
     """Tokens (key, chunk, seq, kind, start, length; start counts in the whole text) of chunks scanned apart, and each chunk's (key, chunk, consumed, size).
 
     The chunks of one text may be scanned anywhere.  With certified bytes the serial tokens are always a prefix of the chunks' tokens in order, and all of
-    them where every chunk was consumed; a plan by windows promises that only for texts that scan completely.
+    them where every chunk was consumed; a plan by windows promises that only for texts that scan completely.  Each row is a text of its own, whatever its key.
     """
-    plan = plan_chunks(docs, lexer, chunks, key, data, windows)
-    cut = plan.join(docs.select(key, F.col(data).cast("binary").alias("data")), key)
-    piece = cut.select(F.struct(key, "chunk", "begin").alias("id"), F.expr("substring(data, cast(begin + 1 as int), cast(end - begin as int))").alias("data"))
-    piece = piece.repartition("id")
+    key_type = docs.schema[key].dataType.simpleString()
+    plan = lexer.chunk_boundaries_with_windows if windows else lexer.chunk_boundaries
+
+    def cut(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                texts = [d or b"" for d in batch.column(1).slice(lo, 256).to_pylist()]
+                rows = [(lo + i, c, a, d[a:b]) for i, d in enumerate(texts) for edges in [plan(d, chunks)] for c, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
+                own, chunk, begin, piece = (pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.binary())))
+                yield pa.record_batch([batch.column(0).take(own), chunk, begin, piece], names=["key", "chunk", "begin", "data"])
+
+    # The only shuffle: pieces are dealt out evenly, and a long text's go to different tasks.
+    pieces = _texts(docs, key, data).mapInArrow(cut, f"key {key_type}, chunk int, begin long, data binary").repartition("key", "chunk")
+    piece = pieces.select(F.struct("key", "chunk", "begin").alias("id"), "data")
     tokens = tokenize(piece, lexer, "id", "data")
-    tokens = tokens.select(f"id.{key}", "id.chunk", "seq", "kind", (F.col("id.begin") + F.col("start")).alias("start"), "length")
-    ends = scan_ends(piece, lexer, "id", "data").select(f"id.{key}", "id.chunk", "consumed", "size")
+    tokens = tokens.select(F.col("id.key").alias(key), "id.chunk", "seq", "kind", (F.col("id.begin") + F.col("start")).alias("start"), "length")
+    ends = scan_ends(piece, lexer, "id", "data").select(F.col("id.key").alias(key), "id.chunk", "consumed", "size")
     return tokens, ends
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import Charset, choice, concat, kleene, plus, text
 from ..functions.pattern import any_of
 from ..functions.rawstring import scan_raw_string
 from ..functions.unicode import byte_ranges, code_points, xid_continue, xid_start
-from ..operators import carry, dot, recovery, relations, scan, sql
+from ..operators import carry, dot, native, recovery, relations, scan, sql
 from ..operators.automaton import Nfa
 from ..operators.lexer import Lexer
 from ..operators.modes import ModalTokenSet, go_to, pop, push
@@ -55,14 +55,13 @@ _WORD_TOKENS = f"""t AS (SELECT doc_id, lex, ({_WORD_KIND})::BIGINT AS kind, str
 @query(f"WITH {_WORD_TOKENS} SELECT kind, count(*) AS tokens, sum(length)::BIGINT AS bytes FROM t GROUP BY kind")
 def token_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: tokens and bytes of each kind over all documents."""
-    each = scan.kind_counts(table(spark, sf_dir, "documents"), grammars.lexer("words"))
-    return each.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
+    return scan.totals(table(spark, sf_dir, "documents"), grammars.lexer("words"))
 
 
 @query(f"WITH {_WORD_TOKENS} SELECT doc_id, count(*) AS tokens, sum(length)::BIGINT AS bytes, count(DISTINCT kind) AS kinds, max(length) AS longest FROM t GROUP BY doc_id")
 def token_stream_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = scan.tokenize(table(spark, sf_dir, "documents"), grammars.lexer("words"))
-    return tokens.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("length").alias("bytes"), F.countDistinct("kind").alias("kinds"), F.max("length").alias("longest"))
+    tokens = native.lexemes(table(spark, sf_dir, "documents"), grammars.lexer("words"))
+    return tokens.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("length").alias("bytes"), F.size(F.collect_set("kind")).cast("long").alias("kinds"), F.max("length").alias("longest"))
 
 
 @query(f"WITH {_WORD_TOKENS} SELECT doc_id, kind AS token, length FROM t WHERE seq = 0")
@@ -79,8 +78,7 @@ def tokens_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_WORD_TOKENS}, f AS (SELECT doc_id, min(seq) AS stop FROM t WHERE kind = 1 GROUP BY doc_id) SELECT doc_id, count(*) AS tokens, sum(length)::BIGINT AS bytes FROM t LEFT JOIN f USING (doc_id) WHERE stop IS NULL OR seq <= stop GROUP BY doc_id")
 def tokens_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens up to each document's first number."""
-    tokens = scan.tokenize(table(spark, sf_dir, "documents"), grammars.lexer("words"))
-    return stats.tally(scan.until(tokens, F.col("kind") == grammars.DIGITS), "doc_id")
+    return stats.tally(scan.tokenize(table(spark, sf_dir, "documents"), grammars.lexer("words"), stop=frozenset({grammars.DIGITS})), "doc_id")
 
 
 @query(f"WITH {_WORD_TOKENS} SELECT doc_id, count(*) AS tokens FROM t WHERE kind <> 2 GROUP BY doc_id")
@@ -92,8 +90,8 @@ def tokens_without_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_WORD_TOKENS} SELECT lower(lex) AS word, count(*) AS n FROM t WHERE kind = 0 GROUP BY 1")
 def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexemes of words, lower-cased, with their frequencies."""
-    tokens = scan.tokenize(table(spark, sf_dir, "documents"), grammars.lexer("words"), lexemes=True).where("kind = 0")
-    return tokens.groupBy(F.lower(F.col("lexeme").cast("string")).alias("word")).agg(F.count("*").alias("n"))
+    tokens = native.lexemes(table(spark, sf_dir, "documents"), grammars.lexer("words")).where("kind = 0")
+    return tokens.groupBy(F.lower("lexeme").alias("word")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_WORD_TOKENS} SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list(kind + 1 ORDER BY seq)), lambda h, k: (h * 31 + k) % 1000000007) AS checksum FROM t GROUP BY doc_id")
@@ -104,7 +102,7 @@ def token_order_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_WORD_TOKENS} SELECT coalesce(lang, '*') AS lang, coalesce(kind, -1) AS kind, count(*) AS tokens FROM t JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, kind)")
 def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counts = scan.kind_counts(docs, grammars.lexer("words")).join(docs.select("doc_id", "lang"), "doc_id")
+    counts = scan.totals(docs, grammars.lexer("words"), ("lang",))
     rolled = counts.rollup("lang", "kind").agg(F.sum("tokens").alias("tokens"))
     return rolled.select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("kind", F.lit(-1)).cast("long").alias("kind"), "tokens")
 
@@ -115,7 +113,7 @@ SELECT lang, round((s / n + 3.8416 / (2 * n) - 1.96 * sqrt(s / n * (1 - s / n) /
 def number_share_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wilson intervals of the share of numbers among tokens, by language."""
     docs = table(spark, sf_dir, "documents")
-    counts = scan.kind_counts(docs, grammars.lexer("words")).join(docs.select("doc_id", "lang"), "doc_id")
+    counts = scan.totals(docs, grammars.lexer("words"), ("lang",))
     n = counts.groupBy("lang").agg(F.sum(F.when(F.col("kind") == grammars.DIGITS, F.col("tokens")).otherwise(0)).alias("s"), F.sum("tokens").alias("n"))
     low, high = recovery.wilson(F.col("s"), F.col("n"))
     return n.select("lang", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
@@ -161,13 +159,12 @@ def json_tokens_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT (CASE WHEN lex[1:2] = '</' THEN 0 WHEN lex[1:2] = '<!' THEN 1 WHEN lex = '<' THEN 4 WHEN lex[1] = '<' THEN 2 ELSE 3 END)::BIGINT AS kind, count(*) AS tokens, sum(strlen(lex))::BIGINT AS bytes
 FROM (SELECT unnest(regexp_extract_all(html, '<[^>]*>|[^<]+|<')) AS lex FROM pages) GROUP BY 1""")
 def html_tokens_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = scan.kind_counts(table(spark, sf_dir, "pages"), grammars.lexer("html"), "page_id", "html")
-    return each.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
+    return scan.totals(table(spark, sf_dir, "pages"), grammars.lexer("html"), data="html")
 
 
 @query(r"SELECT doc_id, count(*) FILTER (WHERE lex <> chr(10)) AS lines, count(*) FILTER (WHERE lex = chr(10)) AS ends, max(strlen(lex))::BIGINT AS longest FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]+|\n')) AS lex FROM documents) GROUP BY 1")
 def log_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = scan.tokenize(table(spark, sf_dir, "documents"), grammars.lexer("log lines"))
+    tokens = native.lexemes(table(spark, sf_dir, "documents"), grammars.lexer("log lines"))
     return tokens.groupBy("doc_id").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("lines"), F.count(F.when(F.col("kind") == 1, 1)).alias("ends"), F.max("length").alias("longest"))
 
 
@@ -184,8 +181,7 @@ FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p
 def xid_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of UAX #31 over all documents; SQL spells the properties by general categories, which differ in rare characters only."""
     own = TokenSet().add_token(concat(choice(xid_start(), text("_")), kleene(xid_continue())), 0, 1).add_token(code_points(0, 0x10FFFF), 1, 9)
-    each = scan.kind_counts(table(spark, sf_dir, "documents"), own.compile())
-    return each.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
+    return scan.totals(table(spark, sf_dir, "documents"), own.compile())
 
 
 @query(r"""SELECT item_id, count(*) AS tokens, count(DISTINCT lower(lex)) FILTER (WHERE regexp_full_match(lex, '[A-Za-z_][A-Za-z_0-9]*')) AS words
@@ -403,26 +399,42 @@ def chunk_plan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.plan_chunks(table(spark, sf_dir, "documents"), grammars.lexer("conventional"), _CHUNKS, windows=True)
 
 
-@query("SELECT doc_id, true AS equal FROM documents")
+_MARK = "(start % 1009 + 1) * (length % 1013 + 1) + kind"
+_LINES = r"""n AS (SELECT doc_id, unnest(x) AS lex, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]+|\n') AS x FROM documents)),
+t AS (SELECT doc_id, strlen(lex) AS length, (lex = chr(10))::INT AS kind, sum(strlen(lex)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(lex) AS start FROM n),
+m AS (SELECT doc_id, count(*) AS tokens, sum(""" + _MARK + ")::BIGINT AS mark FROM t GROUP BY doc_id)"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, tokens AS serial, tokens AS chunked, mark AS serial_mark, mark AS chunked_mark FROM m")
 def parallel_equals_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of chunks scanned apart, against those of whole texts."""
+    """Number and checksum of the tokens of chunks scanned apart, and of whole texts."""
     docs = table(spark, sf_dir, "documents")
     parts, _ = scan.tokenize_chunks(docs, grammars.lexer("log lines"), 8)
-    mark = lambda t: t.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("kind", "start", "length").cast("decimal(38,0)")).alias("h"))
-    whole = mark(scan.tokenize(docs, grammars.lexer("log lines")))
-    both = whole.alias("a").join(mark(parts).alias("b"), "doc_id", "full")
-    return docs.select("doc_id").join(both, "doc_id", "left").select("doc_id", (F.expr("a.n <=> b.n") & F.expr("a.h <=> b.h")).alias("equal"))
+    mark = lambda t, name: t.groupBy("doc_id").agg(F.count("*").alias(name), F.sum(F.expr(_MARK)).alias(f"{name}_mark"))
+    return mark(scan.tokenize(docs, grammars.lexer("log lines")), "serial").join(mark(parts, "chunked"), "doc_id", "full")
+
+
+#: Tokens of the scaling set as an expression, the longest alternatives first; `?` stands for a byte that it has no token for.
+_SCALING = r"[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[ \t\n]+|==|!=|<=|>=|[-+*/=<>(){};,]|(?s:.)"
+_SCALING_TOKENS = f"""n AS (SELECT doc_id, unnest(x) AS lex, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_SCALING}') AS x FROM documents)),
+f AS (SELECT doc_id, min(i) AS stop FROM n WHERE NOT regexp_full_match(lex, '[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[ \\t\\n]+|==|!=|<=|>=|[-+*/=<>(){{}};,]') GROUP BY doc_id),
+s AS (SELECT n.doc_id, count(*) FILTER (WHERE i < coalesce(stop, i + 1)) AS serial, coalesce(sum(strlen(lex)) FILTER (WHERE i < coalesce(stop, i + 1)), 0)::BIGINT AS consumed, sum(strlen(lex))::BIGINT AS size
+  FROM n LEFT JOIN f USING (doc_id) GROUP BY n.doc_id)"""
 
 
-@query("SELECT doc_id, true AS prefix FROM documents")
+@query(f"WITH {_SCALING_TOKENS} SELECT doc_id, serial, serial AS found_in_place FROM s")
 def parallel_prefix_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a text doesn't scan wholly, its serial tokens are still the first of the chunks' tokens."""
+    """Where a text doesn't scan wholly, its serial tokens are still the first of the chunks' tokens, in the same places of the order."""
     docs = table(spark, sf_dir, "documents")
     own = grammars.scaling().compile()  # certifies bytes, and meets marks that it has no token for
     parts, _ = scan.tokenize_chunks(docs, own, 8)
-    serial = scan.tokenize(docs, own).select("doc_id", "start", "kind", "length")
-    lost = serial.join(parts, ["doc_id", "start", "kind", "length"], "left_anti").select("doc_id").distinct().withColumn("lost", F.lit(True))
-    return docs.select("doc_id").join(lost, "doc_id", "left").select("doc_id", F.col("lost").isNull().alias("prefix"))
+    # A chunk begins after all tokens of those before it, so a token's place is its chunk's number of tokens before and its own.
+    sizes = parts.groupBy("doc_id", "chunk").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.join(sizes.select("doc_id", "chunk", before.alias("before")), ["doc_id", "chunk"]).select("doc_id", (F.col("before") + F.col("seq")).alias("seq"), "start", "kind", "length", F.lit(1).alias("there"))
+    serial = scan.tokenize(docs, own).join(placed, ["doc_id", "seq", "start", "kind", "length"], "left")
+    found = serial.groupBy("doc_id").agg(F.count("*").alias("serial"), F.count("there").alias("found_in_place"))
+    return docs.where("octet_length(text) > 0").select("doc_id").join(found, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("serial", "found_in_place")])
 
 
 @query(f"WITH RECURSIVE {_PLAN}, f AS (SELECT doc_id, size, len(cuts) AS n FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1) SELECT doc_id, n AS chunks, size AS consumed FROM f")
