@@ -11,7 +11,8 @@ and the classes stay small. For all other sets there is none, and `scan` follows
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ from .lexer import Lexer
 
 #: Code points, and ranges of an expression's classes and characters of its text beyond which there is none.
 POINTS, RANGES, LENGTH = 0x110000, 400, 20_000
+#: Ranges of first characters that are compared one by one.
+FEW = 8
 
 
 class Spelled:
@@ -110,7 +113,8 @@ class Spelled:
             """What may follow when the state is reached; None if nothing leads to acceptance."""
             if s in memo:
                 return memo[s]
-            ways = [(_class(runs), rest(t)) for t, runs in sorted(self.ways[s].items()) if t != s]
+            # Alternatives are disjoint, so any order is right; what texts hold most is tried first.
+            ways = [(_class(runs), rest(t)) for t, runs in sorted(self.ways[s].items(), key=lambda x: (-_weight(x[1]), x[0])) if t != s]
             ways = [c + r for c, r in ways if r is not None]
             loop = _class(self.ways[s][s]) + "*+" if s in self.ways[s] else ""
             memo[s] = None if not ways and not good[s] else loop + (f"(?:{'|'.join(ways)})" + "?" * good[s] if ways else "")
@@ -124,6 +128,11 @@ def _class(runs: list[tuple[int, int]]) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
 
 
+def _weight(runs: list[tuple[int, int]]) -> int:
+    """Roughly how often a text's token begins with one of these: blanks, then letters, then the rest of ASCII, then all else."""
+    return sum(100 * (a <= 0x20 <= b) + 4 * max(0, min(b, 0x7A) - max(a, 0x61) + 1) + (a < 0x80) for a, b in runs)
+
+
 @cache
 def _spelled(lexer: Lexer) -> Spelled:
     return Spelled(lexer)
@@ -147,10 +156,15 @@ def kind_of(lexer: Lexer, lexeme: Column) -> Column:
                 firsts[k][a : b + 1] = True
     by_first = {k: not any((firsts[k] & firsts[other]).any() for other in kinds if other != k) for k in kinds}
     out = None
-    for k in sorted(kinds, key=lambda k: not by_first[k])[:-1]:
-        sure = lexeme.rlike("^" + _class(own._runs(firsts[k]))) if by_first[k] else lexeme.rlike(rf"^(?:{own.expression(frozenset({k}))})\z")
+    ranked = sorted(kinds, key=lambda k: (not by_first[k], len(own._runs(firsts[k])), k))
+    for k in ranked[:-1]:
+        runs = own._runs(firsts[k])
+        if by_first[k] and len(runs) <= FEW:
+            sure = reduce(or_, [F.ascii(lexeme).between(a, b) for a, b in runs])
+        else:
+            sure = lexeme.rlike("^" + _class(runs)) if by_first[k] else lexeme.rlike(rf"^(?:{own.expression(frozenset({k}))})\z")
         out = F.when(sure, F.lit(k)) if out is None else out.when(sure, F.lit(k))
-    last = sorted(kinds, key=lambda k: not by_first[k])[-1]
+    last = ranked[-1]
     return (F.lit(last) if out is None else out.otherwise(F.lit(last))).cast("long")
 
 
