@@ -139,6 +139,19 @@ def test_published_windows_and_plans():
     assert odd.scan(b"abc") == ([(2, 2)], 2) and odd.chunk_boundaries_with_windows(b"abc", 2) == [0, 1, 3]
 
 
+def test_plans_up_to_ignored_tokens_and_what_plans_look_at():
+    own = grammars.words().set_ignored_tokens({grammars.BLANK}).compile()
+    data = b"abcdefgh    ijklmnop    qrst"
+    assert own.chunk_boundaries(data, 2) == [0, 28] and own.chunk_boundaries(data, 2, ignoring=True) == [0, 20, 28]
+    for chunks in (2, 3, 5, 28):
+        plan = own.chunk_boundaries(data, chunks, ignoring=True)
+        parts = [t for a, b in zip(plan[:-1], plan[1:]) for t in own.scan(data[a:b])[0] if t[0] != grammars.BLANK]
+        assert parts == [t for t in own.scan(data)[0] if t[0] != grammars.BLANK]
+    lines = grammars.separated("\n").compile()
+    assert lines.plan_cost(b"aaaa\naaaa\naaaa\n", 2) == ([0, 9, 15], 2) and lines.plan_cost(b"a" * 16, 4) == ([0, 16], 12)
+    assert lines.plan_cost(b"", 4) == ([0, 0], 0) and grammars.separated("").compile().plan_cost(b"a\n" * 8, 4) == ([0, 16], 0)
+
+
 def test_core_and_exhaustive_plans_agree():
     lexer, rng = grammars.lexer("base + block comments"), random.Random(3)
     assert lexer.mandatory_core == b"*/"

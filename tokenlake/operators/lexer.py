@@ -357,10 +357,26 @@ class Lexer:
 
     # Chunk plans
 
-    def chunk_boundaries(self, data: bytes, chunks: int) -> list[int]:
-        """Offsets 0 .. size of at most so many chunks; each cut is the first certified byte at or after its even share and past the cut before."""
-        marks = np.flatnonzero(self.split_points[np.frombuffer(data, np.uint8)]) if self.split_points.any() else np.zeros(0, np.int64)
-        return self._plan(len(data), chunks, lambda floor: _next(marks, floor))
+    def chunk_boundaries(self, data: bytes, chunks: int, ignoring: bool = False) -> list[int]:
+        """Offsets 0 .. size of at most so many chunks; each cut is the first certified byte at or after its even share and past the cut before.
+
+        ignoring: bytes certified up to ignored tokens will do; the chunks' tokens then equal the serial ones once the ignored kinds are deleted from both.
+        """
+        return self.plan_cost(data, chunks, ignoring)[0]
+
+    def plan_cost(self, data: bytes, chunks: int, ignoring: bool = False) -> tuple[list[int], int]:
+        """The plan, and the bytes looked at between shares and cuts; a search that finds none looks through to the end, and is the last."""
+        find = self._find_ignoring if ignoring else self._find_certified
+        looked, open_ = 0, find is not None
+
+        def cut(floor: int) -> int | None:
+            nonlocal looked, open_
+            at = find(data, floor) if open_ else None
+            looked += (at if at is not None else len(data)) - floor if open_ else 0
+            open_ = at is not None
+            return at
+
+        return self._plan(len(data), chunks, cut), looked
 
     def chunk_boundaries_with_windows(self, data: bytes, chunks: int, use_core: bool = True) -> list[int]:
         """The same plan where a byte certifies; otherwise cuts inside the first certified window (place first, then length) at or after each share.
@@ -388,6 +404,14 @@ class Lexer:
 
         return self._plan(len(data), chunks, cut)
 
+    @cached_property
+    def _find_certified(self) -> Callable[[bytes, int], int | None] | None:
+        return _finder(self.split_points)
+
+    @cached_property
+    def _find_ignoring(self) -> Callable[[bytes, int], int | None] | None:
+        return _finder(self.split_points_ignoring)
+
     @staticmethod
     def _plan(size: int, chunks: int, cut: Callable[[int], int | None]) -> list[int]:
         out, usable = [0], min(chunks, size)
@@ -581,9 +605,16 @@ class Lexer:
         return b"" if whole[0] else min((w for b, w in self._scenarios(tail) if whole[b]), key=len, default=None)
 
 
-def _next(marks: np.ndarray, floor: int) -> int | None:
-    i = int(np.searchsorted(marks, floor))
-    return int(marks[i]) if i < len(marks) else None
+def _finder(marked: np.ndarray) -> Callable[[bytes, int], int | None] | None:
+    """Finds the first marked byte at or after a place; None where no byte is marked."""
+    marks = np.flatnonzero(marked).tolist()
+    if not marks:
+        return None
+    if len(marks) == 1:
+        one = bytes(marks)
+        return lambda data, at: None if (found := data.find(one, at)) < 0 else found
+    search = re.compile(b"[" + b"".join(b"\\x%02x" % m for m in marks) + b"]").search
+    return lambda data, at: found.start() if (found := search(data, at)) else None
 
 
 def _closure(delta: np.ndarray, start: list[int]) -> np.ndarray:

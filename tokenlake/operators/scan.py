@@ -8,6 +8,8 @@ is one step.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -244,13 +246,33 @@ def until(tokens: DataFrame, stop, key: str = "doc_id") -> DataFrame:
     return tokens.join(stops, key, "left").where(F.col("stop_seq").isNull() | (F.col("seq") <= F.col("stop_seq"))).drop("stop_seq")
 
 
-def plan_chunks(docs: DataFrame, lexer: Lexer, chunks: int, key: str = "doc_id", data: str = "text", windows: bool = False) -> DataFrame:
+def _planner(lexer: Lexer, windows: bool, ignoring: bool):
+    """How texts are cut.  windows, ignoring: where no byte certifies exactly, by windows; by bytes certified up to ignored tokens."""
+    if windows and ignoring:
+        raise ValueError("a plan is by windows or up to ignored tokens, not both")
+    return lexer.chunk_boundaries_with_windows if windows else partial(lexer.chunk_boundaries, ignoring=ignoring)
+
+
+def plan_cost(docs: DataFrame, lexer: Lexer, chunks: int, key: str = "doc_id", data: str = "text", ignoring: bool = False) -> DataFrame:
+    """(key, chunks, looked): of every text the chunks planned, and the bytes looked at between shares and cuts."""
+    key_type = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = [lexer.plan_cost(d or b"", chunks, ignoring) for d in batch.column(1).to_pylist()]
+            made, looked = [len(cuts) - 1 for cuts, _ in found], [n for _, n in found]
+            yield pa.record_batch([batch.column(0), pa.array(made, pa.int32()), pa.array(looked, pa.int64())], names=["key", "chunks", "looked"])
+
+    return _texts(docs, key, data).mapInArrow(run, f"key {key_type}, chunks int, looked long").withColumnRenamed("key", key)
+
+
+def plan_chunks(docs: DataFrame, lexer: Lexer, chunks: int, key: str = "doc_id", data: str = "text", windows: bool = False, ignoring: bool = False) -> DataFrame:
     """(key, chunk, begin, end) of every chunk of every text."""
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            plan = lexer.chunk_boundaries_with_windows if windows else lexer.chunk_boundaries
+            plan = _planner(lexer, windows, ignoring)
             cuts = [plan(d or b"", chunks) for d in batch.column(1).to_pylist()]
             rows = [(i, c, a, b) for i, cut in enumerate(cuts) for c, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
             own, chunk, begin, end = (pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.int64())))
@@ -259,14 +281,14 @@ def plan_chunks(docs: DataFrame, lexer: Lexer, chunks: int, key: str = "doc_id",
     return _texts(docs, key, data).mapInArrow(run, f"key {key_type}, chunk int, begin long, end long").withColumnRenamed("key", key)
 
 
-def tokenize_chunks(docs: DataFrame, lexer: Lexer, chunks: int, key: str = "doc_id", data: str = "text", windows: bool = False) -> tuple[DataFrame, DataFrame]:
+def tokenize_chunks(docs: DataFrame, lexer: Lexer, chunks: int, key: str = "doc_id", data: str = "text", windows: bool = False, ignoring: bool = False) -> tuple[DataFrame, DataFrame]:
     """Tokens (key, chunk, seq, kind, start, length; start counts in the whole text) of chunks scanned apart, and each chunk's (key, chunk, consumed, size).
 
     The chunks of one text may be scanned anywhere.  With certified bytes the serial tokens are always a prefix of the chunks' tokens in order, and all of
-    them where every chunk was consumed; a plan by windows promises that only for texts that scan completely.  Each row is a text of its own, whatever its key.
+    them where every chunk was consumed; a plan by windows promises that only for texts that scan completely, one up to ignored tokens once these are deleted.  Each row is a text of its own, whatever its key.
     """
     key_type = docs.schema[key].dataType.simpleString()
-    plan = lexer.chunk_boundaries_with_windows if windows else lexer.chunk_boundaries
+    plan = _planner(lexer, windows, ignoring)
 
     def cut(batches):
         for batch in batches:

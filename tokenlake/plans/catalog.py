@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -393,6 +394,53 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.plan_chunks(table(spark, sf_dir, "documents"), grammars.lexer("log lines"), _CHUNKS)
 
 
+def _cost_sql(density: str, byte: int | None) -> str:
+    marks = "[]::BIGINT[]" if byte is None else f"list_transform(range(1, len(x)), lambda i: strlen(array_to_string(x[1:i], chr({byte})))::BIGINT)"
+    split = "[]::VARCHAR[]" if byte is None else f"string_split(text, chr({byte}))"
+    return f"""(WITH RECURSIVE d AS (SELECT doc_id, size, {marks} AS marks FROM (SELECT doc_id, strlen(text)::BIGINT AS size, {split} AS x FROM documents)),
+p AS (
+  SELECT doc_id, size, marks, 0 AS i, 0::BIGINT AS cut, 1 AS chunks, 0::BIGINT AS looked, {"true" if byte is None else "false"} AS missed FROM d
+  UNION ALL
+  SELECT doc_id, size, marks, i + 1, coalesce(x, cut), chunks + CASE WHEN x IS NULL THEN 0 ELSE 1 END, looked + CASE WHEN missed THEN 0 ELSE coalesce(x, size) - floor END, missed OR x IS NULL
+  FROM (SELECT *, CASE WHEN missed THEN NULL ELSE list_min(list_filter(marks, lambda m: m >= floor)) END AS x FROM (SELECT *, greatest(size * (i + 1) // least({_CHUNKS}, size), cut + 1) AS floor FROM p WHERE i + 1 < least({_CHUNKS}, size))))
+SELECT '{density}' AS density, doc_id, chunks::INT AS chunks, looked FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)"""
+
+
+#: How often a certified byte occurs, and which byte: in each line, in few texts, never, and none certified at all.
+_DENSITIES = {"frequent": "\n", "rare": "%", "absent": "\x01", "uncertified": ""}
+
+
+@query(lambda: " UNION ALL ".join(f"SELECT * FROM {_cost_sql(d, ord(by) if by else None)}" for d, by in _DENSITIES.items()))
+def plan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What plans look at as certified bytes grow scarce: of each text the chunks, and the bytes between shares and cuts."""
+    docs = table(spark, sf_dir, "documents")
+    costs = [scan.plan_cost(docs, grammars.separated(by).compile(), _CHUNKS).select(F.lit(d).alias("density"), "doc_id", "chunks", "looked") for d, by in _DENSITIES.items()]
+    return functools.reduce(DataFrame.unionByName, costs)
+
+
+_BLANK_MARKS = f"""r AS (SELECT doc_id, unnest(x) AS lex, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_0-9]+|(?s:.)') AS x FROM documents)),
+s AS (SELECT doc_id, lex, sum(strlen(lex)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(lex) AS start FROM r),
+d AS (SELECT doc_id, strlen(text)::BIGINT AS size, coalesce(marks, [])::BIGINT[] AS marks FROM documents LEFT JOIN (SELECT doc_id, list(start::BIGINT) FILTER (WHERE NOT regexp_full_match(lex, '[A-Za-z_0-9]+')) AS marks FROM s GROUP BY doc_id) USING (doc_id))"""
+
+
+@query(f"""WITH RECURSIVE {_BLANK_MARKS}, p AS {_PLAN.split("p AS", 1)[1]}, f AS (SELECT doc_id, list_append(cuts, size) AS c FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
+SELECT doc_id, (k - 1)::INT AS chunk, c[k] AS "begin", c[k + 1] AS "end" FROM (SELECT doc_id, c, unnest(range(1, len(c))) AS k FROM f)""")
+def chunk_plan_ignoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks at blanks too, which are certified up to the ignored blanks alone."""
+    own = grammars.words().set_ignored_tokens({grammars.BLANK}).compile()
+    return scan.plan_chunks(table(spark, sf_dir, "documents"), own, _CHUNKS, ignoring=True)
+
+
+@query(f"WITH {_WORD_TOKENS} SELECT doc_id, kind, count(*) AS serial, count(*) AS chunked, sum(length)::BIGINT AS serial_bytes, sum(length)::BIGINT AS chunked_bytes FROM t WHERE kind <> 2 GROUP BY doc_id, kind")
+def ignoring_equals_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that aren't ignored, of chunks cut at blanks too and of whole texts."""
+    own = grammars.words().set_ignored_tokens({grammars.BLANK}).compile()
+    docs = table(spark, sf_dir, "documents")
+    parts, _ = scan.tokenize_chunks(docs, own, 8, ignoring=True)
+    count = lambda t, name: t.where(F.col("kind") != grammars.BLANK).groupBy("doc_id", "kind").agg(F.count("*").alias(name), F.sum("length").alias(f"{name}_bytes"))
+    return count(scan.tokenize(docs, own), "serial").join(count(parts, "chunked"), ["doc_id", "kind"], "full")
+
+
 @query()
 def chunk_plan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks at windows, for a set that certifies no byte."""

@@ -84,6 +84,12 @@ def lines() -> TokenSet:
     return TokenSet().add_token(plus(any_of(Charset.all() - "\n")), 0).add_token(text("\n"), 1)
 
 
+def separated(by: str) -> TokenSet:
+    """Runs without a separator 0 and the separator 1; without a separator runs of any bytes, which certify nothing."""
+    out = TokenSet().add_token(plus(any_of(Charset.all() - by) if by else any_of(Charset.all())), 0, 2)
+    return out.add_token(text(by), 1, 1) if by else out
+
+
 def html() -> TokenSet:
     """Closing tags 0, comments and declarations 1, opening tags 2, text 3, a stray `<` 4."""
     inner = kleene(any_of(Charset.all() - ">"))
