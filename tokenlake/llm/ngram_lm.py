@@ -3,7 +3,7 @@
 Words are 64-bit hashes; a word's id is its place among all sorted hashes, so a bigram is one 64-bit key of two ids, exactly.
 Counting sums sorted arrays of each block of texts before they travel, in shards that follow from a hash of the first word; of
 the few words that make up a large part of all tokens the pairs are spread over all shards, and their sums are put together
-afterwards.  The order is two; what three would take is an estimate in the README, not measured.
+afterwards.  The order is two; the README has what trigram counts were measured to take.
 """
 
 from __future__ import annotations
