@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import CACHES, small_batches
+from .shared import CACHES, small_batches, tidy
 
 #: Pre-tokens whose ids a worker remembers.
 CACHE = 600_000
@@ -184,6 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str], text_co
     small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).cast("string").alias("t"))
 
+    @tidy
     def run(batches):
         v = vocabulary(path, pattern)
         for batch in batches:
@@ -201,6 +202,7 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str], text_co
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(row, ids, decoded binary): the bytes of the ids of each row; null ids give none."""
 
+    @tidy
     def run(batches):
         v = vocabulary(path, pattern)
         table = v.bytes_of

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import map_array, map_sections, remove, resolve, sections, workspace, write_array
+from .shared import map_array, map_sections, remove, resolve, sections, tidy, workspace, write_array
 
 #: Bytes of text of a segment; a longer text is a segment of its own.
 SEGMENT = 4 << 20
@@ -30,6 +30,7 @@ _SEGMENTS = "file string, at long, size long, n_docs long"
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Indexes all texts below folder; (file, at, size, n_docs) of each segment, one file for each attempt of a task.  Null texts have no words."""
 
+    @tidy
     def index(batches):
         out, name, at = None, f"{folder}/{uuid.uuid4().hex}.segments", 0
         filesystem, path = resolve(name)
@@ -62,6 +63,7 @@ def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 def test_windows(items: DataFrame, folder: str, id_col: str, text_col: str, window: int) -> list[str]:
     """Stores the items' windows as blocks of arrays and names the blocks.  An item of fewer words, but not none, is one window."""
 
+    @tidy
     def cut(batches):
         for batch in batches:
             ids = np.array(batch.column(0).fill_null("null").to_pylist(), dtype=np.str_)
@@ -165,6 +167,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     build(docs, folder, id_col, text_col).write.parquet(f"{folder}/segments")
     segments = spark.read.schema(_SEGMENTS).parquet(f"{folder}/segments")
 
+    @tidy
     def search(batches):
         blocks: dict[str, Block] = {}
         for batch in batches:

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import io
 import re
 import struct
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +57,26 @@ def forget() -> None:
         cache.clear()
 
 
+def release() -> None:
+    """Hands memory that the worker has freed back to the system, as workers wait for their next task with all they ever took; not every C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of a task's batches that releases memory when the task ends."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's limit of bytes in a batch to BATCH; a lower one that the caller has set stays.  Results are computed later, so it isn't put back."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .graph import connected_components
-from .shared import exists, map_array, pack, remove, resolve, unpack, workspace, write_array
+from .shared import exists, map_array, pack, remove, resolve, tidy, unpack, workspace, write_array
 
 #: Reference fingerprints.
 PIVOTS = np.random.Generator(np.random.PCG64(64)).integers(0, 2**64, size=24, dtype=np.uint64)
@@ -87,6 +87,7 @@ def shingle_sets(w: tv.Words, shingle: int, seed: int = 42) -> tuple[np.ndarray,
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp long): fp is the fingerprint's bits as a signed number.  Null or wordless text: 0."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             fps = np.zeros(batch.num_rows, np.uint64)
@@ -210,6 +211,7 @@ def _compare(keyed: DataFrame, names: list[str], radius: int, pivots: np.ndarray
     dealt = dealt.select("key", *names, F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
     groups = ("key", "i", "j")
 
+    @tidy
     def run(batches):
         held: pa.Table | None = None
 
@@ -357,6 +359,7 @@ class Sets:
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, folder: str) -> DataFrame:
     """(id, text_hash, node, n, place): of a text's set of word shingles a hash, size and place in `folder`, where its fingerprint of 256 bits is, too.  n is 0 without words."""
 
+    @tidy
     def run(batches):
         filesystem, path = resolve(folder)
         own, at, out, lanes = TaskContext.get().taskAttemptId(), 0, None, len(LANES)
@@ -391,6 +394,7 @@ def _common(points: DataFrame, sets: str, folder: str, cells: int) -> None:
     """Stores how many sets have a shingle of each cell (the hash's lowest bits), at most 65535, in slices.  points: (place, n).  It is an order of shingles, not a result."""
     width = cells // SLICES
 
+    @tidy
     def count(batches):
         held, total = Sets(sets), np.zeros(cells, np.uint32)
         for batch in batches:
@@ -403,6 +407,7 @@ def _common(points: DataFrame, sets: str, folder: str, cells: int) -> None:
                 n = np.minimum(own[at], 65535).astype(np.uint16)
                 yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pack(np.diff(at, prepend=0).astype(np.uint32))], pa.binary()), pa.array([pack(n)], pa.binary())], names=["slice", "at", "n"])
 
+    @tidy
     def gather(batches):
         now, total = -1, np.zeros(width, np.uint32)
 
@@ -484,8 +489,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.record_batch([key, pa.array(place[own[take]]), pa.array(n[own[take]] * (-1 if few else 1))], names=["key", "place", "n"])
 
     points = named.select("place", "n")
-    keyed = points.mapInArrow(spread, "key long, place long, n long")
-    over = points.mapInArrow(lambda batches: spread(batches, True), "key long")
+    keyed = points.mapInArrow(tidy(spread), "key long, place long, n long")
+    over = points.mapInArrow(tidy(lambda batches: spread(batches, True)), "key long")
     over.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK).write.parquet(f"{folder}/large")
     large = spark.read.schema("key long, held long").parquet(f"{folder}/large")
     large = F.broadcast(large) if large.count() <= BROADCAST else large

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import small_batches
+from .shared import small_batches, tidy
 
 #: How often a pair of neighbouring words counts, as each word has many features of its own.
 PAIR = 4
@@ -145,12 +145,14 @@ def classify(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     chosen = texts.join(F.broadcast(sample), "id").select("id", "t", "y")  # train_rows rows at most
 
+    @tidy
     def featurize(batches):
         for batch in batches:
             for lo, hi, w in tv.words_of(batch.column(1), tv.PLAIN, 1 << 20):
                 rows = Features(w, buckets, grams).counts()
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["id", "y", "keys", "weight"])
 
+    @tidy
     def learn(batches):
         rows, y, ids = [], [], []
         for batch in batches:
@@ -168,6 +170,7 @@ def classify(
 
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or [id_col]]).alias("row"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("t"))
 
+    @tidy
     def run(batches):
         table, constant = held.value
         for batch in batches:

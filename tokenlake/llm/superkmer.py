@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import HashStore, pack, shard_bits, shard_of, text_bytes, unpack, workspace
+from .shared import HashStore, pack, shard_bits, shard_of, text_bytes, tidy, unpack, workspace
 
 _LAST = np.iinfo(np.int64).max
 #: A minimiser that more blocks of texts than this send is common.
@@ -82,6 +82,7 @@ def _first(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 def _repeated(texts: DataFrame, store: HashStore, window: int, mer: int) -> None:
     """Pass 1: stores the minimisers of two or more super-k-mers, and which of them are common."""
 
+    @tidy
     def count(batches):
         for batch in batches:
             for _, _, w in tv.words_of(batch.column(1), tv.PLAIN):
@@ -143,6 +144,7 @@ def _firsts(texts: DataFrame, repeated: HashStore, firsts: HashStore, window: in
         rows = [(int(shard[a]), None, pack(d1[a:b]) + pack(d2[a:b]), pack(own[a:b]), pack(at[a:b]), pack(n[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=names)
 
+    @tidy
     def send(batches):
         sums = Sums()
         for batch in batches:
@@ -226,6 +228,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", colum
     _firsts(texts, repeated, firsts, window, mer)
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or [id_col]]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
 
+    @tidy
     def strip(batches):
         for batch in batches:
             ids = _ids(batch.column(1))
