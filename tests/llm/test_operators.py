@@ -2,14 +2,17 @@
 
 import base64
 import collections
+import contextlib
 import hashlib
 import math
 import os
 import random
 import re
+import resource
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -50,6 +53,17 @@ def small_shards(monkeypatch, module):
     monkeypatch.setattr(module, "shard_bits", lambda units, per_shard: shared.shard_bits(units, 2000))
 
 
+@contextlib.contextmanager
+def few_files(more=12):
+    """This process may open so many files more."""
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + more, hard))
+    try:
+        yield
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+
+
 def key(x):
     return (x[0] is None, x[0] or 0, *map(str, x[1:]))
 

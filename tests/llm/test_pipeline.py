@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -48,6 +49,23 @@ def test_stages(spark, sf, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256((clean[i]["text"] or "").encode()).hexdigest() and r["n_tokens"] == len(r["ids"])
 
 
+def test_repeated_passages_in_more_shards_than_files_may_be_open(spark, sf, monkeypatch):
+    from tokenlake.llm import shared, superkmer
+
+    from .test_operators import few_files, small_shards
+
+    tasks = []
+    small_shards(monkeypatch, superkmer)
+    monkeypatch.setattr(superkmer, "tidy", lambda run: tasks.append(run) or shared.tidy(run))
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet")
+    corpus_pipeline.repeated_passages(spark, docs, sf[0])
+    rows = [r.asDict() for r in docs.collect()]
+    batch = pa.record_batch([pa.array(rows), pa.array([r["doc_id"] for r in rows]), pa.array([r["text"] for r in rows])], names=["row", "id", "t"])
+    with few_files():
+        kept = {r["row"]["doc_id"]: r["kept"] for b in tasks[-1]([batch]) for r in b.to_pylist()}
+    assert len(kept) == len(sf[1]) and sf[2] in kept[202] and sf[2] not in kept[203]
+
+
 def test_empty_table(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf[0]}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):

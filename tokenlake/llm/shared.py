@@ -182,7 +182,23 @@ def sections(arrays: list[np.ndarray]) -> bytes:
 def map_sections(uri: str, at: int, size: int) -> list[np.ndarray]:
     """The arrays of a run of bytes in a file, mapped where that can be done, else read."""
     filesystem, path = resolve(uri)
-    raw = np.memmap(path, np.uint8, "r", at, (size,)) if isinstance(filesystem, pafs.LocalFileSystem) else np.frombuffer(read_bytes(uri, at, size), np.uint8)
+    return _arrays(np.memmap(path, np.uint8, "r", at, (size,)) if isinstance(filesystem, pafs.LocalFileSystem) else np.frombuffer(read_bytes(uri, at, size), np.uint8))
+
+
+def map_file(uri: str) -> list[np.ndarray]:
+    """The arrays of a file that is one such run of bytes, in one mapping that keeps no descriptor, as NumPy's and Python's own mappings do: a worker
+    may hold more of them than it may have files open.  From a store that cannot be mapped the file is read once into the worker's temporary folder."""
+    filesystem, path = resolve(uri)
+    if isinstance(filesystem, pafs.LocalFileSystem):
+        with pa.memory_map(path) as f:
+            return _arrays(np.frombuffer(f.read_buffer(), np.uint8))  # the mapping lives as long as the buffer
+    with tempfile.NamedTemporaryFile(suffix=".bin") as local:
+        local.write(read_bytes(uri))
+        local.flush()
+        return map_file(local.name)
+
+
+def _arrays(raw: np.ndarray) -> list[np.ndarray]:
     (n,) = struct.unpack("<q", raw[:8].tobytes())
     out, at = [], 8 + 16 * n
     for i in range(n):
@@ -198,14 +214,14 @@ def exists(uri: str) -> bool:
     return filesystem.get_file_info(path).type != pafs.FileType.NotFound
 
 
-#: Shards that a worker keeps mapped at once.
-MAPPED = 4096
+#: Shards of a store that a worker keeps mapped at once: the five stores of one operator stay below the 65530 mappings that Linux allows a process.
+MAPPED = 8192
 
 
 class HashStore:
     """Sorted hash arrays, split by the hash's leading bits into shards, mapped on first use.
 
-    Each shard is `<folder>/<name>-<shard>-<column>.npy`; the column `key` holds sorted uint64, unique or, where a column `other` holds 64 bits more, unique with these.
+    Each shard is one file `<folder>/<name>-<shard>.bin` and one mapping; the column `key` holds sorted uint64, unique or, where a column `other` holds 64 bits more, unique with these.
     """
 
     def __init__(self, folder: str, name: str, bits: int, columns: tuple[str, ...]):
@@ -215,19 +231,18 @@ class HashStore:
     def __getstate__(self):
         return {**self.__dict__, "_held": {}}
 
-    def _uri(self, shard: int, column: str) -> str:
-        return f"{self.folder}/{self.name}-{shard:05d}-{column}.npy"
+    def _uri(self, shard: int) -> str:
+        return f"{self.folder}/{self.name}-{shard:05d}.bin"
 
     def write(self, shard: int, **arrays: np.ndarray) -> None:
-        for column in (*self.columns, "key"):
-            write_array(self._uri(shard, column), arrays[column])
+        write_bytes(self._uri(shard), sections([arrays[c] for c in ("key", *self.columns)]))
 
     def _shard(self, shard: int) -> dict[str, np.ndarray] | None:
         if shard not in self._held:
             if len(self._held) >= MAPPED:
                 self._held.clear()
-            there = exists(self._uri(shard, "key"))
-            self._held[shard] = {c: map_array(self._uri(shard, c)) for c in ("key", *self.columns)} if there else None
+            uri = self._uri(shard)
+            self._held[shard] = dict(zip(("key", *self.columns), map_file(uri))) if exists(uri) else None
         return self._held[shard]
 
     def lookup(self, keys: np.ndarray, shards: np.ndarray | None = None, other: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
