@@ -147,6 +147,17 @@ def test_lm_scores(spark, monkeypatch, shards):
     assert {r["n_tokens"] for r in alone} == {3, 1} and all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in alone)
 
 
+def test_lm_scores_in_more_shards_than_files_may_be_open(spark, monkeypatch):
+    small_shards(monkeypatch, ngram_lm)
+    docs = [(i, t) for i, t in corpus() if i is not None]
+    model = ngram_lm.train(frame(spark, docs).select(F.col("text").alias("t")))
+    assert model.words.bits > 2
+    with few_files():
+        got = [x for _, _, w in textvec.words_of(pa.array([t for _, t in docs]), textvec.LOWER) for x in zip(*ngram_lm.score_words(model, w))]
+    for a, (n, known, _, base, total) in zip(got, brute_lm(docs, [False] * len(docs)), strict=True):
+        assert a[:2] == (n, known) and a[2:] == pytest.approx((base, total), rel=1e-9)
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["calm", "river", "stone", "walks", "under", "light"]) + rng.choice(["", "s", "ed"]) for _ in range(60))
