@@ -371,6 +371,20 @@ def test_substring_dedup(spark, monkeypatch, window, mer, common):
     assert superkmer.dedup(empty(spark)).count() == 0
 
 
+def test_substring_dedup_in_more_shards_than_files_may_be_open(spark, monkeypatch):
+    from tokenlake.llm import shared
+
+    tasks = []
+    small_shards(monkeypatch, superkmer)
+    monkeypatch.setattr(superkmer, "tidy", lambda run: tasks.append(run) or shared.tidy(run))
+    docs = [(i, t) for i, t in corpus() if i is not None and i < 5000]
+    batch = pa.record_batch([pa.array([{"doc_id": i} for i, _ in docs]), pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["row", "id", "t"])
+    out = superkmer.dedup(frame(spark, docs))
+    with few_files():
+        got = [tuple(r.values()) for b in tasks[-1]([batch]) for r in b.to_pylist()]
+    assert out.count() == len(docs) and sorted(((r["doc_id"], *x) for r, *x in got), key=key) == sorted(brute_dedup(docs, 20), key=key)
+
+
 def brute_contamination(docs, items, w):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = collections.defaultdict(set)
