@@ -308,6 +308,37 @@ def test_bpe(spark):
     assert bpe.encode(empty(spark), path, pattern, ["doc_id"]).count() == 0
 
 
+def test_bpe_encodes_a_common_pre_token_once_however_many_rare_ones_pass(monkeypatch):
+    v, met = bpe.Vocabulary(*bpe_files()), []
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    plain = v.encode_piece
+    monkeypatch.setattr(v, "encode_piece", lambda piece: met.append(piece) or plain(piece))
+    for i in range(40):
+        v.encode("rare" + "xyzw"[i % 4] * (i + 1) + " common")
+    assert met.count(b" common") == 1 and len(v) + len(v.old) <= 20
+    v.clear()
+    assert not v and not v.old
+
+
+def test_bpe_finds_the_matches_of_the_pattern_it_is_given():
+    import regex
+
+    v, rng = bpe.Vocabulary(*bpe_files()), random.Random(5)
+    assert bpe.USUAL[0] == bpe_files()[1] and v.find.__self__.pattern == bpe.USUAL[1]
+    plain = regex.compile(bpe_files()[1]).findall
+    for _ in range(3000):
+        text = "".join(rng.choice(["'", "s", "re", "ll", "d", "A", "é", "字", "e\u0301", "7", "٣", "²", " ", " ", "\n", "\u00a0", "\u3000", "\x1c", ".", "$", "_", "🙂", "\u200b"]) for _ in range(rng.randint(0, 14)))
+        assert v.find(text) == plain(text)
+
+
+def test_bpe_bytes_without_an_id(tmp_path):
+    (tmp_path / "few").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate((b"a", b"ab", b"abab"))))
+    v = bpe.Vocabulary(str(tmp_path / "few"), r"\S+")
+    assert v.encode("ababaab").tolist() == [2, 0, 1] and v.decode([2, 0, 1]) == b"ababaab"
+    with pytest.raises(KeyError):
+        v.encode("abb")
+
+
 def test_rank_queue_order():
     rng, q, held = random.Random(1), bpe.RankQueue(200_000), []
     for _ in range(3000):

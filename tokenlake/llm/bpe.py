@@ -2,7 +2,8 @@
 
 The pairs of a pre-token wait in one bucket for each merge rank.  A bitmap of two levels says which buckets hold anything, so the
 next rank is two find-first-set steps away however long the pre-token is.  A bucket holds places in a linked list of tokens, the
-leftmost first.  A merge leaves the entries of the pairs it destroys where they are; they are skipped when their rank comes up and
+leftmost first.  Only pairs that come before both their neighbours wait there: the next pair of all is one of these, and a merge tells which
+others join them.  A merge leaves the entries of the pairs it destroys where they are; they are skipped when their rank comes up and
 the pair at that place is another one by then.
 """
 
@@ -10,7 +11,9 @@ from __future__ import annotations
 
 import array
 import base64
+import functools
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,15 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .shared import CACHES, small_batches, tidy
 
-#: Pre-tokens whose ids a worker remembers.
-CACHE = 600_000
+#: Pre-tokens whose ids a worker remembers: half of them met lately, half met before these and not again since.
+CACHE = 300_000
+#: The rank of a pair that has none.
+NONE = 1 << 60
+#: A pattern, and one that finds the same matches in less time: as only contractions begin with an apostrophe and letters and digits have alternatives of their own, these can be tried first.
+USUAL = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
 
 
 class RankQueue:
@@ -69,19 +79,32 @@ class Vocabulary(dict):
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.ranks.values()))
-        self.type = np.dtype(np.uint16 if max(self.ranks.values()) < 65536 else np.int32)
+        self.find = regex.compile(USUAL[1] if pattern == USUAL[0] else pattern).findall
+        self.top = top = max(self.ranks.values())
+        self.queue = RankQueue(top)
+        self.type = np.dtype(np.uint16 if top < 65536 else np.int32)
+        # Ids of single bytes, numbers over all ids for bytes that have none; the id of each two bytes.
+        self.single = [self.ranks.get(bytes([b]), top + 1 + b) for b in range(256)]
+        self.shift = (top + 256).bit_length()
+        self.two = [[self.ranks.get(bytes((a, b)), NONE) for b in range(256)] for a in range(256)]
         self.code = array.array("H" if self.type.itemsize == 2 else "i").typecode
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def __missing__(self, piece: str) -> bytes:
-        ids = array.array(self.code, self.encode_piece(piece.encode())).tobytes()
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            ids = array.array(self.code, self.encode_piece(piece.encode())).tobytes()
         if len(piece) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
+            if len(self) >= CACHE // 2:
+                self.old = dict(self)
+                super().clear()
             self[piece] = ids
         return ids
 
@@ -94,15 +117,16 @@ class Vocabulary(dict):
         n = len(piece)
         if n == 1:
             raise KeyError(f"no id for byte {piece!r}")
-        # The queue's push and pop are written out here: most pre-tokens are short, and calls would take most of the time.
-        find, lower, buckets, upper = ranks.get, self.queue.lower, self.queue.buckets, 0
-        token = [piece[i : i + 1] for i in range(n)]
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        current = [find(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of the pair that begins here
-        current.append(-1)
-        for i, rank in enumerate(current):
-            if rank >= 0:
+        # The queue's push and pop are written out here: most pre-tokens are short, and calls would take most of the time.  A token's rank is its id.
+        find, shift, two, lower, buckets, upper = self.pairs.get, self.shift, self.two, self.queue.lower, self.queue.buckets, 0
+        token = [*map(self.single.__getitem__, piece)]
+        after = [*range(1, n + 1)]
+        before = [*range(-1, n - 1)]
+        current = [two[a][b] for a, b in pairwise(piece)]  # the rank of the pair that begins here
+        current.append(NONE)
+        left = NONE
+        for i, (rank, right) in enumerate(pairwise(current)):
+            if rank < left and rank <= right:
                 if bucket := buckets[rank]:
                     bucket.append(i)
                 else:
@@ -110,6 +134,7 @@ class Vocabulary(dict):
                     word = rank >> 6
                     upper |= 1 << word
                     lower[word] |= 1 << (rank & 63)
+            left = rank
         while upper:
             word = (upper & -upper).bit_length() - 1
             bits = lower[word]
@@ -125,37 +150,41 @@ class Vocabulary(dict):
             if current[i] != rank:
                 continue
             j = after[i]
-            merged = token[i] = token[i] + token[j]
-            token[j] = None
-            current[j] = -1
             after[i] = k = after[j]
             h = before[i]
+            old, current[j] = current[j], NONE
+            token[i], token[j] = rank, -1
+            here = there = left = NONE  # the ranks of the pairs at i, k and h
             if k < n:
                 before[k] = i
-                current[i] = new = find(merged + token[k], -1)
-                if new >= 0:
-                    if bucket := buckets[new]:
-                        heappush(bucket, i)
-                    else:
-                        bucket.append(i)
-                        word = new >> 6
-                        upper |= 1 << word
-                        lower[word] |= 1 << (new & 63)
-            else:
-                current[i] = -1
+                here, there = find(rank << shift | token[k], NONE), current[k]
+            current[i] = here
+            join = []
             if h >= 0:
-                new = find(token[h] + merged, -1)
-                if new != current[h]:
-                    current[h] = new
-                    if new >= 0:
-                        if bucket := buckets[new]:
-                            heappush(bucket, h)
-                        else:
-                            bucket.append(h)
-                            word = new >> 6
-                            upper |= 1 << word
-                            lower[word] |= 1 << (new & 63)
-        return [ranks[t] for t in token if t is not None]
+                was = current[h]
+                current[h] = left = find(token[h] << shift | rank, NONE)
+                g = before[h]
+                first = current[g] if g >= 0 else NONE
+                if left < first and left <= here:
+                    join.append((left, h))
+                elif was < first <= left and first < (current[before[g]] if before[g] >= 0 else NONE):
+                    join.append((first, g))
+            if here < left and here <= there:
+                join.append((here, i))
+            elif old <= there < here and there <= current[after[k]]:
+                join.append((there, k))
+            for new, i in join:
+                if bucket := buckets[new]:
+                    heappush(bucket, i)
+                else:
+                    bucket.append(i)
+                    word = new >> 6
+                    upper |= 1 << word
+                    lower[word] |= 1 << (new & 63)
+        out = [t for t in token if t >= 0]
+        if max(out) > self.top:
+            raise KeyError(f"no id for a byte of {piece!r}")
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), self.type)
@@ -164,6 +193,17 @@ class Vocabulary(dict):
         """Bytes of the ids; an id outside the vocabulary is a KeyError."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """The id of each two ids that make one, by one number for the two; workers that only decode don't hold it."""
+        part = self.ranks | {bytes([b]): i for b, i in enumerate(self.single)}
+        return {part[a] << self.shift | part[b]: i for t, i in self.ranks.items() for k in range(1, len(t)) if (a := t[:k]) in part and (b := t[k:]) in part}
+
+    @functools.cached_property
+    def tokens(self) -> pa.Array:
+        """The bytes of each id, null where there is none."""
+        return pa.array([self.bytes_of.get(i) for i in range(self.top + 1)], pa.large_binary())
+
 
 _HELD: dict[tuple[str, str], Vocabulary] = {}
 
@@ -205,12 +245,17 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     @tidy
     def run(batches):
         v = vocabulary(path, pattern)
-        table = v.bytes_of
         for batch in batches:
             ids = batch.column(1)
             ends = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy(zero_copy_only=False)
-            out = [b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
+            out: list[memoryview] = []
+            for lo, hi in tv.blocks(ends, 1 << 18):  # so many ids at once
+                pieces = v.tokens.take(ids.values.slice(ends[lo], ends[hi] - ends[lo]))
+                if pieces.null_count:
+                    raise KeyError("an id outside the vocabulary")
+                at = np.frombuffer(pieces.buffers()[1], np.int64)[ends[lo : hi + 1] - ends[lo]]
+                data = memoryview(pieces.buffers()[2] or b"")
+                out += [data[a:b] for a, b in pairwise(at.tolist())]
             yield pa.record_batch([batch.column(0), ids, pa.array(out, pa.binary())], names=["row", "ids", "decoded"])
 
     schema = encoded.select("row", "ids").schema.simpleString()[len("struct<") : -1].replace("row:", "row ", 1).replace(",ids:", ", ids ")
