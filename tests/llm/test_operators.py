@@ -416,6 +416,29 @@ def test_substring_dedup_in_more_shards_than_files_may_be_open(spark, monkeypatc
     assert out.count() == len(docs) and sorted(((r["doc_id"], *x) for r, *x in got), key=key) == sorted(brute_dedup(docs, 20), key=key)
 
 
+def test_substring_dedup_takes_the_rows_of_a_shard_apart_together(spark, monkeypatch):
+    from tokenlake.llm import shared
+
+    tasks, gathers, made = [], [], []
+    small_shards(monkeypatch, superkmer)
+    monkeypatch.setattr(superkmer, "tidy", lambda run: tasks.append(run) or shared.tidy(run))
+    docs = [(i, t) for i, t in corpus() if i is not None and i < 5000]
+    kind = type(frame(spark, docs).groupBy("doc_id"))
+    with monkeypatch.context() as m:
+        m.setattr(kind, "applyInArrow", lambda self, f, schema, apply=kind.applyInArrow: gathers.append(f) or apply(self, f, schema))
+        out = superkmer.dedup(frame(spark, docs))
+    blocks = [pa.record_batch([pa.array([i for i, _ in b]), pa.array([t for _, t in b])], names=["id", "t"]) for b in (docs[at : at + 5] for at in range(0, len(docs), 5))]
+    sent = pa.Table.from_batches(tasks[1](iter(blocks)))
+    shards = sent.column("shard").to_pylist()
+    assert len(shards) > 3 * len(set(shards))  # many blocks send to one shard
+    windows = superkmer.Windows
+    monkeypatch.setattr(superkmer, "Windows", lambda *x: made.append(1) or windows(*x))
+    for shard in sorted(set(shards)):
+        gathers[1]((pa.scalar(shard),), sent.filter(pa.array([x == shard for x in shards])))  # writes the same shard again
+    assert len(made) <= len(set(shards))
+    assert sorted(((r["row"]["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in out.collect()), key=key) == sorted(brute_dedup(docs, 20), key=key)
+
+
 def brute_contamination(docs, items, w):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = collections.defaultdict(set)

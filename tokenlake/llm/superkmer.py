@@ -29,6 +29,8 @@ _LAST = np.iinfo(np.int64).max
 COMMON = 32
 #: Windows of common minimisers that a task holds before it sends their sums.
 HELD = 1 << 20
+#: Bytes of super-k-mers that a bucket takes apart at once.
+TEXTS = 2 << 20
 
 
 class Windows:
@@ -189,19 +191,31 @@ def _firsts(texts: DataFrame, repeated: HashStore, firsts: HashStore, window: in
         if sums.size:
             yield digests(sums)
 
+    def add(sums: Sums, rows: list[tuple]) -> None:
+        """The windows of rows with texts, all at once: of many shards a block of texts sends few super-k-mers to each."""
+        raw = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
+        size, own, start, n = (np.concatenate([unpack(c, np.int64) for c in column]) for column in list(zip(*rows))[1:])
+        edges = np.concatenate(([0], np.cumsum(size)))
+        for lo, hi in tv.blocks(edges):
+            x = Windows(tv.Words(raw[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], tv.PLAIN), window, mer)
+            of = lo + x.text_of
+            sums.add(*x.digests(np.arange(len(x.at))), own[of], start[of] + x.starts(np.arange(len(x.at))), n[of])
+
     def gather(key, table):
         sums = Sums()
+        held, size_held = [], 0
         for text, size, own, start, n in zip(*(table.column(c).to_pylist() for c in names[1:])):
-            own, start, n = (unpack(c, np.int64) for c in (own, start, n))
             if text is None:
                 d = size[: len(size) // 2], size[len(size) // 2 :]
-                sums.add(*(unpack(c, np.uint64) for c in d), own, start, n)
+                sums.add(*(unpack(c, np.uint64) for c in d), *(unpack(c, np.int64) for c in (own, start, n)))
                 continue
-            raw, edges = np.frombuffer(text, np.uint8), np.concatenate(([0], np.cumsum(unpack(size, np.int64))))
-            for lo, hi in tv.blocks(edges):
-                x = Windows(tv.Words(raw[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], tv.PLAIN), window, mer)
-                of = lo + x.text_of
-                sums.add(*x.digests(np.arange(len(x.at))), own[of], start[of] + x.starts(np.arange(len(x.at))), n[of])
+            held.append((text, size, own, start, n))
+            size_held += len(text)
+            if size_held >= TEXTS:
+                add(sums, held)
+                held, size_held = [], 0
+        if held:
+            add(sums, held)
         d1, d2, own, at, n = sums.take()
         many = n > 1
         firsts.write(key[0].as_py(), key=d1[many], other=d2[many], id=own[many], start=at[many])
