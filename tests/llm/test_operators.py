@@ -158,6 +158,33 @@ def test_lm_scores_in_more_shards_than_files_may_be_open(spark, monkeypatch):
         assert a[:2] == (n, known) and a[2:] == pytest.approx((base, total), rel=1e-9)
 
 
+def test_lm_looks_up_the_tokens_of_many_blocks_together(spark, monkeypatch):
+    from tokenlake.llm import shared
+
+    tasks, looked = [], []
+    small_shards(monkeypatch, ngram_lm)
+    docs = [(i, t) for i, t in corpus() if i is not None and i < 5000]
+    kind = type(frame(spark, docs))
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", lambda self, f, schema, apply=kind.mapInArrow: tasks.append(f) or apply(self, f, schema))
+        m.setattr(ngram_lm, "remove", lambda folder: None)  # the tasks run again below
+        out = ngram_lm.score(frame(spark, docs), "false")
+    _, count_pairs, run = tasks
+    blocks = [docs[at : at + 5] for at in range(0, len(docs), 5)]
+    lookup = shared.HashStore.lookup
+    monkeypatch.setattr(shared.HashStore, "lookup", lambda self, *x: looked.append(self.name) or lookup(self, *x))
+    list(count_pairs(pa.record_batch([pa.array([t for _, t in b], pa.string())], names=["t"]) for b in blocks))
+    assert looked == ["words"]
+    looked.clear()
+    batches = list(run(pa.record_batch([pa.array([i for i, _ in b]), pa.array([t for _, t in b], pa.string()), pa.array([False] * len(b))], names=["id", "t", "held_out"]) for b in blocks))
+    assert sorted(looked) == ["contexts", "follows", "hot", "pairs", "words"]
+    got, order = [tuple(r.values()) for b in batches for r in b.to_pylist()], lambda r: (r[0], r[2], r[6])
+    for a, b in zip(sorted(got, key=order), sorted(map(tuple, out.collect()), key=order), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+    monkeypatch.setattr(ngram_lm, "TOKENS", 50)
+    assert sorted(r[:5] for r in got) == sorted(tuple(r.values())[:5] for b in run(iter([pa.record_batch([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs], pa.string()), pa.array([False] * len(docs))], names=["id", "t", "held_out"])])) for r in b.to_pylist())
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["calm", "river", "stone", "walks", "under", "light"]) + rng.choice(["", "s", "ed"]) for _ in range(60))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import HashStore, pack, remove, shard_bits, shard_of, text_bytes, unpack, workspace
+from .shared import HashStore, pack, remove, shard_bits, shard_of, text_bytes, tidy, unpack, workspace
 
 #: Hash of the end of a text, a token like any other.
 END = np.uint64(0x9AE16A3B2F90404F)
@@ -24,6 +24,8 @@ END = np.uint64(0x9AE16A3B2F90404F)
 HOT = 0.0005
 #: Keys that a task sorts and sums at once.
 KEYS = 6_000_000
+#: Tokens that a task looks up at once.  Those of one block of texts touch most shards of a large input, so it takes many blocks' together.
+TOKENS = 1_000_000
 
 
 def tokens(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -65,15 +67,31 @@ def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(counts)
 
 
+def _gathered(batches, column: int):
+    """Tokens of TOKENS tokens' blocks of texts or so, where each text ends, and the rows that they come from, as (other columns, number) for each block."""
+    held, rows, n = [], [], 0
+    for batch in batches:
+        for lo, hi, w in tv.words_of(batch.column(column), tv.LOWER):
+            t, ends = tokens(w)
+            held.append((t, ends + n))
+            rows.append(([c.slice(lo, hi - lo) for i, c in enumerate(batch.columns) if i != column], hi - lo))
+            n += len(t)
+            del w, t, ends
+            if n >= TOKENS:
+                yield *map(np.concatenate, zip(*held)), rows
+                held, rows, n = [], [], 0
+    if held:
+        yield *map(np.concatenate, zip(*held)), rows
+
+
 def _counted(batches, keys_of):
     """Distinct keys and counts of every KEYS keys or so: what a task sums before it sends."""
     held: list[np.ndarray] = []
-    for batch in batches:
-        for _, _, w in tv.words_of(batch.column(0), tv.LOWER):
-            held.append(keys_of(w))
-            if sum(map(len, held)) >= KEYS:
-                yield np.unique(np.concatenate(held), return_counts=True)
-                held = []
+    for t, ends, _ in _gathered(batches, 0):
+        held.append(keys_of(t, ends))
+        if sum(map(len, held)) >= KEYS:
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held = []
     if sum(map(len, held)):
         yield np.unique(np.concatenate(held), return_counts=True)
 
@@ -137,11 +155,11 @@ def train(texts: DataFrame) -> Model:
     spark: SparkSession = texts.sparkSession
     folder = workspace(spark, "lm")
     size = text_bytes(texts, "t")
-    bits = shard_bits(size, 8e6)
+    bits = shard_bits(size, 32e6)
     words = HashStore(folder, "words", bits, ("n",))
 
     def count_words(batches):
-        for keys, n in _counted(batches, lambda w: tokens(w)[0]):
+        for keys, n in _counted(batches, lambda t, _: t):
             yield _send(shard_of(keys, bits), keys, n)
 
     def gather_words(key, table):
@@ -166,7 +184,7 @@ def train(texts: DataFrame) -> Model:
     held = model
 
     def count_pairs(batches):
-        for keys, n in _counted(batches, lambda w: pair_keys(held, w)[0]):
+        for keys, n in _counted(batches, lambda t, ends: pair_keys(held, t, ends)[0]):
             shard = held.shard(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
             order = np.argsort(shard, kind="stable")
             yield _send(shard[order], keys[order], n[order])
@@ -216,9 +234,8 @@ def train(texts: DataFrame) -> Model:
     return model
 
 
-def pair_keys(model: Model, w: tv.Words):
+def pair_keys(model: Model, t: np.ndarray, ends: np.ndarray):
     """Bigram keys of all tokens (id 2**32 - 1: unknown), with what scoring needs besides."""
-    t, ends = tokens(w)
     unique, inverse = np.unique(t, return_inverse=True)
     found, ids, n = model.ids(unique)
     ids = np.where(found, ids, np.uint64(0xFFFFFFFF))
@@ -227,24 +244,30 @@ def pair_keys(model: Model, w: tv.Words):
     if len(own):
         before[1:] = own[:-1]
         before[np.concatenate(([0], ends[:-1]))] = np.uint64(model.vocabulary)
-    return (before << np.uint64(32)) | own, ends, inverse, found, ids, n
+    return (before << np.uint64(32)) | own, inverse, found, ids, n
 
 
 def token_scores(model: Model, w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token of the texts: whether it is known, its base score, the model's log10 probability."""
-    keys, _, inverse, found, ids, n = pair_keys(model, w)
+    return _scores(model, *tokens(w))
+
+
+def _scores(model: Model, t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, inverse, found, ids, n = pair_keys(model, t, ends)
     base = np.log10((n + 0.1) / (model.train_tokens + 0.1 * (model.vocabulary + 1)))[inverse]
     order = np.argsort(tv.mix(ids), kind="stable")
     seen, got = model.follows.lookup(ids[order], shard_of(tv.mix(ids[order]), model.follows.bits)) if len(ids) else (found, {"n": n})
     low = np.empty(len(ids))
     low[order] = model.lower(seen & found[order], got["n"])
     unique, back = np.unique(keys, return_inverse=True)
+    del keys
     first, second = unique >> np.uint64(32), unique & np.uint64(0xFFFFFFFF)
     shard = model.shard(first, second)
     order = np.argsort(shard, kind="stable")
     there, got = model.pairs.lookup(unique[order], shard[order])
     pairs = np.zeros(len(unique))
     pairs[order] = np.where(there, got["n"], 0)
+    del second, shard, there, got
     context, of = np.unique(first, return_inverse=True)
     home = shard_of(tv.mix(context + np.uint64(1)), model.contexts.bits)
     order = np.argsort(home, kind="stable")
@@ -261,9 +284,13 @@ def token_scores(model: Model, w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.
 
 def score_words(model: Model, w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: tokens, known tokens, base score, the model's log10 probability."""
-    known, base, probability = token_scores(model, w)
-    count = np.diff(w.doc) + 1
-    begin = np.cumsum(count) - count
+    return _text_scores(model, *tokens(w))
+
+
+def _text_scores(model: Model, t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    known, base, probability = _scores(model, t, ends)
+    count = np.diff(ends, prepend=0)
+    begin = ends - count
     add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
     return count, add(known.astype(np.int64)), add(base), add(probability)
 
@@ -279,12 +306,15 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
     model = train(rows.where("not held_out").select("t"))
 
+    @tidy
     def run(batches):
-        for batch in batches:
-            for lo, hi, w in tv.words_of(batch.column(1), tv.LOWER):
-                n, known, base, total = score_words(model, w)
+        for t, ends, blocks in _gathered(batches, 1):
+            n, known, base, total = _text_scores(model, t, ends)
+            hi = 0
+            for own, length in blocks:
+                lo, hi = hi, hi + length
                 yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(hi - lo, model.train_tokens)), pa.array(base), pa.array(total)],
+                    [*own, pa.array(n[lo:hi].astype(np.int64)), pa.array(known[lo:hi].astype(np.int64)), pa.array(np.full(length, model.train_tokens)), pa.array(base[lo:hi]), pa.array(total[lo:hi])],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
