@@ -9,6 +9,7 @@ import os
 import random
 import re
 import resource
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -199,6 +200,24 @@ def test_quality(spark):
     assert all(r["score"] == 0.5 for r in none) and subword.classify(empty(spark), labels, "false", buckets=1 << 10).count() == 0
 
 
+def test_quality_holds_the_features_of_little_text_at_once(spark, monkeypatch):
+    from tokenlake.llm import shared
+
+    tasks, rng = [], random.Random(4)
+    monkeypatch.setattr(subword, "tidy", lambda run: tasks.append(run) or shared.tidy(run))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    subword.classify(frame(spark, [(i, "good words" if i % 2 else "bad terms") for i in range(4)]), labels, held_out="false")
+    featurize, _, score = tasks
+    texts = pa.array([" ".join(f"{rng.randrange(10**9):x}" for _ in range(400)) for _ in range(600)])  # 2 MB, nearly every word another one
+    batches = {featurize: [pa.array(range(600)), texts, pa.array([1] * 600)], score: [pa.array([{"doc_id": i} for i in range(600)]), pa.array([False] * 600), texts]}
+    for task, columns in batches.items():
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in task(iter([pa.record_batch(columns, names=["a", "b", "c"])])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 600 and peak < 100e6, peak
+
+
 def test_quality_learns_from_6000_rows():
     import inspect
 

@@ -19,6 +19,8 @@ from .shared import small_batches, tidy
 
 #: How often a pair of neighbouring words counts, as each word has many features of its own.
 PAIR = 4
+#: Bytes of text whose features a worker holds at once: they take some hundred times as much.
+BLOCK = 1 << 18
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -148,7 +150,7 @@ def classify(
     @tidy
     def featurize(batches):
         for batch in batches:
-            for lo, hi, w in tv.words_of(batch.column(1), tv.PLAIN, 1 << 20):
+            for lo, hi, w in tv.words_of(batch.column(1), tv.PLAIN, BLOCK):
                 rows = Features(w, buckets, grams).counts()
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["id", "y", "keys", "weight"])
 
@@ -174,7 +176,7 @@ def classify(
     def run(batches):
         table, constant = held.value
         for batch in batches:
-            for lo, hi, w in tv.words_of(batch.column(2), tv.PLAIN, 1 << 20):
+            for lo, hi, w in tv.words_of(batch.column(2), tv.PLAIN, BLOCK):
                 score = 1 / (1 + np.exp(-(Features(w, buckets, grams).means(table) + constant)))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["row", "held_out", "score", "predicted"])
 
