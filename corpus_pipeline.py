@@ -79,7 +79,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is encoded like an empty one, to no ids; a text of any length is encoded whole.  One row per row, repeated ones included.
     """
     path, pattern = bpe_files()
-    out = bpe.decode(bpe.encode(docs, path, pattern, columns=["doc_id"]), path, pattern)
+    out = bpe.encode_and_decode(docs, path, pattern, columns=["doc_id"])
     return out.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -366,6 +366,18 @@ def test_bpe_encodes_a_common_pre_token_once_however_many_rare_ones_pass(monkeyp
     assert not v and not v.old
 
 
+def test_bpe_vocabularies_go_when_another_operator_runs():
+    import gc
+    import weakref
+
+    v = weakref.ref(bpe.vocabulary(*bpe_files()))
+    assert v() is bpe.vocabulary(*bpe_files()) and v().encode("some words").tolist()
+    for _ in textvec.words_of(pa.array(["a b"]), textvec.PLAIN):
+        gc.collect()
+        assert v() is None
+    assert bpe.vocabulary(*bpe_files()).encode("some words").tolist()
+
+
 def test_bpe_finds_the_matches_of_the_pattern_it_is_given():
     import regex
 

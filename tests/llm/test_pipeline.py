@@ -66,6 +66,18 @@ def test_repeated_passages_in_more_shards_than_files_may_be_open(spark, sf, monk
     assert len(kept) == len(sf[1]) and sf[2] in kept[202] and sf[2] not in kept[203]
 
 
+def test_encoding_takes_one_worker_a_task(spark, sf):
+    from tokenlake.llm import bpe
+
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet")
+    files = corpus_pipeline.bpe_files()
+    out = corpus_pipeline.encoding(spark, docs, sf[0])
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    plain = bpe.decode(bpe.encode(docs, *files, columns=["doc_id"]), *files).collect()
+    rows = lambda found: sorted(found, key=repr)
+    assert rows((r["doc_id"], r["ids"], r["decoded_sha256"]) for r in out.collect()) == rows((r["row"]["doc_id"], r["ids"], hashlib.sha256(r["decoded"]).hexdigest()) for r in plain)
+
+
 def test_empty_table(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf[0]}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):

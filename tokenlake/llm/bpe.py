@@ -12,6 +12,7 @@ from __future__ import annotations
 import array
 import base64
 import functools
+from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import pairwise
 
@@ -206,36 +207,61 @@ class Vocabulary(dict):
 
 
 _HELD: dict[tuple[str, str], Vocabulary] = {}
+#: The whole vocabularies go, not only the ids they remember: other operators' tasks would carry their tables along.
+CACHES.append(_HELD)
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    """Read once in each worker."""
+    """Read once in each worker, and again after other operators' tasks."""
     if (path, pattern) not in _HELD:
         _HELD[path, pattern] = Vocabulary(path, pattern)
-        CACHES.append(_HELD[path, pattern])
     return _HELD[path, pattern]
 
 
+def _encoded(v: Vocabulary, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """The rows and ids of a batch of (row, text), in parts of some text."""
+    offsets = tv.column(batch.column(1))[1]
+    for lo, hi in tv.blocks(offsets, 4 << 20):
+        own = [v.encode(t or "").astype(np.int32) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
+        yield batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, np.concatenate(own) if own else np.zeros(0, np.int32))
+
+
+def _decoded(v: Vocabulary, ids: pa.ListArray) -> pa.Array:
+    """The bytes of each row's ids."""
+    ends = ids.offsets.to_numpy()
+    out: list[memoryview] = []
+    for lo, hi in tv.blocks(ends, 1 << 18):  # so many ids at once
+        pieces = v.tokens.take(ids.values.slice(ends[lo], ends[hi] - ends[lo]))
+        if pieces.null_count:
+            raise KeyError("an id outside the vocabulary")
+        at = np.frombuffer(pieces.buffers()[1], np.int64)[ends[lo : hi + 1] - ends[lo]]
+        data = memoryview(pieces.buffers()[2] or b"")
+        out += [data[a:b] for a, b in pairwise(at.tolist())]
+    return pa.array(out, pa.binary())
+
+
+def _rows(docs: DataFrame, columns: list[str], text_col: str) -> tuple[DataFrame, str]:
+    """(row struct of `columns`, t), and the struct's fields as a schema."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).cast("string").alias("t"))
+    return rows, rows.select("row").schema.simpleString()[len("struct<row:") : -1]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, columns: list[str], text_col: str = "text") -> DataFrame:
     """(row struct of `columns`, ids array<int>): ids of each whole text, without special tokens; null and empty texts have none.
 
     Every row is encoded on its own, so repeated rows, clashing names among `columns` and empty tables need no rule.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).cast("string").alias("t"))
+    rows, schema = _rows(docs, columns, text_col)
 
     @tidy
     def run(batches):
         v = vocabulary(path, pattern)
         for batch in batches:
-            offsets = tv.column(batch.column(1))[1]
-            for lo, hi in tv.blocks(offsets, 4 << 20):
-                own = [v.encode(t or "").astype(np.int32) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(ends, np.concatenate(own) if own else np.zeros(0, np.int32))
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), ids], names=["row", "ids"])
-
-    schema = rows.select("row").schema.simpleString()[len("struct<row:") : -1]
+            for row, ids in _encoded(v, batch):
+                yield pa.record_batch([row, ids], names=["row", "ids"])
+
     return rows.mapInArrow(run, f"row {schema}, ids array<int>")
 
 
@@ -246,17 +272,21 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         v = vocabulary(path, pattern)
         for batch in batches:
-            ids = batch.column(1)
-            ends = ids.offsets.to_numpy()
-            out: list[memoryview] = []
-            for lo, hi in tv.blocks(ends, 1 << 18):  # so many ids at once
-                pieces = v.tokens.take(ids.values.slice(ends[lo], ends[hi] - ends[lo]))
-                if pieces.null_count:
-                    raise KeyError("an id outside the vocabulary")
-                at = np.frombuffer(pieces.buffers()[1], np.int64)[ends[lo : hi + 1] - ends[lo]]
-                data = memoryview(pieces.buffers()[2] or b"")
-                out += [data[a:b] for a, b in pairwise(at.tolist())]
-            yield pa.record_batch([batch.column(0), ids, pa.array(out, pa.binary())], names=["row", "ids", "decoded"])
+            yield pa.record_batch([batch.column(0), batch.column(1), _decoded(v, batch.column(1))], names=["row", "ids", "decoded"])
 
     schema = encoded.select("row", "ids").schema.simpleString()[len("struct<") : -1].replace("row:", "row ", 1).replace(",ids:", ", ids ")
     return encoded.select("row", "ids").mapInArrow(run, f"{schema}, decoded binary")
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, columns: list[str], text_col: str = "text") -> DataFrame:
+    """What `decode` returns of what `encode` returns, (row, ids, decoded binary), in one pass: a task has one worker, not one for each of the two."""
+    rows, schema = _rows(docs, columns, text_col)
+
+    @tidy
+    def run(batches):
+        v = vocabulary(path, pattern)
+        for batch in batches:
+            for row, ids in _encoded(v, batch):
+                yield pa.record_batch([row, ids, _decoded(v, ids)], names=["row", "ids", "decoded"])
+
+    return rows.mapInArrow(run, f"row {schema}, ids array<int>, decoded binary")
