@@ -143,6 +143,40 @@ def test_carried_states_equal_the_serial_scan(spark, docs):
         carry.Carry(grammars.lexer("JSON"))
 
 
+def test_ways_of_recovering_together_equal_each_by_itself():
+    import random
+
+    import numpy as np
+
+    from .test_lexer import random_set
+
+    rng, arms, moved = random.Random(7), list(recovery.ARMS), 0
+    sets = [(grammars.lexer("scaling"), "ab1 \n;=!.é"), (grammars.lexer("conventional"), 'a1 \n"/=!;\x01'), (grammars.lexer("JSON"), 'tru0e" \n{:\x01\\')]
+    sets += [(random_set(rng)[0].compile(), "abc; \n") for _ in range(40)]
+    for lexer, letters in sets:
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))).encode() for _ in range(25)] + ["".join(rng.choice(letters) for _ in range(700)).encode()]
+        raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        found = recovery.Landings(lexer).run(raw, offsets, arms)
+        for a in arms:
+            want = [recovery.run_arm(lexer, t, recovery.ARMS[a]) for t in texts[:-1] if a != "exact"] + ([recovery.run_arm(lexer, texts[-1], recovery.ARMS[a])] if a != "exact" else [])
+            assert a == "exact" or found[a].tolist() == [[w.tokens, w.failures, w.skipped, w.refused] for w in want], (a, letters)
+            moved += sum(w.failures for w in want)
+    assert moved > 10_000
+
+
+def test_ways_of_recovering_are_not_walked_text_by_text(spark, monkeypatch):
+    import numpy as np
+
+    docs = spark.createDataFrame([(1, "ab? cd.\nint x;"), (2, ""), (3, None), (4, "é")], "doc_id long, text string")
+    rows = recovery.landings(docs, grammars.lexer("scaling"), ["certified", "skip-one", "newline", "newline token"]).collect()
+    assert {tuple(r) for r in rows if r["doc_id"] == 4} == {(4, a, 0, n, s, True) for a, n, s in (("certified", 1, 0), ("skip-one", 2, 1), ("newline", 1, 0), ("newline token", 1, 0))}
+    assert (1, "newline", 5, 1, 6, False) in {tuple(r) for r in rows} and len(rows) == 16
+    monkeypatch.setattr(recovery, "run_arm", None)
+    text = "int a; é? b.\n".encode() * 500
+    found = recovery.Landings(grammars.lexer("scaling")).run(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ["certified", "skip-one", "newline", "newline token"])
+    assert [c[0, 1] for c in found.values()] == [recovery.MOVES] * 4
+
+
 def test_dot(tmp_path):
     graph = dot.to_dot(grammars.lexer("log lines").dfa, {0: "line"})
     assert graph.startswith("digraph {") and "line" in graph and dot.label([34, 92, None, 1, 97]) == '\\" \\\\ ε \\\\x01 a'
