@@ -143,6 +143,25 @@ def test_carried_states_equal_the_serial_scan(spark, docs):
         carry.Carry(grammars.lexer("JSON"))
 
 
+def test_carried_tallies_are_made_in_the_pieces(spark):
+    from tokenlake.operators import carry
+
+    lexer = grammars.lexer("words")
+    c, data = carry.Carry(lexer), "ab  12é".encode() * 9
+    for lo in range(5):
+        effect, last = c.passage(data[lo:])
+        assert effect == c.effect(data[lo:])
+        for state in range(len(effect)):
+            ends = [e for e, _ in c.ends(data[lo:], state, False)]
+            assert last[state] == (ends[-1] if ends else -1)
+    docs = spark.createDataFrame([(1, "x" * 50 + " 12 y"), (2, ""), (3, None), (4, "é" * 9), (5, "q"), (6, "ab 12\n" * 3000)], "doc_id long, text string")
+    for piece in (7, 4096):
+        got = {tuple(r) for r in carry.kind_counts(docs, lexer, piece).collect()}
+        assert got == {tuple(r) for r in stats.tally(scan.tokenize(docs, lexer), "doc_id", "kind").collect()}
+    plan = carry.kind_counts(docs, lexer, 7)._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
 def test_ways_of_recovering_together_equal_each_by_itself():
     import random
 
