@@ -162,6 +162,19 @@ def test_carried_tallies_are_made_in_the_pieces(spark):
     assert "Window" not in plan
 
 
+def test_campaign_of_empty_and_null_texts(spark, tmp_path):
+    import math
+
+    from tokenlake.plans import catalog
+
+    rows = [(1, "a b\nc 12 dé\n", "s"), (2, "", "s"), (3, None, "s"), (4, "x", "t"), (5, "", "u"), (6, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["source"]: r.asDict() for r in catalog.corpus_campaign(spark, str(tmp_path)).collect()}
+    assert (got["s"]["texts"], got["s"]["consumed"], got["s"]["size"], got["s"]["chunks"]) == (3, 13, 13, 5)
+    assert got["s"]["balance_median"] == 2.076923077 and math.isnan(got["s"]["balance_p95"]) and math.isnan(got["u"]["balance_max"])
+    assert got["t"]["balance_median"] == 1.0 and got[None]["chunks"] == 1 and got[None]["size"] is None and got[None]["balance_max"] is None
+
+
 def test_ways_of_recovering_together_equal_each_by_itself():
     import random
 

@@ -41,10 +41,29 @@ def gaps(positions: DataFrame, key: str, at: str = "start") -> DataFrame:
     return gap.groupBy(key).agg(F.count("*").alias("positions"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap"), F.coalesce(F.max("gap"), F.lit(0).cast("long")).alias("widest_gap"))
 
 
+def evenness(largest: Column, size: Column, chunks: Column) -> Column:
+    """The largest chunk over an even share; not a number for an empty text."""
+    return F.when(size > 0, largest / (F.when(size > 0, size) / chunks)).when(size == 0, F.lit(float("nan")))
+
+
 def balance(plan: DataFrame, key: str) -> DataFrame:
     """(key, chunks, balance): the largest chunk over an even share."""
     size = F.col("end") - F.col("begin")
-    return plan.groupBy(key).agg(F.count("*").alias("chunks"), (F.max(size) / (F.sum(size) / F.count("*"))).alias("balance"))
+    sums = plan.groupBy(key).agg(F.count("*").alias("chunks"), F.max(size).alias("largest"), F.sum(size).alias("size"))
+    return sums.select(key, "chunks", evenness(F.col("largest"), F.col("size"), F.col("chunks")).alias("balance"))
+
+
+def quantiles(rows: DataFrame, by: str, value: str, percents: dict[str, int], **sums: str) -> DataFrame:
+    """(by, sums and quantiles): of each group the least value that so many percent of its values do not exceed, nulls left out, and sums of other columns.
+
+    Equal values are counted first, and counts add up in order, so no group's values are held together.
+    """
+    counted = rows.groupBy(by, value).agg(F.count(value).alias("_n"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    group = Window.partitionBy(by)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.select("*", upto.alias("_upto"), F.sum("_n").over(group).alias("_all"))
+    least = [F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * p, F.col(value))).alias(n) for n, p in percents.items()]
+    return placed.groupBy(by).agg(*[F.sum(n).alias(n) for n in sums], *least)
 
 
 def line_start_states(d: DataFrame, start: DataFrame) -> DataFrame:
