@@ -175,6 +175,15 @@ def test_campaign_of_empty_and_null_texts(spark, tmp_path):
     assert got["t"]["balance_median"] == 1.0 and got[None]["chunks"] == 1 and got[None]["size"] is None and got[None]["balance_max"] is None
 
 
+def test_checksum_joins_and_gathers_no_tokens(spark):
+    tokens = spark.createDataFrame([(1, i, i % 4) for i in range(3000)] + [(None, 0, 2)], "doc_id long, seq long, kind long")
+    found, h = stats.order_checksum(tokens, "doc_id"), 0
+    for i in range(3000):
+        h = (31 * h + i % 4 + 1) % stats.MODULUS
+    assert {tuple(r) for r in found.collect()} == {(1, h), (None, 3)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ways_of_recovering_together_equal_each_by_itself():
     import random
 

@@ -16,19 +16,19 @@ def tally(tokens: DataFrame, *by: str) -> DataFrame:
 def order_checksum(tokens: DataFrame, key: str) -> DataFrame:
     """(key, checksum): the fold 31 * h + kind + 1 modulo a prime over each text's tokens, in order.
 
-    Each token adds its kind times the power of 31 that its distance from the end gives, so nothing is gathered: partial sums add up.
+    Each token adds its kind times the inverse power of 31 that its place gives, and the power of the last place scales the sum, so nothing is gathered
+    or joined: partial sums add up where the tokens are, one row a text.
     """
-    last = tokens.groupBy(key).agg(F.max("seq").alias("last"))
-    power = _power(F.col("last") - F.col("seq"))
-    part = tokens.join(last, key).withColumn("part", F.pmod((F.col("kind") + 1) * power, F.lit(MODULUS)))
-    return part.groupBy(key).agg(F.pmod(F.sum("part"), F.lit(MODULUS)).alias("checksum"))
+    part = F.pmod((F.col("kind") + 1) * _power(F.col("seq"), pow(31, -1, MODULUS)), F.lit(MODULUS))
+    sums = tokens.groupBy(key).agg(F.sum(part).alias("sum"), F.max("seq").alias("last"))
+    return sums.select(key, F.pmod(F.pmod("sum", F.lit(MODULUS)) * _power(F.col("last"), 31), F.lit(MODULUS)).alias("checksum"))
 
 
-def _power(n: Column) -> Column:
-    """31 ** n modulo the prime, for n up to 2 ** 30, from three tables of powers."""
+def _power(n: Column, base: int) -> Column:
+    """The base's n-th power modulo the prime, for n up to 2 ** 30, from three tables of powers."""
     out = F.lit(1).cast("long")
     for shift in (0, 10, 20):
-        table = [pow(31, i << shift, MODULUS) for i in range(1024)]
+        table = [pow(base, i << shift, MODULUS) for i in range(1024)]
         digit = F.shiftright(n, shift).bitwiseAND(F.lit(1023)).cast("int")
         out = F.pmod(out * F.element_at(F.lit(table), digit + 1), F.lit(MODULUS))
     return out
